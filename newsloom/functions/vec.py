@@ -28,12 +28,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-def normalise(a: Column) -> Column:
-    """Unit vector; zero vectors stay zero."""
-    n = norm(a)
+def scale_by(a: Column, n: Column) -> Column:
+    """Divide every element by a scalar column (a zero divisor gives 0)."""
     return F.transform(a, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
 
 
+def normalise_df(df, col: str, out: str):
+    """Unit vectors in ``out``; the norm is projected once per row, not once per element."""
+    return df.withColumn("_norm", norm(F.col(col))).withColumn(out, scale_by(F.col(col), F.col("_norm"))).drop("_norm")
+
+
 def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(asum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 

@@ -79,7 +79,7 @@ def cosine_pairs(
     ``(i, i, 1.0)`` rows for non-zero vectors (0 for zero vectors).
     """
     k = list(keys)
-    unit = vectors.select(*k, F.col(id_col), vec.normalise(F.col(vec_col)).alias("_u"))
+    unit = vec.normalise_df(vectors.select(*k, F.col(id_col), F.col(vec_col).alias("_v")), "_v", "_u").drop("_v")
     rep = block_pairs(unit, id_col, "_u", k, block_rows)
     gk = k if k else ["_g"]
     fields = _key_fields(rep, gk)

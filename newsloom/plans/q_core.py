@@ -34,7 +34,7 @@ sc AS (
 sz AS (
   SELECT a.year, a.month, a.doc_id, count(*) AS document1_size
   FROM sen a JOIN sen b ON a.year = b.year AND a.month = b.month AND list_cosine_similarity(a.v, b.v) >= 0.35
-  GROUP BY a.year, a.month, a.doc_id)
+  GROUP BY a.year, a.month, a.doc_id)""", """
 SELECT s.year, s.month, s.doc_id AS document1, s.topic, tp.topic_pos,
        CAST(1.0 AS DOUBLE) AS probabilities,
        coalesce(s.title, 'no title') AS document1_title,

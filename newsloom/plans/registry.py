@@ -47,4 +47,4 @@ def query(name: str, sql: str | None = None, rounded: bool = True):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from newsloom.plans import q_core  # noqa: F401
+    from newsloom.plans import q_clean, q_core  # noqa: F401

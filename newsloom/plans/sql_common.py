@@ -32,4 +32,5 @@ sen AS (
 
 
 def with_(*parts: str) -> str:
-    return "WITH " + ",".join(parts)
+    """WITH over CTE parts; the last part is the final SELECT."""
+    return "WITH " + ",".join(parts[:-1]) + "\n" + parts[-1]
