@@ -91,8 +91,9 @@ def tokenize(c: Column) -> Column:
 
 def remove_stopwords(tokens: Column, stop=None) -> Column:
     """Drop stop words, exact case-sensitive match, repeats of other tokens kept."""
-    words = F.array(*[F.lit(w) for w in (STOP_WORDS if stop is None else stop)])
-    return F.filter(tokens, lambda t: ~F.array_contains(words, t))
+    words = list(dict.fromkeys(STOP_WORDS if stop is None else stop))
+    # ``isin`` over literals becomes a hash-set lookup (InSet) in the optimizer
+    return F.filter(tokens, lambda t: ~t.isin(*words))
 
 
 def remap_tokens(c: Column, mapping: dict) -> Column:

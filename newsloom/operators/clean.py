@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
+from newsloom.session import spread
 
 
 def fill_title(df: DataFrame, value: str = "no_title", col: str = "title") -> DataFrame:
@@ -26,18 +27,36 @@ def lemma_map(tokens: DataFrame, vocab: DataFrame | None = None, rules=None) ->
 
     A suffix rule's result counts only when it is a word of ``vocab`` (default: the
     distinct tokens themselves); the shortest candidate wins, ties by text.
+    Without an outside vocabulary this is two aggregations and no join: every distinct
+    token emits itself and its rule results keyed by the candidate word, and a word
+    group (at most one row per rule plus one) says whether the word exists.
     """
     rules = text.NOUN_SUFFIX_RULES if rules is None else rules
     toks = tokens.select("tok").distinct()
-    voc = (toks.select(F.col("tok").alias("word")) if vocab is None else vocab.select("word")).distinct()
     rule_arr = F.array(*[F.struct(F.lit(a).alias("suf"), F.lit(b).alias("rep")) for a, b in rules])
-    cands = (
-        toks.select("tok", F.explode(rule_arr).alias("r"))
-        .filter(F.col("tok").endswith(F.col("r.suf")) & (F.length("tok") > F.length("r.suf")))
-        .select("tok", F.concat(F.expr("substring(tok, 1, length(tok) - length(r.suf))"), F.col("r.rep")).alias("cand"))
-        .join(voc, F.col("cand") == F.col("word"), "left_semi")
+    cand = F.filter(
+        F.transform(
+            rule_arr,
+            lambda r: F.when(
+                F.col("tok").endswith(r["suf"]) & (F.length("tok") > F.length(r["suf"])),
+                F.concat(F.col("tok").substr(F.lit(1), F.length("tok") - F.length(r["suf"])), r["rep"]),
+            ),
+        ),
+        lambda c: c.isNotNull(),
     )
-    best = cands.groupBy("tok").agg(F.min(F.struct(F.length("cand").alias("n"), F.col("cand").alias("c"))).alias("b"))
+    rows = toks.select("tok", F.explode(cand).alias("word"), F.lit(False).alias("is_word"))
+    if vocab is None:
+        rows = rows.unionByName(toks.select("tok", F.col("tok").alias("word"), F.lit(True).alias("is_word")))
+    else:
+        rows = rows.unionByName(
+            vocab.select(F.lit(None).cast("string").alias("tok"), "word", F.lit(True).alias("is_word")).distinct()
+        )
+    per_word = rows.groupBy("word").agg(
+        F.max("is_word").alias("exists"),
+        F.collect_set(F.when(~F.col("is_word"), F.col("tok"))).alias("from_toks"),
+    )
+    valid = per_word.filter("exists").select("word", F.explode("from_toks").alias("tok"))
+    best = valid.groupBy("tok").agg(F.min(F.struct(F.length("word").alias("n"), F.col("word").alias("c"))).alias("b"))
     return best.filter(F.col("b.n") < F.length("tok")).select("tok", F.col("b.c").alias("lemma"))
 
 
@@ -68,7 +87,7 @@ def preprocess(df: DataFrame, key: str = "doc_id", vocab: DataFrame | None = Non
     Output: ``key, title, title_preproced, content_preproced``. A NULL content stays
     empty here (the reference writes the text ``nan``).
     """
-    base = fill_title(df.select(key, "title", "content"))
+    base = fill_title(spread(df.select(key, "title", "content"), key))
     toks = base.select(
         key,
         "title",
@@ -81,7 +100,7 @@ def preprocess(df: DataFrame, key: str = "doc_id", vocab: DataFrame | None = Non
 
 def preprocess_v2(df: DataFrame, col: str = "content", key: str = "doc_id", vocab: DataFrame | None = None) -> DataFrame:
     """The second cleaning order; lower-casing comes last, so ``The`` survives the stop list."""
-    toks = df.select(key, text.clean_tokens_v2(F.col(col)).alias("_t"))
+    toks = spread(df.select(key, col), key).select(key, text.clean_tokens_v2(F.col(col)).alias("_t"))
     return lemmatize(toks, [key], {f"{col}_preproced": "_t"}, vocab)
 
 

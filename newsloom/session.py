@@ -48,3 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="newsloom-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def spread(df, *keys: str):
+    """Give CPU-heavy per-row work at least one partition per core.
+
+    A large scan already has thousands of splits and is returned unchanged (no shuffle);
+    a scan of a few big row groups is hash-partitioned by ``keys`` (round robin without).
+    Reading the partition count plans the scan but runs nothing.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)
