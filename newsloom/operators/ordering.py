@@ -22,3 +22,185 @@ def centre_out(info: DataFrame, keys: Sequence[str] = ("year", "month"), topic:
     sort_key = F.when(real, centre_out_key(F.col(topic))).otherwise(F.lit(None))
     w = Window.partitionBy(*k).orderBy(sort_key.asc_nulls_last())
     return src.withColumn(out, F.row_number().over(w).cast("long"))
+
+
+def topic_boundary(df: DataFrame, keys: Sequence[str], order: Sequence[str], topic: str = "topic",
+                   out: str = "topic_change") -> DataFrame:
+    """Topic minus the previous row's topic in display order; first row 0."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, F.coalesce(F.col(topic) - F.lag(topic).over(w), F.lit(0)))
+
+
+def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_pos") -> DataFrame:
+    """Dense row number (from 0) after a sort, per key."""
+    return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+
+
+def prob_centre(df: DataFrame, keys: Sequence[str], prob: str = "probabilities", doc: str = "doc_id",
+                out: str = "doc_pos") -> DataFrame:
+    """Documents with probability 1 in the middle (by doc); the others split by their
+    position in doc order: even positions ascending by probability before, odd positions
+    descending after. Unchanged (doc order) when none or all have probability 1."""
+    k = list(keys)
+    w_all = Window.partitionBy(*k)
+    ones = F.sum(F.when(F.col(prob) == 1, 1).otherwise(0)).over(w_all)
+    n = F.count(F.lit(1)).over(w_all)
+    is1 = F.col(prob) == 1
+    rest_pos = F.row_number().over(Window.partitionBy(*k, is1).orderBy(doc)) - 1
+    d = df.withColumn("_ones", ones).withColumn("_n", n).withColumn("_one", is1).withColumn("_rp", rest_pos)
+    keep = (F.col("_ones") == 0) | (F.col("_ones") == F.col("_n"))
+    grp = F.when(keep, 0).when(F.col("_one"), 1).when(F.col("_rp") % 2 == 0, 0).otherwise(2)
+    p = F.col(prob)
+    inner = F.when(keep, F.lit(0.0)).when(F.col("_one"), F.lit(0.0)).when(F.col("_rp") % 2 == 0, p).otherwise(-p)
+    w = Window.partitionBy(*k).orderBy(grp, inner, F.when(F.col("_one") | keep, F.col(doc)).otherwise(F.col("_rp")))
+    return d.withColumn(out, F.row_number().over(w).cast("long")).drop("_ones", "_n", "_one", "_rp")
+
+
+def half_flip(info: DataFrame, keys: Sequence[str], topic: str = "topic", out: str = "topic_pos") -> DataFrame:
+    """The top topic in the middle: ranks 1..h descending before it, the rest ascending after
+    (h = number of non-top topics // 2); -1 dropped."""
+    k = list(keys)
+    real = info.filter(F.col(topic) != -1)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*k))
+    r = F.col(topic)
+    h = F.floor((F.col("_n") - 1) / 2)
+    key = F.when(r == 0, F.lit(0)).when(r <= h, -r).otherwise(r)
+    return real.withColumn("_n", n).withColumn(
+        out, F.row_number().over(Window.partitionBy(*k).orderBy(key)).cast("long")).drop("_n")
+
+
+def order_by_size(df: DataFrame, keys: Sequence[str], topic: str = "topic", doc: str = "doc_id",
+                  outlier_last: bool = True, out: str = "order_pos") -> DataFrame:
+    """Topics by size (largest first, ties by id), members in doc order; -1 at the end."""
+    k = list(keys)
+    size = F.count(F.lit(1)).over(Window.partitionBy(*k, topic))
+    d = df.withColumn("_sz", size)
+    last = (F.col(topic) == -1) if outlier_last else F.lit(False)
+    w = Window.partitionBy(*k).orderBy(last, F.col("_sz").desc(), F.col(topic), F.col(doc))
+    return d.withColumn(out, F.row_number().over(w).cast("long")).drop("_sz")
+
+
+def order_centre(df: DataFrame, keys: Sequence[str], topic: str = "topic", doc: str = "doc_id",
+                 out: str = "order_pos") -> DataFrame:
+    """Topics by size, rank 0 = largest (-1 included when it is one of them). Even ranks
+    ascending by size, then odd ranks descending by size; -1 is taken out and goes to the
+    lighter side: more odd than even ranks -> front; fewer -> end; equal -> end when the
+    first odd topic is at least as big as the last even one, else front."""
+    k = list(keys)
+    sizes = df.groupBy(*k, topic).agg(F.count(F.lit(1)).alias("_sz"))
+    ranked = sizes.withColumn(
+        "_r", F.row_number().over(Window.partitionBy(*k).orderBy(F.col("_sz").desc(), F.col(topic))) - 1)
+    w_all = Window.partitionBy(*k)
+    real = F.col(topic) != -1
+    even = real & (F.col("_r") % 2 == 0)
+    odd = real & (F.col("_r") % 2 == 1)
+    n_even = F.count_if(even).over(w_all)
+    n_odd = F.count_if(odd).over(w_all)
+    # first odd = smallest odd rank (largest odd size); last even = largest even rank (smallest even size)
+    first_odd_size = F.min_by(F.when(odd, F.col("_sz")), F.when(odd, F.col("_r"))).over(w_all)
+    last_even_size = F.max_by(F.when(even, F.col("_sz")), F.when(even, F.col("_r"))).over(w_all)
+    has_out = F.max(F.when(~real, 1).otherwise(0)).over(w_all) == 1
+    r = ranked.withColumn("_ne", n_even).withColumn("_no", n_odd).withColumn("_fo", first_odd_size).withColumn(
+        "_le", last_even_size).withColumn("_ho", has_out)
+    front = (F.col("_no") > F.col("_ne")) | ((F.col("_no") == F.col("_ne")) & ~(F.col("_fo") >= F.col("_le")))
+    # sort key: (segment, position) ; segment 0 front outlier, 1 evens, 2 odds, 3 end outlier
+    seg = F.when(~real, F.when(front, 0).otherwise(3)).when(F.col("_r") % 2 == 0, 1).otherwise(2)
+    within = F.when(F.col("_r") % 2 == 0, F.col("_sz")).otherwise(-F.col("_sz"))
+    t = r.select(*k, topic, seg.alias("_seg"), within.alias("_within"), F.col("_r"))
+    d = df.join(t, k + [topic])
+    w = Window.partitionBy(*k).orderBy("_seg", "_within", "_r", doc)
+    return d.withColumn(out, F.row_number().over(w).cast("long")).drop("_seg", "_within", "_r")
+
+
+def global_position(df: DataFrame, order: Sequence[str], out: str = "row_pos") -> DataFrame:
+    """0-based position of every row in a total order, computed without a single-task window.
+
+    Rows are range-partitioned and sorted by ``order``; each partition numbers its rows
+    (Arrow batches, per-partition counter) and is checkpointed so that partition ids stay
+    fixed; partition sizes (one row per partition) give the offsets by a running sum.
+    """
+    from newsloom.session import ensure_checkpoint_dir
+    import pandas as pd
+    import pyarrow as pa  # noqa: F401
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n_parts = max(1, spark.sparkContext.defaultParallelism)
+    s = df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    from pyspark.sql import types as T
+
+    schema = T.StructType(s.schema.fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType())])
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        seen = 0
+        for pdf in batches:
+            pdf = pdf.assign(_pid=pid, _local=range(seen, seen + len(pdf)))
+            seen += len(pdf)
+            yield pdf
+
+    numbered = s.mapInPandas(number, schema).checkpoint(eager=True)
+    sizes = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = sizes.withColumn(
+        "_off", F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    ).select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))
+    # offsets has one row per partition: a proven bound, broadcast
+    return numbered.join(F.broadcast(offsets), "_pid").withColumn(
+        out, (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_local", "_off")
+
+
+def overlap_batches(df: DataFrame, order: Sequence[str], size: int = 3000, back: int = 1500,
+                    out: str = "batch") -> DataFrame:
+    """N div size batches (at least one); batch b holds rows [b*size - back, (b+1)*size),
+    the last one runs to the end. A row in the back-overlap of the next batch is in both."""
+    d = global_position(df, order, "row_pos")
+    n = d.agg(F.count(F.lit(1))).scalar()
+    last = F.greatest(F.floor(n / F.lit(size)) - 1, F.lit(0))
+    own = F.least(F.floor(F.col("row_pos") / size), last)
+    nxt = own + 1
+    in_next = (nxt <= last) & (F.col("row_pos") >= nxt * size - back)
+    batches = F.when(in_next, F.array(own, nxt)).otherwise(F.array(own))
+    return d.withColumn(out, F.explode(batches)).withColumn(out, F.col(out).cast("long"))
+
+
+def chunk_ranges(df: DataFrame, parts: int = 10) -> DataFrame:
+    """``parts`` equal ranges of the row numbers 0..n-1 of ``df`` and one more with the
+    rest (when there is one); n is a scalar subquery."""
+    n = df.agg(F.count(F.lit(1))).scalar()
+    step = F.floor(n / parts)
+    r = df.sparkSession.range(parts + 1).select(
+        F.col("id").alias("chunk"), (F.col("id") * step).alias("start"),
+        F.when(F.col("id") == parts, F.lit(n)).otherwise((F.col("id") + 1) * step).alias("end"))
+    return r.filter(F.col("start") < F.col("end"))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Cumulative sum per key in order (rows frame)."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.sum(value).over(w))
+
+
+# ------------------------------------------------------------------------ top-k
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
+    """K3/K12 core: first k rows per key (row_number pushed below the sort by Spark's
+    window-group limit)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w).cast("long")).filter(F.col(out) <= k)
+
+
+def dominant_topic(probs: Column) -> Column:
+    """K6: struct(topic, prob) of the largest probability, first wins ties; nothing above 0 -> (-1, 0)."""
+    m = F.array_max(probs)
+    idx = (F.array_position(probs, m) - 1).cast("int")
+    return F.when(m > 0, F.struct(idx.alias("topic"), m.alias("prob"))).otherwise(
+        F.struct(F.lit(-1).alias("topic"), F.lit(0.0).alias("prob")))
+
+
+def topics_above(probs: Column, t: float) -> Column:
+    """K7: array of struct(topic, prob) with prob >= t; none -> [(-1, 0)]."""
+    z = F.transform(probs, lambda p, i: F.struct(i.cast("int").alias("topic"), p.alias("prob")))
+    f = F.filter(z, lambda s: s["prob"] >= t)
+    return F.when(F.size(f) > 0, f).otherwise(
+        F.array(F.struct(F.lit(-1).alias("topic"), F.lit(0.0).alias("prob"))))

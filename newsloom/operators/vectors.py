@@ -155,3 +155,74 @@ def vector_mean(df: DataFrame, keys: Sequence[str], vec_col: str = "v", out: str
         F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda s: s["_m"]).alias(out),
         F.count(F.lit(1)).alias("_dims"),
     ).drop("_dims")
+
+
+def best_partner(
+    vectors: DataFrame,
+    id_col: str = "doc_id",
+    vec_col: str = "v",
+    keys: Sequence[str] = (),
+    block_rows: int = DEFAULT_BLOCK_ROWS,
+) -> DataFrame:
+    """Most similar other row per row: ``keys..., id, best_id, best_sim`` (ties -> smallest id).
+
+    Each block-pair task keeps only the best partner of each of its rows, so the shuffle
+    after the product carries (rows x blocks), not all pairs. Rows without any partner
+    (a group of one) get best_id -1 and best_sim NULL.
+    """
+    k = list(keys)
+    unit = vec.normalise_df(vectors.select(*k, F.col(id_col), F.col(vec_col).alias("_v")), "_v", "_u").drop("_v")
+    rep = block_pairs(unit, id_col, "_u", k, block_rows)
+    gk = k if k else ["_g"]
+    schema = T.StructType(
+        _key_fields(rep, gk)
+        + [T.StructField("id", T.LongType()), T.StructField("best_id", T.LongType()),
+           T.StructField("best_sim", T.DoubleType())]
+    )
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["_b1"].iloc[0] == pdf["_b2"].iloc[0]
+        left = pdf if same else pdf[pdf["_side"] == 0]
+        right = pdf if same else pdf[pdf["_side"] == 1]
+        rows = []
+        if len(left) and len(right):
+            L = np.stack(left["u"].to_numpy()).astype(np.float64)
+            R = np.stack(right["u"].to_numpy()).astype(np.float64)
+            li = left["id"].to_numpy(np.int64)
+            ri = right["id"].to_numpy(np.int64)
+            S = L @ R.T
+            sides = [(li, ri, S)] if same else [(li, ri, S), (ri, li, S.T)]
+            for a, b, M in sides:
+                M = M.copy()
+                if same:
+                    M[a[:, None] == b[None, :]] = -np.inf
+                # best by (sim desc, id asc): order columns by id, argmax takes the first maximum
+                order = np.argsort(b, kind="stable")
+                Mo = M[:, order]
+                j = np.argmax(Mo, axis=1)
+                best = Mo[np.arange(len(a)), j]
+                ok = np.isfinite(best)
+                rows.append(pd.DataFrame({"id": a[ok], "best_id": b[order][j][ok], "best_sim": best[ok]}))
+        out = pd.concat(rows) if rows else pd.DataFrame({"id": [], "best_id": [], "best_sim": []})
+        out = out.astype({"id": "int64", "best_id": "int64", "best_sim": "float64"})
+        for c in gk:
+            out[c] = pdf[c].iloc[0]
+        return out[[f.name for f in schema.fields]]
+
+    cands = rep.groupBy(*gk, "_b1", "_b2").applyInPandas(fn, schema)
+    best = cands.groupBy(*gk, "id").agg(
+        F.max(F.struct(F.col("best_sim"), (-F.col("best_id")).alias("_nid"))).alias("_b"))
+    best = best.select(*gk, F.col("id"), (-F.col("_b._nid")).alias("best_id"), F.col("_b.best_sim").alias("best_sim"))
+    allids = unit.select(*k, F.col(id_col).alias("id"))
+    if not k:
+        best = best.drop("_g")
+    return allids.join(best, k + ["id"], "left").select(
+        *k, "id", F.coalesce("best_id", F.lit(-1).cast("long")).alias("best_id"), "best_sim")
+
+
+def one_vs_all(vectors: DataFrame, query_id, id_col: str = "doc_id", vec_col: str = "v") -> DataFrame:
+    """K9: cosine of one row's vector with every row (the one vector is a scalar subquery)."""
+    q = vectors.filter(F.col(id_col) == query_id).select(vec_col).scalar()
+    # the scalar subquery is projected into a column first: lambdas cannot hold subqueries
+    with_q = vectors.select(id_col, vec_col, q.alias("_q"))
+    return with_q.select(id_col, vec.cosine(F.col(vec_col), F.col("_q")).alias("cosine"))

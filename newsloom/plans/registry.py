@@ -27,6 +27,27 @@ def round_floats(df: DataFrame, places: int = 4) -> DataFrame:
     return df.select(*cols)
 
 
+def bigint_counts(sql: str) -> str:
+    """DuckDB's ``count_if`` is HUGEINT; wrap every call in a BIGINT cast (Spark's type)."""
+    out, i, tag = [], 0, "count_if("
+    while True:
+        j = sql.find(tag, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(tag) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1
+
+
 def query(name: str, sql: str | None = None, rounded: bool = True):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with an optional oracle."""
 
@@ -39,7 +60,7 @@ def query(name: str, sql: str | None = None, rounded: bool = True):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = bigint_counts(sql)
         return fn
 
     return deco
@@ -47,4 +68,4 @@ def query(name: str, sql: str | None = None, rounded: bool = True):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from newsloom.plans import q_clean, q_core  # noqa: F401
+    from newsloom.plans import q_agg, q_clean, q_core, q_order  # noqa: F401

@@ -34,3 +34,25 @@ sen AS (
 def with_(*parts: str) -> str:
     """WITH over CTE parts; the last part is the final SELECT."""
     return "WITH " + ",".join(parts[:-1]) + "\n" + parts[-1]
+
+
+GLOBAL_EDGES = """
+vv AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+gedges AS (SELECT a.vec_id AS id1, b.vec_id AS id2, list_cosine_similarity(a.v, b.v) AS weight
+           FROM vv a JOIN vv b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.35)"""
+
+MONTH_EDGES = """
+medges AS (SELECT a.year, a.month, a.doc_id AS id1, b.doc_id AS id2, list_cosine_similarity(a.v, b.v) AS weight
+           FROM dv a JOIN dv b ON a.year = b.year AND a.month = b.month AND a.doc_id < b.doc_id
+           WHERE list_cosine_similarity(a.v, b.v) >= 0.35)"""
+
+PROBS = """
+cent AS (SELECT year, month, topic, list(m ORDER BY p) AS c FROM (
+           SELECT year, month, topic, p, avg(x) AS m FROM (
+             SELECT year, month, topic, generate_subscripts(v, 1) AS p, unnest(v) AS x FROM sen WHERE topic <> -1)
+           GROUP BY year, month, topic, p) GROUP BY year, month, topic),
+cs AS (SELECT s.doc_id, list(list_cosine_similarity(s.v, c.c) ORDER BY c.topic) AS cs
+       FROM sen s JOIN cent c USING (year, month) GROUP BY s.doc_id),
+prb AS (SELECT sen.*, list_transform(cs.cs, lambda x: exp(x - list_max(cs.cs)) /
+                 list_sum(list_transform(cs.cs, lambda y: exp(y - list_max(cs.cs))))) AS probs
+        FROM sen JOIN cs USING (doc_id))"""
