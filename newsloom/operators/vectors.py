@@ -226,3 +226,149 @@ def one_vs_all(vectors: DataFrame, query_id, id_col: str = "doc_id", vec_col: st
     # the scalar subquery is projected into a column first: lambdas cannot hold subqueries
     with_q = vectors.select(id_col, vec_col, q.alias("_q"))
     return with_q.select(id_col, vec.cosine(F.col(vec_col), F.col("_q")).alias("cosine"))
+
+
+METRICS = ("pearson_corr", "spearman_corr", "kendalltau_corr", "cosine_similarity", "euclidean_distance",
+           "manhattan_distance")
+
+
+def _avg_ranks(X: np.ndarray) -> np.ndarray:
+    """Average ranks (1-based, ties share their mean rank) of every row."""
+    out = np.empty_like(X, dtype=np.float64)
+    for r in range(X.shape[0]):
+        x = X[r]
+        order = np.argsort(x, kind="mergesort")
+        xs = x[order]
+        ranks = np.empty(len(x), dtype=np.float64)
+        i = 0
+        while i < len(x):
+            j = i
+            while j + 1 < len(x) and xs[j + 1] == xs[i]:
+                j += 1
+            ranks[order[i:j + 1]] = (i + j) / 2.0 + 1.0
+            i = j + 1
+        out[r] = ranks
+    return out
+
+
+def _unit_rows(X: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(X, axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(n > 0, X / np.where(n > 0, n, 1.0), np.nan)
+
+
+def _features(X: np.ndarray) -> dict:
+    """Per-vector forms prepared once: centred-unit (Pearson), rank-centred-unit (Spearman),
+    unit sign vectors over element pairs (Kendall tau-b), unit vector (cosine), squared norm."""
+    d = X.shape[1]
+    iu, ju = np.triu_indices(d, 1)
+    C = X - X.mean(axis=1, keepdims=True)
+    Rk = _avg_ranks(X)
+    Rc = Rk - Rk.mean(axis=1, keepdims=True)
+    Sg = np.sign(X[:, ju] - X[:, iu])
+    n = np.linalg.norm(X, axis=1, keepdims=True)
+    U = np.where(n > 0, X / np.where(n > 0, n, 1.0), 0.0)
+    return {"P": _unit_rows(C), "S": _unit_rows(Rc), "K": _unit_rows(Sg), "U": U, "sq": (X * X).sum(axis=1), "X": X}
+
+
+def _metric_block(A: dict, B: dict) -> dict:
+    out = {
+        "pearson_corr": A["P"] @ B["P"].T,
+        "spearman_corr": A["S"] @ B["S"].T,
+        "kendalltau_corr": A["K"] @ B["K"].T,
+        "cosine_similarity": A["U"] @ B["U"].T,
+    }
+    g = A["X"] @ B["X"].T
+    out["euclidean_distance"] = np.sqrt(np.maximum(A["sq"][:, None] + B["sq"][None, :] - 2 * g, 0.0))
+    man = np.empty(g.shape)
+    step = max(1, 4_000_000 // max(1, B["X"].shape[0] * B["X"].shape[1]))
+    for s in range(0, A["X"].shape[0], step):
+        man[s:s + step] = np.abs(A["X"][s:s + step, None, :] - B["X"][None, :, :]).sum(axis=2)
+    out["manhattan_distance"] = man
+    return out
+
+
+def pair_metrics(
+    vectors: DataFrame,
+    id_col: str = "doc_id",
+    vec_col: str = "v",
+    keys: Sequence[str] = (),
+    block_rows: int = 1024,
+) -> DataFrame:
+    """V7 (V1-V6): the six metrics for every ordered pair (i, j) of a key group, i = j included.
+
+    Output: keys..., ``document_1, document_2`` and the six metric columns. Constant vectors
+    give NULL correlations; a zero vector gives cosine 0. Per-vector forms (centring, ranks,
+    Kendall sign vectors) are built once per block, then every metric is a matrix product
+    except Manhattan (chunked broadcasting).
+    """
+    k = list(keys)
+    rep = block_pairs(vectors.select(*k, F.col(id_col), F.col(vec_col)), id_col, vec_col, k, block_rows)
+    gk = k if k else ["_g"]
+    schema = T.StructType(
+        _key_fields(rep, gk)
+        + [T.StructField("document_1", T.LongType()), T.StructField("document_2", T.LongType())]
+        + [T.StructField(m, T.DoubleType()) for m in METRICS]
+    )
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["_b1"].iloc[0] == pdf["_b2"].iloc[0]
+        left = pdf if same else pdf[pdf["_side"] == 0]
+        right = pdf if same else pdf[pdf["_side"] == 1]
+        parts = []
+        if len(left) and len(right):
+            XL = np.stack(left["u"].to_numpy()).astype(np.float64)
+            XR = XL if same else np.stack(right["u"].to_numpy()).astype(np.float64)
+            FL = _features(XL)
+            FR = FL if same else _features(XR)
+            M = _metric_block(FL, FR)
+            li = left["id"].to_numpy(np.int64)
+            ri = right["id"].to_numpy(np.int64)
+            ii, jj = np.meshgrid(np.arange(len(li)), np.arange(len(ri)), indexing="ij")
+            ii, jj = ii.ravel(), jj.ravel()
+            cols = {"document_1": li[ii], "document_2": ri[jj]}
+            for m in METRICS:
+                cols[m] = M[m][ii, jj]
+            parts.append(pd.DataFrame(cols))
+            if not same:  # the mirrored direction of a cross-block product
+                rev = {"document_1": ri[jj], "document_2": li[ii]}
+                for m in METRICS:
+                    rev[m] = M[m][ii, jj]
+                parts.append(pd.DataFrame(rev))
+        out = pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ["document_1", "document_2", *METRICS]})
+        out["pearson_corr"] = out["pearson_corr"].clip(-1, 1)
+        for c in gk:
+            out[c] = pdf[c].iloc[0]
+        return out[[f.name for f in schema.fields]]
+
+    res = rep.groupBy(*gk, "_b1", "_b2").applyInPandas(fn, schema)
+    # NaN (constant vector) -> NULL, as the SQL aggregate gives
+    res = res.select(*[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in METRICS else F.col(c)
+                       for c in res.columns])
+    return res.drop("_g") if not k else res
+
+
+def jaccard(a, b):
+    """|a intersect b| / |a union b| of two arrays taken as sets; both empty -> NULL."""
+    return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+
+
+def approx_cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "doc_id", vec_col: str = "v",
+                        bucket_length: float = 0.5, tables: int = 4, seed: int = 7) -> DataFrame:
+    """V9: near-neighbour pairs by random-projection LSH on unit vectors (d^2 = 2 - 2 cos).
+
+    Approximate: recall below 1 is possible; every emitted pair is exact and >= threshold.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    unit = vec.normalise_df(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")), "_v", "_u")
+    feats = unit.select("id", array_to_vector("_u").alias("features"))
+    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
+                                      numHashTables=tables, seed=seed).fit(feats)
+    dist = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    j = lsh.approxSimilarityJoin(feats, feats, dist, distCol="d")
+    return j.select(
+        F.col("datasetA.id").alias("id1"), F.col("datasetB.id").alias("id2"),
+        (F.lit(1.0) - F.col("d") * F.col("d") / 2).alias("weight"),
+    ).filter((F.col("id1") < F.col("id2")) & (F.col("weight") >= threshold))

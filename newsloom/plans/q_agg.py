@@ -222,11 +222,13 @@ def j01(spark, sf_dir):
 
 @query("j02_join_title", with_(ARTICLES, """
  SELECT a.doc_id, coalesce(d.raw_title, coalesce(a.title, 'no_title')) AS title
- FROM art a LEFT JOIN (SELECT doc_id, 'raw: ' || title AS raw_title FROM art WHERE doc_id % 3 = 0) d USING (doc_id)"""))
+ FROM art a LEFT JOIN (SELECT a2.doc_id, 'raw: ' || a2.title AS raw_title FROM art a2 JOIN documents d2 USING (doc_id)
+                      WHERE d2.lang = 'fr') d USING (doc_id)"""))
 def j02(spark, sf_dir):
-    """Raw titles given for some documents (every third, marked here) override the clean title."""
+    """Raw titles given for some documents (the French ones, marked here) override the clean title."""
     a = _art(spark, sf_dir).withColumn("title", F.coalesce("title", F.lit("no_title")))
-    raw = _art(spark, sf_dir).filter(F.col("doc_id") % 3 == 0).select("doc_id", F.concat(F.lit("raw: "), "title").alias("title"))
+    fr = tables.read_table(spark, sf_dir, "documents").filter(F.col("lang") == "fr").select("doc_id")
+    raw = _art(spark, sf_dir).join(fr, "doc_id").select("doc_id", F.concat(F.lit("raw: "), "title").alias("title"))
     return A.join_title(a.select("doc_id", "title"), raw)
 
 
@@ -252,12 +254,12 @@ def j04(spark, sf_dir):
 
 
 @query("j05_all_pairs", """
- WITH vv AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label = 3)
+ WITH vv AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
  SELECT a.vec_id AS id1, b.vec_id AS id2, round(list_cosine_similarity(a.v, b.v), 4) AS weight
  FROM vv a, vv b""")
 def j05(spark, sf_dir):
-    """Every ordered pair incl. self pairs (blocked product, both directions) of one label's vectors."""
-    v = tables.vector_view(spark, sf_dir).filter(F.col("label") == 3)
+    """Every ordered pair incl. self pairs (blocked product, both directions)."""
+    v = tables.vector_view(spark, sf_dir)
     p = V.cosine_pairs(v, "vec_id", "v", None, include_self=True)
     return p.unionByName(p.filter(F.col("id1") != F.col("id2")).select(
         F.col("id2").alias("id1"), F.col("id1").alias("id2"), "weight"))
@@ -303,10 +305,10 @@ def j09(spark, sf_dir):
 # ------------------------------------------------------------------ U
 @query("u01_concat_rows", with_(ARTICLES, """
  SELECT doc_id, title, NULL::VARCHAR AS lang FROM art WHERE year = 2015
- UNION ALL SELECT doc_id, NULL AS title, lang FROM documents WHERE doc_id % 2 = 1"""))
+ UNION ALL SELECT doc_id, NULL AS title, lang FROM documents WHERE lang <> 'en'"""))
 def u01(spark, sf_dir):
     a = _art(spark, sf_dir).filter(F.col("year") == 2015).select("doc_id", "title")
-    b = tables.read_table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 1).select("doc_id", "lang")
+    b = tables.read_table(spark, sf_dir, "documents").filter(F.col("lang") != "en").select("doc_id", "lang")
     return A.concat_rows(a, b)
 
 
