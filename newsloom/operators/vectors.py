@@ -372,3 +372,59 @@ def approx_cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "doc
         F.col("datasetA.id").alias("id1"), F.col("datasetB.id").alias("id2"),
         (F.lit(1.0) - F.col("d") * F.col("d") / 2).alias("weight"),
     ).filter((F.col("id1") < F.col("id2")) & (F.col("weight") >= threshold))
+
+
+def top_partners(
+    vectors: DataFrame,
+    k: int,
+    id_col: str = "doc_id",
+    vec_col: str = "v",
+    keys: Sequence[str] = (),
+    block_rows: int = DEFAULT_BLOCK_ROWS,
+) -> DataFrame:
+    """The k most similar other rows per row: ``keys..., id, other, sim, rank`` (ties by id).
+
+    Each block-pair task keeps the best k per row; a window per row merges the blocks' lists.
+    """
+    kk = list(keys)
+    unit = vec.normalise_df(vectors.select(*kk, F.col(id_col), F.col(vec_col).alias("_v")), "_v", "_u").drop("_v")
+    rep = block_pairs(unit, id_col, "_u", kk, block_rows)
+    gk = kk if kk else ["_g"]
+    schema = T.StructType(
+        _key_fields(rep, gk)
+        + [T.StructField("id", T.LongType()), T.StructField("other", T.LongType()), T.StructField("sim", T.DoubleType())]
+    )
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["_b1"].iloc[0] == pdf["_b2"].iloc[0]
+        left = pdf if same else pdf[pdf["_side"] == 0]
+        right = pdf if same else pdf[pdf["_side"] == 1]
+        rows = []
+        if len(left) and len(right):
+            L = np.stack(left["u"].to_numpy()).astype(np.float64)
+            R = np.stack(right["u"].to_numpy()).astype(np.float64)
+            li = left["id"].to_numpy(np.int64)
+            ri = right["id"].to_numpy(np.int64)
+            S = L @ R.T
+            sides = [(li, ri, S)] if same else [(li, ri, S), (ri, li, S.T)]
+            for a, b, M in sides:
+                M = M.copy()
+                if same:
+                    M[a[:, None] == b[None, :]] = -np.inf
+                # order by (sim desc, id asc)
+                order = np.lexsort((np.broadcast_to(b, M.shape), -M), axis=1)[:, :k]
+                sims = np.take_along_axis(M, order, axis=1)
+                ids = b[order]
+                ok = np.isfinite(sims)
+                rows.append(pd.DataFrame({"id": np.repeat(a, order.shape[1])[ok.ravel()],
+                                          "other": ids.ravel()[ok.ravel()], "sim": sims.ravel()[ok.ravel()]}))
+        out = pd.concat(rows) if rows else pd.DataFrame({"id": [], "other": [], "sim": []})
+        out = out.astype({"id": "int64", "other": "int64", "sim": "float64"})
+        for c in gk:
+            out[c] = pdf[c].iloc[0]
+        return out[[f.name for f in schema.fields]]
+
+    cands = rep.groupBy(*gk, "_b1", "_b2").applyInPandas(fn, schema)
+    w = Window.partitionBy(*gk, "id").orderBy(F.col("sim").desc(), F.col("other"))
+    top = cands.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return top.drop("_g") if not kk else top
