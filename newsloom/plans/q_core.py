@@ -7,7 +7,7 @@ from newsloom.plans.registry import query
 from newsloom.plans.sql_common import ARTICLES, TOPICS, with_
 from newsloom.sources import tables
 
-T5_SQL = with_(TOPICS, """
+T5_CTES = """
 info AS (SELECT year, month, topic, count(*) AS cnt, min(label) AS lbl FROM sen GROUP BY year, month, topic),
 mon AS (SELECT year, month FROM info GROUP BY year, month HAVING sum(cnt) > 8 AND count(*) > 1),
 ord AS (
@@ -34,26 +34,34 @@ sc AS (
 sz AS (
   SELECT a.year, a.month, a.doc_id, count(*) AS document1_size
   FROM sen a JOIN sen b ON a.year = b.year AND a.month = b.month AND list_cosine_similarity(a.v, b.v) >= 0.35
-  GROUP BY a.year, a.month, a.doc_id)""", """
+  GROUP BY a.year, a.month, a.doc_id),
+g5 AS (
 SELECT s.year, s.month, s.doc_id AS document1, s.topic, tp.topic_pos,
        CAST(1.0 AS DOUBLE) AS probabilities,
        coalesce(s.title, 'no title') AS document1_title,
        sz.document1_size,
        coalesce(lag(s.doc_id) OVER wd, s.doc_id) AS document2,
-       round(CASE WHEN lag(s.doc_id) OVER wd IS NULL THEN 0.0
-                  ELSE list_cosine_similarity(s.v, lag(s.v) OVER wd) END, 4) AS similarity_previous_document,
-       round(tp.similarity_previous_topic, 4) AS similarity_previous_topic,
+       CASE WHEN lag(s.doc_id) OVER wd IS NULL THEN 0.0
+            ELSE list_cosine_similarity(s.v, lag(s.v) OVER wd) END AS similarity_previous_document,
+       tp.similarity_previous_topic,
        tp.topic_name,
        CASE WHEN neutral >= negative AND neutral >= positive THEN 'neutral'
             WHEN negative > neutral AND negative > positive THEN 'negative' ELSE 'positive' END
          AS sentimet_classification,
-       round(CASE WHEN neutral >= negative AND neutral >= positive THEN neutral
-                  WHEN negative > neutral AND negative > positive THEN negative ELSE positive END, 4) AS sentimet_score,
-       round(setiment_scale, 4) AS setiment_scale,
-       round(avg(setiment_scale) OVER (PARTITION BY s.year, s.month, s.topic), 4) AS setiment_scale_mean
+       CASE WHEN neutral >= negative AND neutral >= positive THEN neutral
+            WHEN negative > neutral AND negative > positive THEN negative ELSE positive END AS sentimet_score,
+       setiment_scale,
+       avg(setiment_scale) OVER (PARTITION BY s.year, s.month, s.topic) AS setiment_scale_mean
 FROM sc s JOIN tp USING (year, month, topic) JOIN sz USING (year, month, doc_id)
-WINDOW wd AS (PARTITION BY s.year, s.month, s.topic ORDER BY s.doc_id)
-""")
+WINDOW wd AS (PARTITION BY s.year, s.month, s.topic ORDER BY s.doc_id))"""
+T5_FINAL = """
+SELECT year, month, document1, topic, topic_pos, probabilities, document1_title, document1_size, document2,
+       round(similarity_previous_document, 4) AS similarity_previous_document,
+       round(similarity_previous_topic, 4) AS similarity_previous_topic, topic_name, sentimet_classification,
+       round(sentimet_score, 4) AS sentimet_score, round(setiment_scale, 4) AS setiment_scale,
+       round(setiment_scale_mean, 4) AS setiment_scale_mean
+FROM g5"""
+T5_SQL = with_(TOPICS, T5_CTES, T5_FINAL)
 
 
 @query("t5_graph_dataset", T5_SQL)
