@@ -62,3 +62,11 @@ def spread(df, *keys: str):
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
+def scratch_path(spark, name: str) -> str:
+    """A fresh folder for intermediate files under the cluster's checkpoint folder (shared storage)."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
