@@ -44,3 +44,69 @@ def probabilities_from_logits(df: DataFrame, logits: Column) -> DataFrame:
     """F1 + N1 tail: three class probabilities from a logits array."""
     p = vec.softmax(logits)
     return df.select("*", *(F.element_at(p, i + 1).alias(c) for i, c in enumerate(CLASSES)))
+
+
+def lexicon_from_labels(docs: DataFrame, labels: DataFrame, tokens_col: str = "toks", key: str = "doc_id",
+                        min_docs: int = 5) -> DataFrame:
+    """A learned default lexicon: per token, how much more often its labelled documents are
+    toxic (negative weight) or of good quality (positive weight) than all labelled documents.
+    Output: word, neg, neu (0), pos. Tokens in fewer than ``min_docs`` labelled documents are left out."""
+    lab = docs.select(key, F.array_distinct(tokens_col).alias("_t")).join(labels, key)
+    base = lab.agg(F.avg("toxic").alias("_bt"), F.avg("quality").alias("_bq"))
+    per = lab.select(F.explode("_t").alias("word"), "toxic", "quality").groupBy("word").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("toxic").alias("_t"), F.avg("quality").alias("_q"))
+    per = per.filter(F.col("_n") >= min_docs)
+    bt = base.select("_bt").scalar()
+    bq = base.select("_bq").scalar()
+    return per.select("word", (F.col("_t") - bt).alias("neg"), F.lit(0.0).alias("neu"), (F.col("_q") - bq).alias("pos"))
+
+
+def score_sentiment(docs: DataFrame, lexicon: DataFrame, tokens_col: str = "toks", key: str = "doc_id",
+                    scale: float = 1.0) -> DataFrame:
+    """N1 (default scorer): logits = summed lexicon weights of the tokens (join on word;
+    the lexicon is vocabulary sized), softmax -> negative, neutral, positive."""
+    ex = docs.select(key, F.explode(tokens_col).alias("word"))
+    sums = ex.join(lexicon, "word").groupBy(key).agg(
+        F.sum("neg").alias("_n"), F.sum("neu").alias("_u"), F.sum("pos").alias("_p"))
+    allk = docs.select(key).join(sums, key, "left")
+    logits = F.array(*[F.lit(scale) * F.coalesce(F.col(c), F.lit(0.0)) for c in ("_n", "_u", "_p")])
+    return probabilities_from_logits(allk, logits).drop("_n", "_u", "_p")
+
+
+def score_binary(scored: DataFrame) -> DataFrame:
+    """Two-class form: label POSITIVE/NEGATIVE and its softmax score over (neg, pos) logits."""
+    p = F.col("positive") / (F.col("positive") + F.col("negative"))
+    return scored.withColumn("label", F.when(p >= 0.5, F.lit("POSITIVE")).otherwise(F.lit("NEGATIVE"))).withColumn(
+        "score", F.greatest(p, F.lit(1.0) - p))
+
+
+def score_with_fallback(df: DataFrame, scorer, sizes, text_col: str = "content", key: str = "doc_id") -> DataFrame:
+    """Per row, the first size of ``sizes`` whose cut text the scorer accepts (a scorer
+    raises ValueError to refuse). Runs inside Arrow batches: ``scorer(list[str]) -> list[float]``
+    is called per size on the rows still open. Output: key, size, score (NULL when none fits)."""
+    sizes = list(sizes)
+
+    def run(batches):
+        for pdf in batches:
+            out_size = [None] * len(pdf)
+            out_score = [None] * len(pdf)
+            texts = pdf[text_col].fillna("").tolist()
+            for i, t in enumerate(texts):
+                for s in sizes:
+                    try:
+                        out_score[i] = float(scorer([t[:s]])[0])
+                        out_size[i] = s
+                        break
+                    except ValueError:
+                        continue
+            yield pd.DataFrame({key: pdf[key], "size": pd.array(out_size, dtype="Int64"),
+                                "score": pd.array(out_score, dtype="Float64")})
+
+    return df.select(key, text_col).mapInPandas(run, f"{key} long, size long, score double")
+
+
+def train_sentiment(features: DataFrame, label: str = "label", features_col: str = "features", seed: int = 43):
+    """A multinomial logistic regression on document features (e.g. TF-IDF vectors)."""
+    from pyspark.ml.classification import LogisticRegression
+
+    return LogisticRegression(family="multinomial", labelCol=label, featuresCol=features_col, maxIter=50).fit(features)

@@ -68,4 +68,4 @@ def query(name: str, sql: str | None = None, rounded: bool = True):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from newsloom.plans import q_agg, q_clean, q_core, q_feat, q_graph, q_io, q_order, q_topic, q_vec  # noqa: F401
+    from newsloom.plans import q_agg, q_clean, q_core, q_feat, q_graph, q_io, q_model, q_order, q_topic, q_vec  # noqa: F401
