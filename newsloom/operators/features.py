@@ -59,7 +59,7 @@ def tfidf(counts: DataFrame, key: Sequence[str]) -> DataFrame:
     return raw.select(*k, "term", "df", (F.col("_w") / norm).alias("w"))
 
 
-def tfidf_cosine(vecs: DataFrame, threshold: float, key: str = "doc_id", block_rows: int = 1024) -> DataFrame:
+def tfidf_cosine(vecs: DataFrame, threshold: float, key: str = "doc_id", block_rows: int = 2048) -> DataFrame:
     """M4: document pairs with TF-IDF cosine >= threshold (exact): ``id1 < id2, weight``.
 
     ``vecs``: key, term, w (unit length per document). Each document's sparse vector is
@@ -76,7 +76,10 @@ def tfidf_cosine(vecs: DataFrame, threshold: float, key: str = "doc_id", block_r
     from newsloom.operators.vectors import block_pairs
 
     packed = vecs.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("w").alias("w")))).alias("sv"))
+        F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("w").alias("w")))).alias("_sv"))
+    # two parallel arrays reach pandas as numpy arrays (no per-element Python objects)
+    packed = packed.select(key, F.struct(F.transform("_sv", lambda e: e["h"]).alias("h"),
+                                         F.transform("_sv", lambda e: e["w"]).alias("w")).alias("sv"))
     rep = block_pairs(packed, key, "sv", (), block_rows)
     schema = T.StructType([T.StructField("id1", T.LongType()), T.StructField("id2", T.LongType()),
                            T.StructField("weight", T.DoubleType())])
@@ -84,13 +87,13 @@ def tfidf_cosine(vecs: DataFrame, threshold: float, key: str = "doc_id", block_r
 
     def flat(side):
         ids = side["id"].to_numpy(np.int64)
-        lens = np.array([len(x) for x in side["u"]], dtype=np.int64)
+        hs = [np.asarray(v["h"], dtype=np.int64) for v in side["u"]]
+        ws = [np.asarray(v["w"], dtype=np.float64) for v in side["u"]]
+        lens = np.array([len(x) for x in hs], dtype=np.int64)
         if lens.sum() == 0:
             return ids, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         doc = np.repeat(np.arange(len(ids)), lens)
-        h = np.concatenate([np.array([e["h"] for e in x], dtype=np.int64) for x in side["u"] if len(x)])
-        w = np.concatenate([np.array([e["w"] for e in x], dtype=np.float64) for x in side["u"] if len(x)])
-        return ids, doc, h, w
+        return ids, doc, np.concatenate(hs), np.concatenate(ws)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["_b1"].iloc[0] == pdf["_b2"].iloc[0]
