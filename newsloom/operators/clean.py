@@ -25,11 +25,11 @@ def fill_title(df: DataFrame, value: str = "no_title", col: str = "title") -> Da
 def lemma_map(tokens: DataFrame, vocab: DataFrame | None = None, rules=None) -> DataFrame:
     """Lemma per distinct token: ``tok, lemma`` for tokens whose lemma differs.
 
-    A suffix rule's result counts only when it is a word of ``vocab`` (default: the
-    distinct tokens themselves); the shortest candidate wins, ties by text.
-    Without an outside vocabulary this is two aggregations and no join: every distinct
-    token emits itself and its rule results keyed by the candidate word, and a word
-    group (at most one row per rule plus one) says whether the word exists.
+    Candidates are the token itself and its suffix-rule results; a candidate counts only
+    when it is a word of ``vocab`` (default: the distinct tokens themselves). The shortest
+    candidate wins, ties by text. This is two aggregations and no join: every distinct token
+    emits itself and its rule results keyed by the candidate word, and a word group says
+    whether the word exists (groups hold at most a few rows per rule).
     """
     rules = text.NOUN_SUFFIX_RULES if rules is None else rules
     toks = tokens.select("tok").distinct()
@@ -38,26 +38,27 @@ def lemma_map(tokens: DataFrame, vocab: DataFrame | None = None, rules=None) ->
         F.transform(
             rule_arr,
             lambda r: F.when(
-                F.col("tok").endswith(r["suf"]) & (F.length("tok") > F.length(r["suf"])),
+                F.col("tok").endswith(r["suf"]) & (F.length("tok") - F.length(r["suf"]) + F.length(r["rep"]) > 0),
                 F.concat(F.col("tok").substr(F.lit(1), F.length("tok") - F.length(r["suf"])), r["rep"]),
             ),
         ),
         lambda c: c.isNotNull(),
     )
-    rows = toks.select("tok", F.explode(cand).alias("word"), F.lit(False).alias("is_word"))
-    if vocab is None:
-        rows = rows.unionByName(toks.select("tok", F.col("tok").alias("word"), F.lit(True).alias("is_word")))
-    else:
+    # candidate rows (word, tok): the token itself and its rule results; a word exists when
+    # it is a vocabulary word (by default: any token)
+    rows = toks.select("tok", F.explode(F.array_union(F.array(F.col("tok")), cand)).alias("word"),
+                       F.lit(vocab is None).alias("in_vocab"))
+    rows = rows.withColumn("in_vocab", F.col("in_vocab") & (F.col("word") == F.col("tok")))
+    if vocab is not None:
         rows = rows.unionByName(
-            vocab.select(F.lit(None).cast("string").alias("tok"), "word", F.lit(True).alias("is_word")).distinct()
-        )
+            vocab.select(F.lit(None).cast("string").alias("tok"), "word", F.lit(True).alias("in_vocab")).distinct())
     per_word = rows.groupBy("word").agg(
-        F.max("is_word").alias("exists"),
-        F.collect_set(F.when(~F.col("is_word"), F.col("tok"))).alias("from_toks"),
+        F.max("in_vocab").alias("exists"),
+        F.collect_set("tok").alias("from_toks"),
     )
     valid = per_word.filter("exists").select("word", F.explode("from_toks").alias("tok"))
     best = valid.groupBy("tok").agg(F.min(F.struct(F.length("word").alias("n"), F.col("word").alias("c"))).alias("b"))
-    return best.filter(F.col("b.n") < F.length("tok")).select("tok", F.col("b.c").alias("lemma"))
+    return best.filter(F.col("b.c") != F.col("tok")).select("tok", F.col("b.c").alias("lemma"))
 
 
 def lemmatize(df: DataFrame, key: Sequence[str], token_cols: dict, vocab: DataFrame | None = None) -> DataFrame:

@@ -96,11 +96,11 @@ def _sql_lemmas(src_cte: str) -> str:
 dt AS (SELECT DISTINCT tok FROM ex),
 {_sql_rules()},
 cand AS (SELECT d.tok, substr(d.tok, 1, length(d.tok) - length(r.suf)) || r.rep AS cand
-         FROM dt d JOIN rules r ON suffix(d.tok, r.suf) AND length(d.tok) > length(r.suf)),
-okc AS (SELECT c.tok, c.cand FROM cand c WHERE c.cand IN (SELECT tok FROM dt)),
+         FROM dt d JOIN rules r ON suffix(d.tok, r.suf) AND length(d.tok) - length(r.suf) + length(r.rep) > 0),
+okc AS (SELECT c.tok, c.cand FROM cand c WHERE c.cand IN (SELECT tok FROM dt) UNION SELECT tok, tok FROM dt),
 lm AS (SELECT tok, cand AS lemma FROM (
          SELECT tok, cand, row_number() OVER (PARTITION BY tok ORDER BY length(cand), cand) AS rn FROM okc)
-       WHERE rn = 1 AND length(cand) < length(tok)),
+       WHERE rn = 1 AND cand <> tok),
 lem AS (SELECT doc_id, f, string_agg(coalesce(lm.lemma, ex.tok), ' ' ORDER BY pos) AS s
         FROM ex LEFT JOIN lm USING (tok) GROUP BY doc_id, f)
 """
