@@ -1,8 +1,10 @@
 """Hilbert curve as column expressions: no UDF, bit operations only.
 
-``decode`` follows Skilling's transform (first axis = x) for any number of dimensions;
-``encode_2d`` is its inverse for two dimensions. Each step is a projection of a few
-integer columns, so the plan stays in whole-stage codegen.
+``decode_cols`` follows Skilling's transform (first axis = x) for any number of
+dimensions; ``encode_2d`` is its inverse for two dimensions. Both are single higher-order
+expressions (``aggregate`` over the bit levels with an array or struct accumulator), so the
+expression size does not grow with the number of bits and the optimiser can move filters
+through them freely.
 """
 
 from __future__ import annotations
@@ -11,84 +13,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _bit(c: Column, k: int) -> Column:
-    return F.shiftright(c, k).bitwiseAND(F.lit(1))
+def _pow2(k: Column) -> Column:
+    return F.pow(F.lit(2.0), k).cast("long")
 
 
-def decode(df: DataFrame, index: str, bits: int, dims: int = 2, out=("x", "y", "z")) -> DataFrame:
-    """Cell coordinates of the Hilbert index column ``index`` (``bits`` per axis)."""
-    h = F.col(index).cast("long")
+def _bit_at(h: Column, k: Column) -> Column:
+    """Bit k of a non-negative long (exact: powers of two and values below 2^53)."""
+    return F.floor(h / _pow2(k)).cast("long") % 2
+
+
+def decode_cols(h: Column, bits: int, dims: int = 2) -> Column:
+    """Array of ``dims`` coordinates of Hilbert index ``h``."""
     n = dims
-    tag = out[0].strip("_")
-    names = [f"_hc_{tag}_{i}" for i in range(n)]
+    h = h.cast("long")
+    zero = F.lit(0).cast("long")
     # transpose: bit j of X[i] is bit (j*n + n-1-i) of h
-    cols = []
-    for i in range(n):
-        e = F.lit(0).cast("long")
-        for j in range(bits):
-            e = e.bitwiseOR(F.shiftleft(_bit(h, j * n + n - 1 - i), j))
-        cols.append(e.alias(names[i]))
-    d = df.select("*", *cols)
-    X = [F.col(c) for c in names]
-
-    def step(d, exprs: dict):
-        keep = [c for c in d.columns if c not in exprs]
-        return d.select(*keep, *[e.alias(k) for k, e in exprs.items()])
-
-    # Gray decode
-    t = F.shiftright(F.col(names[n - 1]), 1)
-    tname = f"_ht_{tag}"
-    d = d.withColumn(tname, t)
-    for i in range(n - 1, 0, -1):
-        d = d.withColumn(names[i], F.col(names[i]).bitwiseXOR(F.col(names[i - 1])))
-    d = d.withColumn(names[0], F.col(names[0]).bitwiseXOR(F.col(tname)))
-    # undo excess work
-    q = 2
-    while q != (2 << (bits - 1)):
-        p = q - 1
-        for i in range(n - 1, -1, -1):
-            xi, x0 = F.col(names[i]), F.col(names[0])
-            has = xi.bitwiseAND(F.lit(q)) != 0
-            if i == 0:
-                d = d.withColumn(names[0], F.when(has, x0.bitwiseXOR(F.lit(p))).otherwise(x0))
-                continue
-            tt = x0.bitwiseXOR(xi).bitwiseAND(F.lit(p))
-            d = step(d, {
-                names[0]: F.when(has, x0.bitwiseXOR(F.lit(p))).otherwise(x0.bitwiseXOR(tt)),
-                names[i]: F.when(has, xi).otherwise(xi.bitwiseXOR(tt)),
-            })
-        q <<= 1
-    d = d.drop(tname)
-    for i in range(n):
-        d = d.withColumnRenamed(names[i], out[i])
-    return d
+    X0 = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda i: F.aggregate(
+            F.sequence(F.lit(0), F.lit(bits - 1)), zero,
+            lambda acc, j: acc + _bit_at(h, j * n + (n - 1) - i) * _pow2(j),
+        ),
+    )
+    # Gray decode: X[i] ^= X[i-1] (old values), X[0] ^= X[n-1] >> 1
+    t = F.shiftright(F.get(X0, n - 1), 1)
+    X1 = F.transform(X0, lambda v, i: F.when(i == 0, v.bitwiseXOR(t)).otherwise(v.bitwiseXOR(F.get(X0, i - 1))))
+    steps = [(q, i) for q in [1 << k for k in range(1, bits)] for i in range(n - 1, -1, -1)]
+    if not steps:
+        return X1
+    st = F.array(*[F.struct(F.lit(q).cast("long").alias("q"), F.lit(i).alias("i")) for q, i in steps])
 
+    def undo(X, s):
+        xi = F.get(X, s["i"])
+        x0 = F.get(X, 0)
+        p = s["q"] - 1
+        has = xi.bitwiseAND(s["q"]) != 0
+        tt = x0.bitwiseXOR(xi).bitwiseAND(p)
+        return F.transform(X, lambda v, k: F.when(has, F.when(k == 0, v.bitwiseXOR(p)).otherwise(v)).otherwise(
+            F.when((k == 0) | (k == s["i"]), v.bitwiseXOR(tt)).otherwise(v)))
 
-def encode_2d(df: DataFrame, x: str, y: str, bits: int, out: str = "d") -> DataFrame:
-    """Hilbert index of cell (x, y) on a 2-D curve with ``bits`` per axis (inverse of decode).
+    return F.aggregate(st, X1, undo)
+
+
+def decode(df: DataFrame, index: str, bits: int, dims: int = 2, out=("x", "y", "z")) -> DataFrame:
+    """Adds the cell coordinates of the Hilbert index column ``index`` as columns ``out``."""
+    tmp = f"_hc_{out[0].strip('_')}"
+    d = df.withColumn(tmp, decode_cols(F.col(index), bits, dims))
+    for i in range(dims):
+        d = d.withColumn(out[i], F.get(F.col(tmp), i))
+    return d.drop(tmp)
 
-    Classic rotate form from the top bit down; one projection per level, so no expression
-    is repeated inside another.
-    """
+
+def encode_cols(x: Column, y: Column, bits: int) -> Column:
+    """Hilbert index of cell (x, y) on a 2-D curve (classic rotate form, top bit down)."""
     n = 1 << bits
-    cx, cy, cd = f"_ex_{out}", f"_ey_{out}", out
-    d = df.withColumn(cx, F.col(x).cast("long")).withColumn(cy, F.col(y).cast("long")).withColumn(cd, F.lit(0).cast("long"))
-    s = 1 << (bits - 1)
-    while s > 0:
-        rx = F.when(F.col(cx).bitwiseAND(F.lit(s)) > 0, 1).otherwise(0)
-        ry = F.when(F.col(cy).bitwiseAND(F.lit(s)) > 0, 1).otherwise(0)
-        d = d.withColumn("_erx", rx).withColumn("_ery", ry)
-        rxc, ryc = F.col("_erx"), F.col("_ery")
-        flip = (ryc == 0) & (rxc == 1)
-        x1 = F.when(flip, F.lit(n - 1) - F.col(cx)).otherwise(F.col(cx))
-        y1 = F.when(flip, F.lit(n - 1) - F.col(cy)).otherwise(F.col(cy))
-        keep = [c for c in d.columns if c not in (cx, cy, cd, "_erx", "_ery")]
-        d = d.select(*keep,
-                     F.when(ryc == 0, y1).otherwise(x1).alias(cx),
-                     F.when(ryc == 0, x1).otherwise(y1).alias(cy),
-                     (F.col(cd) + F.lit(s * s) * (F.lit(3) * rxc).bitwiseXOR(ryc)).alias(cd))
-        s //= 2
-    return d.drop(cx, cy)
+    init = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+    levels = F.array(*[F.lit(1 << k).cast("long") for k in range(bits - 1, -1, -1)])
+
+    def level(acc, s):
+        rx = F.when(acc["x"].bitwiseAND(s) > 0, 1).otherwise(0)
+        ry = F.when(acc["y"].bitwiseAND(s) > 0, 1).otherwise(0)
+        flip = (ry == 0) & (rx == 1)
+        x1 = F.when(flip, F.lit(n - 1) - acc["x"]).otherwise(acc["x"])
+        y1 = F.when(flip, F.lit(n - 1) - acc["y"]).otherwise(acc["y"])
+        return F.struct(F.when(ry == 0, y1).otherwise(x1).alias("x"), F.when(ry == 0, x1).otherwise(y1).alias("y"),
+                        (acc["d"] + s * s * (F.lit(3) * rx).bitwiseXOR(ry)).alias("d"))
+
+    return F.aggregate(levels, init, level)["d"]
+
+
+def encode_2d(df: DataFrame, x: str, y: str, bits: int, out: str = "d") -> DataFrame:
+    """Adds the Hilbert index of cell (x, y) as column ``out`` (inverse of ``decode``)."""
+    return df.withColumn(out, encode_cols(F.col(x), F.col(y), bits))
 
 
 def points(spark, bits: int, dims: int = 2) -> DataFrame:
