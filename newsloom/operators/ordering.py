@@ -204,3 +204,11 @@ def topics_above(probs: Column, t: float) -> Column:
     f = F.filter(z, lambda s: s["prob"] >= t)
     return F.when(F.size(f) > 0, f).otherwise(
         F.array(F.struct(F.lit(-1).alias("topic"), F.lit(0.0).alias("prob"))))
+
+
+def order_by_community(df: DataFrame, communities: DataFrame, keys: Sequence[str], node: str = "doc_id",
+                       out: str = "order_pos") -> DataFrame:
+    """Communities by size (largest first), members in id order: G5 then W8."""
+    d = df.join(communities.withColumnRenamed("community", "_c"), list(keys) + [node])
+    r = order_by_size(d, keys, "_c", node, outlier_last=False, out=out)
+    return r.drop("_c")

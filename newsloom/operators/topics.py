@@ -241,3 +241,59 @@ def nmf(weights: DataFrame, key: str, k: int = 10, seed: int = 43, reg: float =
     docs = m.userFactors.select(F.col("id").cast("long").alias(key), F.col("features").alias("factors"))
     tf = m.itemFactors.join(terms, m.itemFactors.id == terms._tid).select("term", F.col("features").alias("factors"))
     return docs, tf
+
+
+def find_topics(topic_terms: DataFrame, query_terms: DataFrame, keys: Sequence[str], n: int = 5,
+                min_sim: float = 0.7) -> DataFrame:
+    """Topics closest to a search term: cosine between the query's term vector and each
+    topic's term weights (join on term), the best n per key, stopping below ``min_sim``.
+
+    ``topic_terms``: keys..., topic, term, weight; ``query_terms``: query, term, weight.
+    """
+    k = list(keys)
+    tn = topic_terms.groupBy(*k, "topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_tn"))
+    qn = query_terms.groupBy("query").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_qn"))
+    dots = topic_terms.join(query_terms.withColumnRenamed("weight", "_qw"), "term").groupBy(*k, "topic", "query").agg(
+        F.sum(F.col("weight") * F.col("_qw")).alias("_d"))
+    sim = dots.join(tn, k + ["topic"]).join(qn, "query").select(
+        *k, "query", "topic", (F.col("_d") / (F.col("_tn") * F.col("_qn"))).alias("similarity"))
+    w = Window.partitionBy(*k, "query").orderBy(F.col("similarity").desc(), F.col("topic"))
+    return sim.withColumn("rank", F.row_number().over(w).cast("long")).filter(
+        (F.col("rank") <= n) & (F.col("similarity") >= min_sim))
+
+
+def term_topic_history(found: DataFrame, assign: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """M19 over all models (keys) + first/last month and size of every found topic,
+    sorted by query and start."""
+    k = list(keys)
+    ym = F.struct("year", "month")
+    rng = assign.groupBy(*k, "topic").agg(F.min(ym).alias("_a"), F.max(ym).alias("_b"), F.count(F.lit(1)).alias("topic_docs"))
+    h = found.join(rng, k + ["topic"]).select(
+        *k, "query", "topic", "similarity", "topic_docs",
+        F.col("_a.year").alias("topic_start_year"), F.col("_a.month").alias("topic_start_month"),
+        F.col("_b.year").alias("topic_end_year"), F.col("_b.month").alias("topic_end_month"))
+    return h.orderBy("query", "topic_start_year", "topic_start_month")
+
+
+def recluster_outliers(vectors: DataFrame, threshold: float, min_topic_size: int, rounds: int = 3,
+                       step: float = 0.05, min_left: int = 15, id_col: str = "doc_id", vec_col: str = "v") -> DataFrame:
+    """Cluster, then cluster the -1 documents again with a looser threshold, round by
+    round, until at most ``min_left`` outliers remain or ``rounds`` are done.
+
+    Output: id, round (when the topic was found; -1 never), topic (unique over rounds as
+    round * 1000 + topic, -1 for the rest). Each round's input is checkpointed.
+    """
+    ensure_checkpoint_dir(vectors.sparkSession)
+    todo = vectors.select(id_col, vec_col).checkpoint(eager=True)
+    found = None
+    for r in range(rounds):
+        t = density_topics(todo, threshold - r * step, min_topic_size, id_col=id_col, vec_col=vec_col)
+        got = t.filter(F.col("topic") != -1).select(id_col, F.lit(r).alias("round"), (F.lit(r * 1000) + F.col("topic")).alias("topic"))
+        found = got if found is None else found.unionByName(got)
+        found = found.checkpoint(eager=True)
+        todo = todo.join(got.select(id_col), id_col, "left_anti").checkpoint(eager=True)
+        if todo.count() <= min_left:
+            break
+    allids = vectors.select(id_col)
+    return allids.join(found, id_col, "left").select(
+        id_col, F.coalesce("round", F.lit(-1)).alias("round"), F.coalesce("topic", F.lit(-1)).alias("topic"))

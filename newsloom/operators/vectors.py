@@ -428,3 +428,41 @@ def top_partners(
     w = Window.partitionBy(*gk, "id").orderBy(F.col("sim").desc(), F.col("other"))
     top = cands.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     return top.drop("_g") if not kk else top
+
+
+def greedy_most_similar(vectors: DataFrame, id_col: str = "doc_id", vec_col: str = "v", k0: int = 2,
+                        max_rounds: int = 1000) -> DataFrame:
+    """Most similar document in id order, where j is not allowed for i when j < i already
+    chose i; ties -> smallest j; none left -> (-1, -1). Output: id, best_id, best_sim.
+
+    Fixpoint: i's choice depends only on choices of smaller ids, so rounds of
+    "choose the best allowed candidate" converge. Candidates come from ``top_partners``;
+    with m_i excluded partners the answer is among the best m_i + 1, so k is doubled
+    whenever some document needs more (exact, no cap). Each round is checkpointed.
+    """
+    from newsloom.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(vectors.sparkSession)
+    base = vectors.select(F.col(id_col).alias("id")).checkpoint(eager=True)
+    k = k0
+    top = top_partners(vectors, k, id_col, vec_col).checkpoint(eager=True)
+    choice = base.withColumn("best_id", F.lit(None).cast("long"))
+    for _ in range(max_rounds):
+        excl = choice.filter(F.col("best_id").isNotNull() & (F.col("id") < F.col("best_id"))).select(
+            F.col("best_id").alias("id"), F.col("id").alias("other"))
+        need = excl.groupBy("id").agg(F.count(F.lit(1)).alias("_m")).agg(F.max("_m")).first()[0] or 0
+        if need + 1 > k:
+            while k < need + 1:
+                k *= 2
+            top = top_partners(vectors, k, id_col, vec_col).checkpoint(eager=True)
+        allowed = top.join(excl, ["id", "other"], "left_anti")
+        first = allowed.groupBy("id").agg(F.min(F.struct("rank", "other", "sim")).alias("_b"))
+        new = base.join(first, "id", "left").select(
+            "id", F.col("_b.other").alias("best_id"), F.col("_b.sim").alias("best_sim"))
+        joined = new.join(choice.select("id", F.col("best_id").alias("_old")), "id")
+        changed = joined.filter(~F.col("best_id").eqNullSafe(F.col("_old"))).limit(1).count()
+        choice = new.checkpoint(eager=True)
+        if changed == 0:
+            break
+    return choice.select("id", F.coalesce("best_id", F.lit(-1).cast("long")).alias("best_id"),
+                         F.coalesce("best_sim", F.lit(-1.0)).alias("best_sim"))

@@ -219,3 +219,72 @@ def a19(spark, sf_dir):
     info = A.topic_sizes(X.docs(spark, sf_dir))
     first = A.dedup_first(info, MONTH, ["topic"])
     return first.select(*MONTH, F.col("topic").alias("first_topic"), F.col("n_docs").alias("first_count")).orderBy("first_count")
+
+
+@query("k11_most_similar_greedy")
+def k11(spark, sf_dir):
+    """Order-dependent most-similar choice (fixpoint over exclusions; brute-force tested)."""
+    return V.greedy_most_similar(tables.vector_view(spark, sf_dir), "vec_id", "v")
+
+
+def _query_terms(counts):
+    """The corpus's most frequent bigram (ties by text) as the search term, weight 1."""
+    top = counts.groupBy("term").agg(F.sum("tf").alias("_n"))
+    best = top.agg(F.max(F.struct(F.col("_n"), F.col("term"))).alias("b"))
+    return best.select(F.col("b.term").alias("query"), F.col("b.term").alias("term"), F.lit(1.0).alias("weight"))
+
+
+_M19_SQL = """
+ ct AS (SELECT a.year, a.month, a.topic, b.term, sum(b.tf) AS cnt FROM asg a JOIN btf b USING (doc_id) GROUP BY ALL),
+ pc AS (SELECT year, month, topic, sum(cnt) AS cc FROM ct GROUP BY ALL),
+ pg AS (SELECT year, month, avg(cc) AS A FROM pc GROUP BY ALL),
+ pt AS (SELECT year, month, term, sum(cnt) AS ft FROM ct GROUP BY ALL),
+ cw AS (SELECT ct.year, ct.month, ct.topic, ct.term, ct.cnt / pc.cc * ln(1 + pg.A / pt.ft) AS weight
+        FROM ct JOIN pc USING (year, month, topic) JOIN pg USING (year, month) JOIN pt USING (year, month, term)),
+ q AS (SELECT term FROM (SELECT term, sum(tf) AS n FROM btf GROUP BY term) ORDER BY n DESC, term DESC LIMIT 1),
+ tn AS (SELECT year, month, topic, sqrt(sum(weight * weight)) AS tn FROM cw GROUP BY ALL),
+ sim AS (SELECT cw.year, cw.month, cw.topic, cw.term AS query, cw.weight / tn.tn AS similarity
+         FROM cw JOIN q USING (term) JOIN tn USING (year, month, topic)),
+ rk19 AS (SELECT *, row_number() OVER (PARTITION BY year, month, query ORDER BY similarity DESC, topic) AS rank FROM sim)"""
+
+
+def _m19(spark, sf_dir):
+    from newsloom.plans.q_feat import _ctfidf
+    d = X.docs(spark, sf_dir)
+    counts = FT.doc_terms(d.select("doc_id", "content"), ["doc_id"], "content", ngram=(2, 2))
+    return TP.find_topics(_ctfidf(spark, sf_dir), _query_terms(counts), MONTH, 5, 0.01), d
+
+
+@query("m19_find_topics", with_(TOPICS, __import__("newsloom.plans.q_feat", fromlist=["_BI_DOCS"])._BI_DOCS, _M19_SQL, """
+ SELECT year, month, query, topic, round(similarity, 4) AS similarity, rank FROM rk19 WHERE rank <= 5 AND similarity >= 0.01"""))
+def m19(spark, sf_dir):
+    """The 5 topics per month closest to the corpus's most frequent bigram (similarity >= 0.01)."""
+    return _m19(spark, sf_dir)[0]
+
+
+@query("m20_term_topic_history", with_(TOPICS, __import__("newsloom.plans.q_feat", fromlist=["_BI_DOCS"])._BI_DOCS, _M19_SQL, """
+ rng AS (SELECT year, month, topic, count(*) AS topic_docs FROM asg GROUP BY ALL)""", """
+ SELECT r.year, r.month, r.query, r.topic, round(r.similarity, 4) AS similarity, g.topic_docs,
+        r.year AS topic_start_year, r.month AS topic_start_month, r.year AS topic_end_year, r.month AS topic_end_month
+ FROM rk19 r JOIN rng g USING (year, month, topic) WHERE r.rank <= 5 AND r.similarity >= 0.01"""))
+def m20(spark, sf_dir):
+    """M19 over every month model with the found topics' date range and size."""
+    found, d = _m19(spark, sf_dir)
+    return TP.term_topic_history(found.drop("rank"), d.select("doc_id", *MONTH, "topic"), MONTH)
+
+
+@query("m25_recluster_outliers")
+def m25(spark, sf_dir):
+    """Outliers clustered again with a looser threshold, round by round."""
+    p = tables.fixture_params(sf_dir)
+    return TP.recluster_outliers(tables.vector_view(spark, sf_dir), p["component_threshold"], 10, 3, 0.05, 15, "vec_id", "v")
+
+
+@query("w10_order_by_community")
+def w10(spark, sf_dir):
+    """Nodes ordered by community size (G5), members in id order."""
+    from newsloom.operators import graph
+    from newsloom.plans import fixtures as FX
+    v = tables.vector_view(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("g"))
+    com = graph.communities(v.select("doc_id"), FX.global_edges(spark, sf_dir)).withColumn("g", F.lit(0))
+    return O.order_by_community(v, com, ["g"]).select("doc_id", "order_pos")
