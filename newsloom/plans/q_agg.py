@@ -113,7 +113,7 @@ def a10(spark, sf_dir):
 
 @query("a11_top_topic_share", with_(TOPICS, """
  s AS (SELECT year, month, topic, count(*) AS n FROM asg GROUP BY ALL),
- b AS (SELECT year, month, topic, n, sum(n) OVER (PARTITION BY year, month) AS month_docs,
+ b AS (SELECT year, month, topic, n, CAST(sum(n) OVER (PARTITION BY year, month) AS BIGINT) AS month_docs,
               row_number() OVER (PARTITION BY year, month ORDER BY n DESC, topic) AS rn FROM s)""",
  """ SELECT year, month, month_docs, topic AS top_topic, n AS top_topic_docs, round(n * 100.0 / month_docs, 2) AS top_topic_pct
  FROM b WHERE rn = 1"""))
