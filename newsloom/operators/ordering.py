@@ -76,6 +76,11 @@ def order_by_size(df: DataFrame, keys: Sequence[str], topic: str = "topic", doc:
     size = F.count(F.lit(1)).over(Window.partitionBy(*k, topic))
     d = df.withColumn("_sz", size)
     last = (F.col(topic) == -1) if outlier_last else F.lit(False)
+    if not k:
+        # whole-table order: a distributed sort with partition offsets, not a one-task window
+        d = d.withColumn("_last", last).withColumn("_nsz", -F.col("_sz"))
+        r = global_position(d, ["_last", "_nsz", topic, doc], "_p")
+        return r.withColumn(out, F.col("_p") + 1).drop("_sz", "_last", "_nsz", "_p")
     w = Window.partitionBy(*k).orderBy(last, F.col("_sz").desc(), F.col(topic), F.col(doc))
     return d.withColumn(out, F.row_number().over(w).cast("long")).drop("_sz")
 

@@ -52,8 +52,16 @@ def relabel_by_size(comp: DataFrame, keys: Sequence[str], node: str, min_topic_s
     cluster id); the rest -1. Adds ``topic``."""
     k = list(keys)
     sizes = comp.groupBy(*k, comp_col).agg(F.count(F.lit(1)).alias("_sz"))
-    big = sizes.filter(F.col("_sz") >= min_topic_size).withColumn(
-        "topic", (F.row_number().over(Window.partitionBy(*k).orderBy(F.col("_sz").desc(), F.col(comp_col))) - 1).cast("int"))
+    kept = sizes.filter(F.col("_sz") >= min_topic_size)
+    if k:
+        big = kept.withColumn(
+            "topic", (F.row_number().over(Window.partitionBy(*k).orderBy(F.col("_sz").desc(), F.col(comp_col))) - 1).cast("int"))
+    else:
+        # no key: positions from a distributed sort, not a one-task window
+        from newsloom.operators.ordering import global_position
+
+        big = global_position(kept.withColumn("_nsz", -F.col("_sz")), ["_nsz", comp_col], "_pos").withColumn(
+            "topic", F.col("_pos").cast("int")).drop("_nsz", "_pos")
     return comp.join(big.select(*k, comp_col, "topic"), k + [comp_col], "left").withColumn(
         "topic", F.coalesce(F.col("topic"), F.lit(-1)))
 

@@ -42,14 +42,16 @@ def block_pairs(
     k = list(keys)
     base = vectors.select(*k, F.col(id_col).alias("id"), F.col(vec_col).alias("u"))
     gk = k if k else ["_g"]
-    if not k:
-        base = base.withColumn("_g", F.lit(0))
-    sizes = base.groupBy(*gk).agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int").alias("_nb")
-    )
+    nb = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int")
+    if k:
+        # one row per group: the block count grows with the group's own size
+        sized = base.join(base.groupBy(*k).agg(nb.alias("_nb")), k)
+    else:
+        # a single group: the block count is a scalar subquery (no join)
+        sized = base.withColumn("_g", F.lit(0)).withColumn("_nb", base.agg(nb).scalar())
     b = F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")
     rep = (
-        base.join(sizes, gk)
+        sized
         .withColumn("_b", b)
         .withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
         .select(

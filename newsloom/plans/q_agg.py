@@ -298,7 +298,7 @@ def j08(spark, sf_dir):
 def j09(spark, sf_dir):
     """Order position of id1 (nodes ordered by label, id) added to each edge."""
     v = tables.vector_view(spark, sf_dir).select(F.col("vec_id").alias("id1"), "label")
-    order = v.withColumn("order_pos", F.row_number().over(Window.orderBy("label", "id1")).cast("long"))
+    order = O.global_position(v, ["label", "id1"], "_p").withColumn("order_pos", F.col("_p") + 1)
     return X.global_edges(spark, sf_dir).join(order.select("id1", "order_pos"), "id1").select("id1", "id2", "order_pos")
 
 

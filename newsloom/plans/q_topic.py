@@ -285,6 +285,6 @@ def w10(spark, sf_dir):
     """Nodes ordered by community size (G5), members in id order."""
     from newsloom.operators import graph
     from newsloom.plans import fixtures as FX
-    v = tables.vector_view(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("g"))
-    com = graph.communities(v.select("doc_id"), FX.global_edges(spark, sf_dir)).withColumn("g", F.lit(0))
-    return O.order_by_community(v, com, ["g"]).select("doc_id", "order_pos")
+    v = tables.vector_view(spark, sf_dir).select(F.col("vec_id").alias("doc_id"))
+    com = graph.communities(v, FX.global_edges(spark, sf_dir))
+    return O.order_by_community(v, com, []).select("doc_id", "order_pos")
