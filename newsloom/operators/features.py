@@ -56,7 +56,7 @@ def tfidf(counts: DataFrame, key: Sequence[str]) -> DataFrame:
     k = list(key)
     raw = counts.withColumn("_w", F.col("tf") * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*k)))
-    return raw.select(*k, "term", "df", (F.col("_w") / norm).alias("w"))
+    return raw.select(*k, "term", "df", "n_docs", (F.col("_w") / norm).alias("w"))
 
 
 def tfidf_cosine(vecs: DataFrame, threshold: float, key: str = "doc_id", block_rows: int = 2048) -> DataFrame:
@@ -190,3 +190,17 @@ def class_similarity(weights: DataFrame, group: Sequence[str], topic: str = "top
     a = u.select(*g, F.col(topic).alias("topic1"), "term", F.col("u").alias("ua"))
     b = u.select(*g, F.col(topic).alias("topic2"), "term", F.col("u").alias("ub"))
     return a.join(b, g + ["term"]).groupBy(*g, "topic1", "topic2").agg(F.sum(F.col("ua") * F.col("ub")).alias("similarity"))
+
+
+def most_similar_one(vecs: DataFrame, query_counts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """K8: the best document for one query text: the query's TF-IDF vector (same idf as the
+    corpus) against every document, by a join on term; ties -> smallest id. Output: key, similarity.
+
+    ``vecs``: key, term, df, n_docs, w; ``query_counts``: term, tf.
+    """
+    idf = vecs.select("term", "df", "n_docs").distinct()
+    q = query_counts.join(idf, "term").select(
+        "term", (F.col("tf") * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1)).alias("_q"))
+    qn = q.agg(F.sqrt(F.sum(F.col("_q") * F.col("_q")))).scalar()
+    sims = vecs.join(q, "term").groupBy(key).agg((F.sum(F.col("w") * F.col("_q")) / qn).alias("similarity"))
+    return sims.orderBy(F.col("similarity").desc(), F.col(key)).limit(1)

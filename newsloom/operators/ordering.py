@@ -217,3 +217,13 @@ def order_by_community(df: DataFrame, communities: DataFrame, keys: Sequence[str
     d = df.join(communities.withColumnRenamed("community", "_c"), list(keys) + [node])
     r = order_by_size(d, keys, "_c", node, outlier_last=False, out=out)
     return r.drop("_c")
+
+
+def order_strategies():
+    """Order strategies by name (the reference's ``calculate_order`` switch), each
+    ``(df, keys) -> df`` with an ``order_pos`` column."""
+    return {
+        "important_topic": lambda df, keys: order_by_size(df, keys),
+        "topic_center": lambda df, keys: order_centre(df, keys),
+        "topic_similarity": lambda df, keys: row_position(df, keys, ["topic_pos", "doc_id"], "order_pos"),
+    }

@@ -305,3 +305,42 @@ def recluster_outliers(vectors: DataFrame, threshold: float, min_topic_size: int
     allids = vectors.select(id_col)
     return allids.join(found, id_col, "left").select(
         id_col, F.coalesce("round", F.lit(-1)).alias("round"), F.coalesce("topic", F.lit(-1)).alias("topic"))
+
+
+def lda_grid(counts: DataFrame, key: str, ks=(3, 5), decays=(0.5, 0.7), seed: int = 43, max_iter: int = 5,
+             test_share: float = 0.3) -> DataFrame:
+    """M7: LDA for every (k, learning decay) of a grid, scored by held-out log-likelihood
+    and perplexity on a seeded split; one row per setting, best first."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    spark = counts.sparkSession
+    docs = counts.groupBy(key).agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("_terms"))
+    feats = CountVectorizer(inputCol="_terms", outputCol="features").fit(docs).transform(docs)
+    train, test = feats.randomSplit([1 - test_share, test_share], seed=seed)
+    rows = []
+    for k in ks:
+        for d in decays:
+            m = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", learningDecay=d).fit(train)
+            rows.append((k, float(d), float(m.logLikelihood(test)), float(m.logPerplexity(test))))
+    res = spark.createDataFrame(rows, "k int, learning_decay double, log_likelihood double, log_perplexity double")
+    return res.orderBy(F.col("log_likelihood").desc())
+
+
+def encode_with(df: DataFrame, encoder_factory, text_col: str, schema: str, batch_rows: int = 256) -> DataFrame:
+    """Y2/Y3 hook: run a user model over Arrow batches. ``encoder_factory()`` is called once
+    per task (model loaded once), then ``model(pandas.DataFrame) -> pandas.DataFrame``."""
+
+    def run(batches):
+        model = encoder_factory()
+        for pdf in batches:
+            for s in range(0, len(pdf), batch_rows):
+                yield model(pdf.iloc[s:s + batch_rows])
+
+    return df.mapInPandas(run, schema)
+
+
+def apply_per_group(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
+    """Y4 hook: a user's own function per group (e.g. per month) with ``applyInPandas``.
+    Built-in operators are keyed instead; this is for functions Spark cannot express."""
+    return df.groupBy(*keys).applyInPandas(fn, schema)

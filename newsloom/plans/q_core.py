@@ -75,3 +75,19 @@ def s13_article_view(spark, sf_dir):
     from pyspark.sql import functions as F
     a = tables.article_view(spark, sf_dir)
     return a.select("doc_id", "title", "year", "month", F.length("content").cast("long").alias("content_chars"))
+
+
+@query("w01_prev_topic_similarity", with_(TOPICS, T5_CTES, """
+ SELECT DISTINCT year, month, topic, topic_pos, round(similarity_previous_topic, 4) AS similarity_previous_topic FROM g5"""))
+def w01(spark, sf_dir):
+    """Cosine of each topic's centroid to the previous topic in display order (first 0)."""
+    g = dataset.graph_dataset_query(spark, sf_dir)
+    return g.select("year", "month", "topic", "topic_pos", "similarity_previous_topic").distinct()
+
+
+@query("w02_prev_doc_similarity", with_(TOPICS, T5_CTES, """
+ SELECT year, month, document1, document2, round(similarity_previous_document, 4) AS similarity_previous_document FROM g5"""))
+def w02(spark, sf_dir):
+    """Previous document inside the topic (itself for the first) and the similarity to it (first 0)."""
+    g = dataset.graph_dataset_query(spark, sf_dir)
+    return g.select("year", "month", "document1", "document2", "similarity_previous_document")

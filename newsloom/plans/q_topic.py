@@ -288,3 +288,11 @@ def w10(spark, sf_dir):
     v = tables.vector_view(spark, sf_dir).select(F.col("vec_id").alias("doc_id"))
     com = graph.communities(v, FX.global_edges(spark, sf_dir))
     return O.order_by_community(v, com, []).select("doc_id", "order_pos")
+
+
+@query("m07_lda_grid")
+def m07(spark, sf_dir):
+    """M7: LDA over a grid of topic counts and learning decays, scored on held-out documents."""
+    a = tables.article_view(spark, sf_dir)
+    counts = FT.count_vectorize(a, ["doc_id"], "content", min_df=10, max_df=0.95, ngram=(2, 2))
+    return TP.lda_grid(counts, "doc_id")
