@@ -47,8 +47,15 @@ def block_pairs(
         # one row per group: the block count grows with the group's own size
         sized = base.join(base.groupBy(*k).agg(nb.alias("_nb")), k)
     else:
-        # a single group: the block count is a scalar subquery (no join)
-        sized = base.withColumn("_g", F.lit(0)).withColumn("_nb", base.agg(nb).scalar())
+        # a single group: the block count is a scalar subquery (no join); at least enough
+        # blocks that the B(B+1)/2 block pairs give every core two tasks
+        par = vectors.sparkSession.sparkContext.defaultParallelism
+        b_min = 1
+        while b_min * (b_min + 1) // 2 < 2 * par:
+            b_min += 1
+        n_rows = base.agg(F.count(F.lit(1))).scalar()
+        b_expr = F.greatest(F.least(F.lit(b_min), n_rows.cast("int")), F.ceil(n_rows / F.lit(block_rows)).cast("int"), F.lit(1))
+        sized = base.withColumn("_g", F.lit(0)).withColumn("_nb", b_expr.cast("int"))
     b = F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")
     rep = (
         sized
