@@ -1,5 +1,5 @@
 """All registered operator queries of this folder."""
 
-from newsloom.llm import base, ngram_join  # noqa: F401
+from newsloom.llm import base, bpe, ngram_join, sharding  # noqa: F401
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
