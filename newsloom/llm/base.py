@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,27 +29,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; make one only for a local run that names none."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; one is made only for a local run that names none."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="llm-checkpoint-")
-    sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder: lineage ends there and a lost executor costs nothing."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows written once to the shared folder and read from there: lineage ends, and a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def _signature(df: DataFrame):
-    return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _saved_with_signature(df: DataFrame):
+    """``saved`` for edges, with their count and checksum taken while they are written."""
+    seen = Observation()
+    out = saved(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+    return out, (seen.get.get("n"), seen.get.get("sum"))
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -57,8 +62,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     Large-star and small-star rounds: a number of rounds logarithmic in the longest path, each a few
     joins and pre-aggregated minima; no neighbour list is ever collected. Raises if it doesn't end.
     """
-    cur = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = _signature(cur)
+    cur, before = _saved_with_signature(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -66,8 +70,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         large = large.union(low.where("m < u")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = saved(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        after = _signature(cur)
+        cur, after = _saved_with_signature(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         if after == before:
             nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return nodes.union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

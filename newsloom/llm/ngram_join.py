@@ -31,6 +31,8 @@ from newsloom.llm.words import mix, ngram_hash, sequence_hash, signed, words_of
 TOKEN_BITS = 56
 FLUSH_TOKENS, FLUSH_DOCS = 3_000_000, 60_000
 NO_DOC = 0xFFFF
+#: Least count of a frequent token, and how many of them may be broadcast (16 bytes each).
+FREQUENT, MAX_FREQUENT = 32, 1_000_000
 #: Factors that give the token orders, as signed 64-bit odd numbers.
 ORDERS = (0x1B873593CC9E2D51, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 
@@ -209,76 +211,112 @@ def _need(t_percent: int) -> str:
 
 
 def live_classes(docs: DataFrame, k: int, t_percent: int) -> DataFrame:
-    """``cls, n, tokens, p0, p1, ...``: classes that can have a link, and their prefixes under each order."""
+    """``cls, n, tokens, q``: classes that can have a link, their shared tokens and the length of their prefixes."""
     parts = shared_tokens(docs, k, bucket_count(docs))
     live = parts.groupBy("cls", "n").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
-    live = live.withColumn("q", F.expr(f"size(tokens) - {_need(t_percent)} + 1")).where("q > 0")
+    return live.withColumn("q", F.expr(f"size(tokens) - {_need(t_percent)} + 1")).where("q > 0")
+
+
+def frequent_tokens(live: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of many classes and the number of those: all from the lowest power of two on that leaves at most MAX_FREQUENT."""
+    count = live.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    count = saved(count.where(f"df >= {FREQUENT}").withColumn("size", F.floor(F.log2("df")).cast("int")))
+    total, least = 0, 63
+    for size, n in sorted(((r.size, r.n) for r in count.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        total += n
+        if total > MAX_FREQUENT:
+            break
+        least = size
+    rows = count.where(F.col("size") >= least).select("token", "df").toArrow()
+    token, df = np.asarray(rows["token"]).view(np.uint64), np.asarray(rows["df"])
+    order = np.argsort(token)
+    return token[order], df[order]
+
+
+def prefixes(live: DataFrame) -> DataFrame:
+    """``cls, n, p0, p1, p2``: the prefix of each class under each order.
+
+    The first two orders put frequent tokens last (by their counts among the live classes) and break ties by different hashes, the
+    third is a hash alone.
+    """
+    frequent = live.sparkSession.sparkContext.broadcast(frequent_tokens(live))
 
-    def prefixes(batches):
+    def run(batches):
+        token, df = frequent.value
         for batch in batches:
-            token = batch.column("tokens")
-            value = np.asarray(token.values if token.offset == 0 else token.flatten()).view(np.uint64)
-            off = np.asarray(token.offsets) - np.asarray(token.offsets)[0]
-            q = np.asarray(batch.column("q"))
+            lists = batch.column("tokens")
+            value = np.asarray(lists.flatten()).view(np.uint64)
+            off = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            weight = np.zeros(len(value), np.int64)
+            if len(token):
+                at = np.minimum(np.searchsorted(token, value), len(token) - 1)
+                weight = np.where(token[at] == value, df[at], 0)
             cols = [batch.column("cls"), batch.column("n")]
-            tokens = [np.sort(value[a:b]) for a, b in zip(off[:-1], off[1:])]
-            cols.append(pa.array([signed(t) for t in tokens], pa.list_(pa.int64())))
-            for f in ORDERS:
-                cols.append(pa.array([signed(np.sort(t[np.argsort(mix(t * np.uint64(f)), kind="stable")[:m]])) for t, m in zip(tokens, q)],
-                                     pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "tokens", *(f"p{i}" for i in range(len(ORDERS)))])
+            for i, f in enumerate(ORDERS):
+                key, out = mix(value * np.uint64(f)), []
+                for a, b, q in zip(off[:-1].tolist(), off[1:].tolist(), batch.column("q").to_pylist()):
+                    order = np.lexsort((key[a:b], weight[a:b])) if i < 2 else np.argsort(key[a:b])
+                    out.append(signed(value[a:b][order[:q]]))
+                cols.append(pa.array(out, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "p0", "p1", "p2"])
 
-    fields = ", ".join(f"p{i} array<long>" for i in range(len(ORDERS)))
-    return live.mapInArrow(prefixes, f"cls long, n int, tokens array<long>, {fields}")
+    return live.mapInArrow(run, "cls long, n int, p0 array<long>, p1 array<long>, p2 array<long>")
 
 
-def verified(pairs: DataFrame, live: DataFrame, t_percent: int) -> DataFrame:
-    """Of candidate pairs ``a, b``: those that pass the prefix test of every order and then the exact one."""
-    orders = [f"p{i}" for i in range(1, len(ORDERS))]
-    side = lambda x: live.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.struct("tokens", *orders).alias(f"s_{x}"))
+def verified(pairs: DataFrame, live: DataFrame, prefix: DataFrame, t_percent: int) -> DataFrame:
+    """Of candidate pairs ``a, b``: those that pass the prefix test of every order and then the exact one.
+
+    Behind the prefix of the longer class lie ``ceil(t n) - 1`` tokens; what a link needs beyond them must be common to both prefixes.
+    """
+    side = lambda x: prefix.select(F.col("cls").alias(x), F.struct("n", "p0", "p1", "p2").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    for p in orders:
-        both = both.where(F.arrays_overlap(f"s_a.{p}", f"s_b.{p}"))
-    common = F.size(F.array_intersect("s_a.tokens", "s_b.tokens"))
-    both = both.withColumn("i", common)
+    need = f"(({t_percent} * (s_a.n + s_b.n) + {99 + t_percent}) div {100 + t_percent}) - ((greatest(s_a.n, s_b.n) * {t_percent} + 99) div 100) + 1"
+    for p in ("p0", "p1", "p2"):
+        both = both.where(F.size(F.array_intersect(f"s_a.{p}", f"s_b.{p}")) >= F.greatest(F.lit(1), F.expr(need)))
+    both = both.select("a", "b")
+    whole = lambda x: live.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
+    both = both.join(whole("a"), "a").join(whole("b"), "b").withColumn("i", F.size(F.array_intersect("t_a", "t_b")))
     return both.where(f"100 * i >= {t_percent} * (n_a + n_b - i)").select("a", "b")
 
 
 def linked_classes(live: DataFrame, t_percent: int) -> DataFrame:
-    """``cls, root``: the component of every class that has a link."""
-    label = live.select("cls", F.col("cls").alias("root"))
-    postings = saved(live.select("cls", "n", F.explode("p0").alias("token")))
-    pivots, first = 1, True
+    """``cls, root``: the component of every class that is left for the search."""
+    prefix = saved(prefixes(live))
+    label = prefix.select("cls", F.col("cls").alias("root"))
+    # the class with the longest prefix for its size has the fewest tokens of its own: it is the nearest to all others
+    postings = prefix.select("cls", "n", (F.size("p0") / F.col("n")).alias("rank"), F.explode("p0").alias("token"))
+    pivots = 1
     while True:
-        lists = postings if first else postings.join(label, "cls")
-        if first:
-            lists = lists.withColumn("root", F.col("cls"))
-        mixed = lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-        lists = saved(lists.join(mixed, "token"))
+        lists = postings.join(label, "cls") if pivots > 1 else postings.withColumn("root", F.col("cls"))
+        open_list = lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+        lists = saved(lists.join(open_list, "token"))
         if lists.isEmpty():
-            return label.where("root is not null")
-        pivot = lists.groupBy("token", F.pmod(F.xxhash64("cls"), F.lit(pivots)).alias("part"))
-        pivot = pivot.agg(F.min_by(F.struct("cls", "n", "root"), F.xxhash64("cls", F.lit(1))).alias("p"))
-        pivot = saved(pivot.select("token", F.col("p.cls").alias("a"), F.col("p.n").alias("n_a"), F.col("p.root").alias("root_a")))
-        near = lists.join(pivot, "token").where("root <> root_a")
-        near = near.where(f"100 * least(n, n_a) >= {t_percent} * greatest(n, n_a)")
-        pairs = near.select(F.least("a", "cls").alias("x"), F.greatest("a", "cls").alias("y"), "a", "cls")
-        pairs = saved(pairs.groupBy("x", "y").agg(F.min("a").alias("a"), F.min("cls").alias("b"), F.count(F.lit(1)).alias("hits")).select(F.col("x").alias("a"), F.col("y").alias("b"), "hits"))
-        # the most promising partner of each class first: it often settles the component, and the rest needn't be verified
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
-        for step in (best, pairs.select("a", "b")):
-            named = step.join(label.select(F.col("cls").alias("a"), F.col("root").alias("ra")), "a")
-            named = named.join(label.select(F.col("cls").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
-            links = saved(verified(named.select("a", "b"), live, t_percent))
+            return label
+        part = F.pmod(F.xxhash64("cls"), F.lit(pivots))
+        pivot = lists.groupBy("token", part.alias("part")).agg(F.max_by(F.struct("cls", "n", "root"), F.struct("rank", "cls")).alias("p"))
+        pivot = saved(pivot.select("token", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.root").alias("root_p")))
+        near = lists.join(pivot, "token").where(f"root <> root_p AND 100 * least(n, n_p) >= {t_percent} * greatest(n, n_p)")
+        near = near.select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b"), "pivot", "cls")
+        pairs = saved(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("cls").alias("cls"), F.min("pivot").alias("pivot")))
+        steps = [pairs]
+        if pivots == 1:
+            # the partner with most common tokens first: it mostly settles the component, and the rest needn't be verified
+            best = pairs.groupBy("cls").agg(F.max_by(F.struct("a", "b"), F.struct("hits", "a", "b")).alias("p")).select("p.a", "p.b")
+            steps = [best.distinct(), pairs]
+        for step in steps:
+            named = step.select("a", "b")
+            for x in ("a", "b"):
+                named = named.join(label.select(F.col("cls").alias(x), F.col("root").alias(f"r{x}")), x)
+            links = saved(verified(named.where("ra <> rb").select("a", "b"), live, prefix, t_percent))
             if links.isEmpty():
                 continue
-            edges = links.join(label.select(F.col("cls").alias("a"), F.col("root").alias("ra")), "a")
-            edges = edges.join(label.select(F.col("cls").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            edges = links
+            for x in ("a", "b"):
+                edges = edges.join(label.select(F.col("cls").alias(x), F.col("root").alias(f"r{x}")), x)
+            moved = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
             label = saved(label.join(moved, "root", "left").select("cls", F.coalesce("to", "root").alias("root")))
-        done = pivot.select("token", F.col("a").alias("cls"))
-        postings = lists.join(done, ["token", "cls"], "left_anti").select("cls", "n", "token")
-        pivots, first = pivots * 8, False
+        postings = lists.join(pivot.select("token", F.col("pivot").alias("cls")), ["token", "cls"], "left_anti").select("cls", "n", "rank", "token")
+        pivots *= 64
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, t_percent: int = 80) -> DataFrame:
