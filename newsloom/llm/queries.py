@@ -1,5 +1,5 @@
 """All registered operator queries of this folder."""
 
-from newsloom.llm import base, bpe, decontaminate, ngram_join, sharding, vector_join  # noqa: F401
+from newsloom.llm import base, bpe, decontaminate, ngram_join, quality, sharding, vector_join  # noqa: F401
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
