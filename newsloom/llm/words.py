@@ -69,11 +69,18 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     data: np.ndarray
+    total: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def prefix(self, k: int) -> np.ndarray:
+        """Hash of the first ``k`` bytes of each word, 0 where the word is not longer."""
+        end = np.minimum(self.start + k, self.end)
+        h = mix((self.total[end] - self.total[self.start]) * _POW[1][self.start] + np.uint64(k))
+        return np.where(self.end - self.start > k, h, np.uint64(0))
+
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Byte buffer and row offsets of a string column; null rows are empty."""
@@ -113,7 +120,7 @@ def words_of(col: pa.Array, separators: np.ndarray = BLANKS, lower: bool = True)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(table[part] * power[:n], out=total[1:])
         yield Words(rows, np.searchsorted(start, bounds), start, end,
-                    mix((total[end] - total[start]) * inverse[start]), part)
+                    mix((total[end] - total[start]) * inverse[start]), part, total)
 
 
 def ngram_hash(h: np.ndarray, k: int) -> np.ndarray:
