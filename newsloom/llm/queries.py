@@ -1,5 +1,5 @@
 """All registered operator queries of this folder."""
 
-from newsloom.llm import base, bpe, decontaminate, ngram_join, pii, quality, sharding, toxicity, vector_join  # noqa: F401
+from newsloom.llm import base, bpe, chat, decontaminate, ngram_join, pii, pseudo_likelihood, quality, sharding, toxicity, vector_join  # noqa: F401
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
