@@ -210,6 +210,11 @@ def _need(t_percent: int) -> str:
     return f"((n * {t_percent} + 99) div 100)"
 
 
+def _common(a: str, b: str, t_percent: int) -> str:
+    """Common tokens that a link between sets of a and b tokens needs: ceil(t (a + b) / (1 + t))."""
+    return f"(({t_percent} * ({a} + {b}) + {99 + t_percent}) div {100 + t_percent})"
+
+
 def live_classes(docs: DataFrame, k: int, t_percent: int) -> DataFrame:
     """``cls, n, tokens, q``: classes that can have a link, their shared tokens and the length of their prefixes."""
     parts = shared_tokens(docs, k, bucket_count(docs))
@@ -234,7 +239,7 @@ def frequent_tokens(live: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(live: DataFrame) -> DataFrame:
-    """``cls, n, p0, p1, p2``: the prefix of each class under each order.
+    """``cls, n, s, p0, p1, p2``: number of shared tokens of each class and its prefix under each order.
 
     The first two orders put frequent tokens last (by their counts among the live classes) and break ties by different hashes, the
     third is a hash alone.
@@ -251,16 +256,16 @@ def prefixes(live: DataFrame) -> DataFrame:
             if len(token):
                 at = np.minimum(np.searchsorted(token, value), len(token) - 1)
                 weight = np.where(token[at] == value, df[at], 0)
-            cols = [batch.column("cls"), batch.column("n")]
+            cols = [batch.column("cls"), batch.column("n"), pa.array(np.diff(off), pa.int32())]
             for i, f in enumerate(ORDERS):
                 key, out = mix(value * np.uint64(f)), []
                 for a, b, q in zip(off[:-1].tolist(), off[1:].tolist(), batch.column("q").to_pylist()):
                     order = np.lexsort((key[a:b], weight[a:b])) if i < 2 else np.argsort(key[a:b])
                     out.append(signed(value[a:b][order[:q]]))
                 cols.append(pa.array(out, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "p0", "p1", "p2"])
+            yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "s", "p0", "p1", "p2"])
 
-    return live.mapInArrow(run, "cls long, n int, p0 array<long>, p1 array<long>, p2 array<long>")
+    return live.mapInArrow(run, "cls long, n int, s int, p0 array<long>, p1 array<long>, p2 array<long>")
 
 
 def verified(pairs: DataFrame, live: DataFrame, prefix: DataFrame, t_percent: int) -> DataFrame:
@@ -270,7 +275,7 @@ def verified(pairs: DataFrame, live: DataFrame, prefix: DataFrame, t_percent: in
     """
     side = lambda x: prefix.select(F.col("cls").alias(x), F.struct("n", "p0", "p1", "p2").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    need = f"(({t_percent} * (s_a.n + s_b.n) + {99 + t_percent}) div {100 + t_percent}) - ((greatest(s_a.n, s_b.n) * {t_percent} + 99) div 100) + 1"
+    need = f"{_common('s_a.n', 's_b.n', t_percent)} - ((greatest(s_a.n, s_b.n) * {t_percent} + 99) div 100) + 1"
     for p in ("p0", "p1", "p2"):
         both = both.where(F.size(F.array_intersect(f"s_a.{p}", f"s_b.{p}")) >= F.greatest(F.lit(1), F.expr(need)))
     both = both.select("a", "b")
@@ -284,7 +289,9 @@ def linked_classes(live: DataFrame, t_percent: int) -> DataFrame:
     prefix = saved(prefixes(live))
     label = prefix.select("cls", F.col("cls").alias("root"))
     # the class with the longest prefix for its size has the fewest tokens of its own: it is the nearest to all others
-    postings = prefix.select("cls", "n", (F.size("p0") / F.col("n")).alias("rank"), F.explode("p0").alias("token"))
+    rank = (F.size("p0") / F.col("n")).alias("rank")
+    # rest: the shared tokens from this one on
+    postings = prefix.select("cls", "n", "s", rank, F.posexplode("p0").alias("at", "token")).withColumn("rest", F.col("s") - F.col("at")).drop("s", "at")
     pivots = 1
     while True:
         lists = postings.join(label, "cls") if pivots > 1 else postings.withColumn("root", F.col("cls"))
@@ -293,9 +300,10 @@ def linked_classes(live: DataFrame, t_percent: int) -> DataFrame:
         if lists.isEmpty():
             return label
         part = F.pmod(F.xxhash64("cls"), F.lit(pivots))
-        pivot = lists.groupBy("token", part.alias("part")).agg(F.max_by(F.struct("cls", "n", "root"), F.struct("rank", "cls")).alias("p"))
-        pivot = saved(pivot.select("token", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.root").alias("root_p")))
-        near = lists.join(pivot, "token").where(f"root <> root_p AND 100 * least(n, n_p) >= {t_percent} * greatest(n, n_p)")
+        pivot = lists.groupBy("token", part.alias("part")).agg(F.max_by(F.struct("cls", "n", "rest", "root"), F.struct("rank", "cls")).alias("p"))
+        pivot = saved(pivot.select("token", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.rest").alias("rest_p"), F.col("p.root").alias("root_p")))
+        # all common tokens of a link lie from its first one on, in both classes, and there must be enough of them
+        near = lists.join(pivot, "token").where(f"root <> root_p AND least(rest, rest_p) >= {_common('n', 'n_p', t_percent)}")
         near = near.select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b"), "pivot", "cls")
         pairs = saved(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("cls").alias("cls"), F.min("pivot").alias("pivot")))
         steps = [pairs]
@@ -315,7 +323,7 @@ def linked_classes(live: DataFrame, t_percent: int) -> DataFrame:
                 edges = edges.join(label.select(F.col("cls").alias(x), F.col("root").alias(f"r{x}")), x)
             moved = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
             label = saved(label.join(moved, "root", "left").select("cls", F.coalesce("to", "root").alias("root")))
-        postings = lists.join(pivot.select("token", F.col("pivot").alias("cls")), ["token", "cls"], "left_anti").select("cls", "n", "rank", "token")
+        postings = lists.join(pivot.select("token", F.col("pivot").alias("cls")), ["token", "cls"], "left_anti").select("cls", "n", "rest", "rank", "token")
         pivots *= 64
 
 
