@@ -49,6 +49,17 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until they differ from all columns of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def _saved_with_signature(df: DataFrame):
     """``saved`` for edges, with their count and checksum taken while they are written."""
     seen = Observation()

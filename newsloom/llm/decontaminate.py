@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import ORACLES, query, saved, table
+from newsloom.llm.base import ORACLES, fresh, query, saved, table
 
 WINDOW = 13
 #: Windows of test items that go into the tasks as a set (8 bytes each); more are joined instead.
@@ -89,10 +89,11 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id isn't in the first column of ``ids`` (a null there stands for null doc_ids)."""
-    gone = saved(ids.distinct().toDF("_gone"))
+    (name,) = fresh(docs, "_gone")
+    gone = saved(ids.distinct().toDF(name))
     if gone.count() <= MAX_BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, share: int = 20) -> DataFrame:
@@ -103,15 +104,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """
     if mode == "documents":
         return without_ids(docs, report(docs, benchmark, window, share).where("contaminated").select("doc_id"))
-    with_id = docs.withColumn("_rid", F.monotonically_increasing_id())
-    hit = scan(docs, benchmark, window).where("size(hit) > 0").select(F.col("rid").alias("_rid"), F.col("hit").alias("_hit"))
+    rid, found = fresh(docs, "_rid", "_hit")
+    # equal rows have equal hits, so the text's own hash and the id tell them
+    key = docs.withColumn(rid, F.xxhash64("doc_id", "text"))
+    hit = scan(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, window).where("size(hit) > 0")
+    hit = hit.groupBy(F.col("doc_id").alias(rid)).agg(F.first("hit").alias(found))
     word = _GAP_ANY_CASE.replace("[", "[^", 1)
     pieces = F.regexp_extract_all("text", F.lit(f"({word}+{_GAP_ANY_CASE}*)"))
-    left = F.filter(pieces, lambda x, i: ~F.array_contains(F.col("_hit"), i + 1))
-    text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(F.concat(F.regexp_extract("text", f"^{_GAP_ANY_CASE}*", 0), F.array_join(left, "")))
-    out = with_id.join(hit, "_rid", "left").withColumn("text", text)
+    left = F.filter(pieces, lambda x, i: ~F.array_contains(F.col(found), i + 1))
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.concat(F.regexp_extract("text", f"^{_GAP_ANY_CASE}*", 0), F.array_join(left, "")))
+    out = key.join(hit, rid, "left").withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_hit").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+        out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import query, saved, table
+from newsloom.llm.base import fresh, query, saved, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the contract's patterns match, written so that Java neither backtracks over long runs nor recurses.
@@ -156,12 +156,13 @@ def redact(docs: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
 
     Overlapping spans are replaced together by the first one's kind. Rows that need a change are told by doc_id and text.
     """
-    spans = personal_data(docs).where("size(spans) > 0").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.first("spans").alias("_spans"))
+    id_, th, found_ = fresh(docs, "_id", "_th", "_spans")
+    spans = personal_data(docs).where("size(spans) > 0").groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(F.first("spans").alias(found_))
     spans = saved(spans)
     if spans.count() <= max_broadcast:
         spans = F.broadcast(spans)
     label = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.k.alias("k"))))
+    ordered = F.array_sort(F.transform(found_, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.k.alias("k"))))
 
     def step(acc: Column, x: Column) -> Column:
         apart = x.s >= acc.at
@@ -170,10 +171,10 @@ def redact(docs: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     end = lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(F.col("text"), acc.at + 1, F.length("text") - acc.at))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_th"))
-    out = docs.join(spans, same, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate(ordered, start, step, end)))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(th))
+    out = docs.join(spans, same, "left").withColumn("text", F.when(F.col(found_).isNull(), F.col("text")).otherwise(F.aggregate(ordered, start, step, end)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(found_).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 

@@ -113,7 +113,7 @@ def train_part(state: np.ndarray, rows: np.ndarray, rate: float = 0.05, seed: in
     """One pass of Adagrad over the windows of a part, from the given state."""
     state = state.copy()
     params = unpack(state)
-    grad2 = np.full_like(state, 1e-2)
+    grad2 = np.full_like(state, 1e-6)
     order = np.random.default_rng(seed).permutation(len(rows))
     for i in range(0, len(rows), BATCH):
         part = rows[order[i:i + BATCH]]
