@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.base import query, table
 
 #: Bytes of text that share one pair index; a longer text has an index of its own.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 6 << 20
 
 
 class WordBpe:
@@ -43,18 +43,18 @@ class WordBpe:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         char = [chr(b) if b in plain else chr(next(other)) for b in range(256)]
-        self.inner = np.array([vocab[c] for c in char], np.int64)
-        self.last = np.array([vocab[c + end] for c in char], np.int64)
+        self.inner = np.array([vocab[c] for c in char], np.int32)
+        self.last = np.array([vocab[c + end] for c in char], np.int32)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         pair = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
         self.by_pair = np.argsort(pair, kind="stable")
         self.pair = pair[self.by_pair]
-        self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.same = np.array([a == b for a, b in merges])
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols, -1 where the vocabulary has no such merge."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.by_pair[at], -1)
 
@@ -69,12 +69,12 @@ class WordBpe:
         if n:
             sym[first[1:] - 1] = self.last[byte[first[1:] - 1]]
         # right[i]: the next symbol of the same word or n; left[i]: the one before or -1
-        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        right, left = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         if n:
             right[first[1:] - 1] = n
             left[first[:-1]] = -1
         alive = np.ones(n + 1, bool)
-        at = np.flatnonzero(right < n)
+        at = np.flatnonzero(right < n).astype(np.int32)
         lists: dict[int, list[np.ndarray]] = defaultdict(list)
         heap: list[int] = []
 
@@ -103,7 +103,7 @@ class WordBpe:
             to = right[pos]
             ok = alive[pos] & (to < n)
             pos, to = pos[ok], to[ok]
-            ok = (sym[pos] << 32 | sym[to]) == key
+            ok = (sym[pos].astype(np.int64) << 32 | sym[to]) == key
             pos, to = pos[ok], to[ok]
             if self.same[r] and len(pos) > 1:
                 # of a run x x x x every second pair from the left is merged
