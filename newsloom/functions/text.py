@@ -55,7 +55,7 @@ def _class_escape(ch: str) -> str:
 
 ASCII_PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PUNCT_CLASS = "[" + "".join(_class_escape(c) for c in ASCII_PUNCT + PUNCT_EXTRA) + "]"
-SHORT_PUNCT_CLASS = "[" + "".join(_class_escape(c) for c in ASCII_PUNCT) + "]"
+SHORT_PUNCT_CLASS = "[" + "".join(_class_escape(c) for c in ASCII_PUNCT + "“’”—") + "]"
 
 
 def strip_emoji(c: Column) -> Column:
@@ -132,9 +132,8 @@ def clean_tokens(c: Column) -> Column:
 
 
 def clean_tokens_v2(c: Column) -> Column:
-    """P11 order: P3 (ASCII list) -> P2 -> P5 -> P7 -> P8 -> P4 (lower-casing last)."""
-    toks = remove_stopwords(tokenize(strip_digits(strip_emoji(strip_punct(c, SHORT_PUNCT_CLASS)))))
-    return F.transform(toks, lambda t: F.lower(t))
+    """P11 order up to the lemmas: P3 (short list) -> P2 -> P5 -> P7 -> P8; lower-casing comes after the lemmatiser."""
+    return remove_stopwords(tokenize(strip_digits(strip_emoji(strip_punct(c, SHORT_PUNCT_CLASS)))))
 
 
 # ---------------------------------------------------------------- DuckDB oracle text
@@ -173,5 +172,4 @@ def sql_clean_tokens(x: str) -> str:
 
 
 def sql_clean_tokens_v2(x: str) -> str:
-    t = sql_remove_stopwords(sql_tokenize(sql_strip_digits(sql_strip_emoji(sql_strip_punct(x, SHORT_PUNCT_CLASS)))))
-    return f"list_transform({t}, lambda t: lower(t))"
+    return sql_remove_stopwords(sql_tokenize(sql_strip_digits(sql_strip_emoji(sql_strip_punct(x, SHORT_PUNCT_CLASS)))))

@@ -25,7 +25,7 @@ def fill_title(df: DataFrame, value: str = "no_title", col: str = "title") -> Da
 def lemma_map(tokens: DataFrame, vocab: DataFrame | None = None, rules=None) -> DataFrame:
     """Lemma per distinct token: ``tok, lemma`` for tokens whose lemma differs.
 
-    Candidates are the token itself and its suffix-rule results; a candidate counts only
+    Candidates are the token itself and, unless it has capitals, its suffix-rule results; a candidate counts only
     when it is a word of ``vocab`` (default: the distinct tokens themselves). The shortest
     candidate wins, ties by text. This is two aggregations and no join: every distinct token
     emits itself and its rule results keyed by the candidate word, and a word group says
@@ -38,7 +38,7 @@ def lemma_map(tokens: DataFrame, vocab: DataFrame | None = None, rules=None) ->
         F.transform(
             rule_arr,
             lambda r: F.when(
-                F.col("tok").endswith(r["suf"]) & (F.length("tok") - F.length(r["suf"]) + F.length(r["rep"]) > 0),
+                (F.col("tok") == F.lower("tok")) & F.col("tok").endswith(r["suf"]) & (F.length("tok") - F.length(r["suf"]) + F.length(r["rep"]) > 0),
                 F.concat(F.col("tok").substr(F.lit(1), F.length("tok") - F.length(r["suf"])), r["rep"]),
             ),
         ),
@@ -85,24 +85,25 @@ def lemmatize(df: DataFrame, key: Sequence[str], token_cols: dict, vocab: DataFr
 def preprocess(df: DataFrame, key: str = "doc_id", vocab: DataFrame | None = None) -> DataFrame:
     """P10: emoji, punctuation, lower case, digits, tokens, stop words, lemmas on title and content.
 
-    Output: ``key, title, title_preproced, content_preproced``. A NULL content stays
-    empty here (the reference writes the text ``nan``).
+    Output: ``key, title, title_preproced, content_preproced``. A NULL content
+    becomes the text ``nan``.
     """
     base = fill_title(spread(df.select(key, "title", "content"), key))
     toks = base.select(
         key,
         "title",
         text.clean_tokens(F.col("title")).alias("_tt"),
-        text.clean_tokens(F.col("content")).alias("_ct"),
+        text.clean_tokens(F.coalesce(F.col("content"), F.lit("nan"))).alias("_ct"),
     )
     lem = lemmatize(toks, [key], {"title_preproced": "_tt", "content_preproced": "_ct"}, vocab)
     return toks.select(key, "title").join(lem, key)
 
 
 def preprocess_v2(df: DataFrame, col: str = "content", key: str = "doc_id", vocab: DataFrame | None = None) -> DataFrame:
-    """The second cleaning order; lower-casing comes last, so ``The`` survives the stop list."""
+    """The second cleaning order; lower-casing comes last, so ``The`` survives the stop list and ``Cities`` the lemmatiser."""
     toks = spread(df.select(key, col), key).select(key, text.clean_tokens_v2(F.col(col)).alias("_t"))
-    return lemmatize(toks, [key], {f"{col}_preproced": "_t"}, vocab)
+    out = f"{col}_preproced"
+    return lemmatize(toks, [key], {out: "_t"}, vocab).withColumn(out, F.lower(out))
 
 
 def select_valid(df: DataFrame, min_year: int = 2015, cols=("doc_id", "title", "content", "year", "month")) -> DataFrame:

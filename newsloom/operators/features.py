@@ -1,8 +1,8 @@
 """Text features: counts, TF-IDF, c-TF-IDF, similarity.
 
 Everything is long form ``(key, term, value)``: term statistics are aggregations, document
-vectors are never densified, and document similarity is an exact prefix-filtered join on
-terms (rare terms first), so frequent terms do not create all-pairs work.
+vectors are never densified, and document similarity is an exact blocked product of sparse
+vectors, so frequent terms create no join rows.
 """
 
 from __future__ import annotations

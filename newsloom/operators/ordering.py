@@ -87,16 +87,16 @@ def order_by_size(df: DataFrame, keys: Sequence[str], topic: str = "topic", doc:
 
 def order_centre(df: DataFrame, keys: Sequence[str], topic: str = "topic", doc: str = "doc_id",
                  out: str = "order_pos") -> DataFrame:
-    """Topics by size, rank 0 = largest (-1 included when it is one of them). Even ranks
-    ascending by size, then odd ranks descending by size; -1 is taken out and goes to the
-    lighter side: more odd than even ranks -> front; fewer -> end; equal -> end when the
+    """Topics by size, rank 0 = largest. Even ranks ascending by size, then odd ranks
+    descending by size, -1 like any other topic unless it is the largest: then it is taken out and goes
+    to the lighter side: more odd than even ranks -> front; fewer -> end; equal -> end when the
     first odd topic is at least as big as the last even one, else front."""
     k = list(keys)
     sizes = df.groupBy(*k, topic).agg(F.count(F.lit(1)).alias("_sz"))
     ranked = sizes.withColumn(
         "_r", F.row_number().over(Window.partitionBy(*k).orderBy(F.col("_sz").desc(), F.col(topic))) - 1)
     w_all = Window.partitionBy(*k)
-    real = F.col(topic) != -1
+    real = ~((F.col(topic) == -1) & (F.col("_r") == 0))
     even = real & (F.col("_r") % 2 == 0)
     odd = real & (F.col("_r") % 2 == 1)
     n_even = F.count_if(even).over(w_all)

@@ -75,7 +75,8 @@ def score_sentiment(docs: DataFrame, lexicon: DataFrame, tokens_col: str = "toks
 
 def score_binary(scored: DataFrame) -> DataFrame:
     """Two-class form: label POSITIVE/NEGATIVE and its softmax score over (neg, pos) logits."""
-    p = F.col("positive") / (F.col("positive") + F.col("negative"))
+    # both probabilities can underflow to 0
+    p = F.coalesce(F.try_divide(F.col("positive"), F.col("positive") + F.col("negative")), F.lit(0.5))
     return scored.withColumn("label", F.when(p >= 0.5, F.lit("POSITIVE")).otherwise(F.lit("NEGATIVE"))).withColumn(
         "score", F.greatest(p, F.lit(1.0) - p))
 

@@ -20,12 +20,13 @@ from newsloom.session import ensure_checkpoint_dir
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), node: str = "doc_id",
-                         max_rounds: int = 100) -> DataFrame:
+                         max_rounds: int = 1000) -> DataFrame:
     """Component label (smallest member id) per node: keys..., node, comp.
 
-    Min-label propagation in rounds; each round is one join + one aggregation, its result
-    is checkpointed to the cluster's checkpoint folder (lineage cut, survives executor
-    loss) and one aggregated change count decides whether to go on.
+    Each round takes the least label among the neighbours and then the label of that label (pointer jumping), so
+    the number of rounds grows with the logarithm of the longest path. A round is two joins and one aggregation,
+    checkpointed to the cluster's checkpoint folder (lineage cut, survives executor loss); one aggregated change
+    count decides whether to go on. Raises if the search does not end.
     """
     k = list(keys)
     ensure_checkpoint_dir(nodes.sparkSession)
@@ -34,16 +35,21 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
     und = und.checkpoint(eager=True)
     labels = nodes.select(*k, F.col(node).alias("n"), F.col(node).alias("comp")).checkpoint(eager=True)
     for _ in range(max_rounds):
-        prop = und.join(labels.withColumnRenamed("n", "a"), k + ["a"]).groupBy(*k, F.col("b").alias("n")).agg(
+        low = und.join(labels.withColumnRenamed("n", "a"), k + ["a"]).groupBy(*k, F.col("b").alias("n")).agg(
             F.min("comp").alias("_m"))
-        new = labels.join(prop, k + ["n"], "left").select(
-            *k, "n", F.least("comp", F.coalesce("_m", "comp")).alias("comp"), (F.col("_m") < F.col("comp")).alias("_ch"))
+        # a neighbour's smaller label is also offered to the node that names the own component
+        offer = labels.join(low, k + ["n"]).filter(F.col("_m") < F.col("comp"))
+        offer = offer.select(*k, "n", "_m").unionByName(offer.select(*k, F.col("comp").alias("n"), "_m"))
+        offer = offer.groupBy(*k, "n").agg(F.min("_m").alias("_m"))
+        new = labels.join(offer, k + ["n"], "left").select(
+            *k, "n", F.least("comp", F.coalesce("_m", "comp")).alias("_c"), F.col("comp").alias("_old"))
+        jump = new.select(*k, F.col("n").alias("_c"), F.col("_c").alias("_cc"))
+        new = new.join(jump, k + ["_c"]).select(*k, "n", F.col("_cc").alias("comp"), (F.col("_cc") < F.col("_old")).alias("_ch"))
         new = new.checkpoint(eager=True)
-        changed = new.filter("_ch").limit(1).count()
         labels = new.drop("_ch")
-        if changed == 0:
-            break
-    return labels.withColumnRenamed("n", node)
+        if new.filter("_ch").isEmpty():
+            return labels.withColumnRenamed("n", node)
+    raise RuntimeError("component search did not end")
 
 
 def relabel_by_size(comp: DataFrame, keys: Sequence[str], node: str, min_topic_size: int,
@@ -142,8 +148,7 @@ def exemplars(assign: DataFrame, sizes: DataFrame, keys: Sequence[str] = (), id_
     return j.withColumn("_r", r).filter("_r = 1").select(*k, "topic", id_col, "size")
 
 
-def reduce_topics(docs: DataFrame, n: int, keys: Sequence[str], id_col: str = "doc_id", vec_col: str = "v",
-                  max_rounds: int = 1000) -> DataFrame:
+def reduce_topics(docs: DataFrame, n: int, keys: Sequence[str], id_col: str = "doc_id", vec_col: str = "v") -> DataFrame:
     """While a group has more than ``n`` real topics, merge its smallest topic (ties:
     largest id) into its most similar other topic (centroid cosine, ties: smallest id).
 
@@ -163,7 +168,8 @@ def reduce_topics(docs: DataFrame, n: int, keys: Sequence[str], id_col: str = "d
     # mapping original -> current topic
     mapping = table.select(*k, "topic", "cur")
     state = table.select(*k, "cur", "size", "vsum").checkpoint(eager=True)
-    for _ in range(max_rounds):
+    # every round takes one topic from each group that has too many, so the loop ends
+    while True:
         cnt = state.groupBy(*k).agg(F.count(F.lit(1)).alias("_nt"))
         over = state.join(cnt.filter(F.col("_nt") > n), k)
         if over.limit(1).count() == 0:
@@ -218,7 +224,7 @@ def lda_topics(counts: DataFrame, key: str, k: int = 10, seed: int = 43, max_ite
     docs = counts.groupBy(key).agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("_terms"))
     cv = CountVectorizer(inputCol="_terms", outputCol="features").fit(docs)
     feats = cv.transform(docs)
-    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", featuresCol="features").fit(feats)
+    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, featuresCol="features").fit(feats)
     mix = model.transform(feats).select(key, vector_to_array("topicDistribution").alias("_m"))
     mix = mix.select(key, F.transform("_m", lambda x: F.round(x, 2)).alias("mixture"),
                      (F.array_position("_m", F.array_max("_m")) - 1).cast("int").alias("dominant_topic"))
@@ -283,26 +289,30 @@ def term_topic_history(found: DataFrame, assign: DataFrame, keys: Sequence[str])
     return h.orderBy("query", "topic_start_year", "topic_start_month")
 
 
-def recluster_outliers(vectors: DataFrame, threshold: float, min_topic_size: int, rounds: int = 3,
-                       step: float = 0.05, min_left: int = 15, id_col: str = "doc_id", vec_col: str = "v") -> DataFrame:
+def recluster_outliers(vectors: DataFrame, threshold: float, min_topic_size: int, step: float = 0.05,
+                       min_left: int = 15, lowest: float = 0.0, id_col: str = "doc_id", vec_col: str = "v") -> DataFrame:
     """Cluster, then cluster the -1 documents again with a looser threshold, round by
-    round, until at most ``min_left`` outliers remain or ``rounds`` are done.
+    round, until at most ``min_left`` outliers remain or the threshold falls below ``lowest``
+    (where unrelated vectors would be joined).
 
-    Output: id, round (when the topic was found; -1 never), topic (unique over rounds as
-    round * 1000 + topic, -1 for the rest). Each round's input is checkpointed.
+    Output: id, round (when the topic was found; -1 never), topic (numbered on over the
+    rounds, -1 for the rest). Each round's input is checkpointed.
     """
     ensure_checkpoint_dir(vectors.sparkSession)
     todo = vectors.select(id_col, vec_col).checkpoint(eager=True)
-    found = None
-    for r in range(rounds):
+    found, r, used = None, 0, 0
+    while threshold - r * step >= lowest and todo.count() > min_left:
         t = density_topics(todo, threshold - r * step, min_topic_size, id_col=id_col, vec_col=vec_col)
-        got = t.filter(F.col("topic") != -1).select(id_col, F.lit(r).alias("round"), (F.lit(r * 1000) + F.col("topic")).alias("topic"))
+        got = t.filter(F.col("topic") != -1).select(id_col, F.lit(r).alias("round"), (F.lit(used) + F.col("topic")).alias("topic"))
+        got = got.checkpoint(eager=True)
+        last = got.agg(F.max("topic")).first()[0]
+        used = used if last is None else last + 1
         found = got if found is None else found.unionByName(got)
-        found = found.checkpoint(eager=True)
         todo = todo.join(got.select(id_col), id_col, "left_anti").checkpoint(eager=True)
-        if todo.count() <= min_left:
-            break
+        r += 1
     allids = vectors.select(id_col)
+    if found is None:
+        return allids.select(id_col, F.lit(-1).alias("round"), F.lit(-1).alias("topic"))
     return allids.join(found, id_col, "left").select(
         id_col, F.coalesce("round", F.lit(-1)).alias("round"), F.coalesce("topic", F.lit(-1)).alias("topic"))
 
@@ -321,7 +331,7 @@ def lda_grid(counts: DataFrame, key: str, ks=(3, 5), decays=(0.5, 0.7), seed: in
     rows = []
     for k in ks:
         for d in decays:
-            m = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", learningDecay=d).fit(train)
+            m = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, learningDecay=d).fit(train)
             rows.append((k, float(d), float(m.logLikelihood(test)), float(m.logPerplexity(test))))
     res = spark.createDataFrame(rows, "k int, learning_decay double, log_likelihood double, log_perplexity double")
     return res.orderBy(F.col("log_likelihood").desc())

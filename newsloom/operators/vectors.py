@@ -439,8 +439,7 @@ def top_partners(
     return top.drop("_g") if not kk else top
 
 
-def greedy_most_similar(vectors: DataFrame, id_col: str = "doc_id", vec_col: str = "v", k0: int = 2,
-                        max_rounds: int = 1000) -> DataFrame:
+def greedy_most_similar(vectors: DataFrame, id_col: str = "doc_id", vec_col: str = "v", k0: int = 2) -> DataFrame:
     """Most similar document in id order, where j is not allowed for i when j < i already
     chose i; ties -> smallest j; none left -> (-1, -1). Output: id, best_id, best_sim.
 
@@ -456,7 +455,8 @@ def greedy_most_similar(vectors: DataFrame, id_col: str = "doc_id", vec_col: str
     k = k0
     top = top_partners(vectors, k, id_col, vec_col).checkpoint(eager=True)
     choice = base.withColumn("best_id", F.lit(None).cast("long"))
-    for _ in range(max_rounds):
+    # after round r the choices of the r smallest ids are final, so the loop ends
+    while True:
         excl = choice.filter(F.col("best_id").isNotNull() & (F.col("id") < F.col("best_id"))).select(
             F.col("best_id").alias("id"), F.col("id").alias("other"))
         need = excl.groupBy("id").agg(F.count(F.lit(1)).alias("_m")).agg(F.max("_m")).first()[0] or 0

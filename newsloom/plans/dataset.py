@@ -19,7 +19,7 @@ MONTH = ["year", "month"]
 
 def graph_inputs(spark: SparkSession, sf_dir: str) -> dict:
     """Fixture inputs of T5 from the given tables (FIXTURES.md section 3)."""
-    p = tables.fixture_params(sf_dir)
+    p = tables.fixture_params()
     docs = tables.article_vectors(spark, sf_dir)
     assigned = tables.topic_assignment(docs, p["min_topic_size"])
     scored = sentiment.probabilities_from_logits(assigned, tables.fixture_sentiment(F.col("v")))

@@ -20,14 +20,14 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def month_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document pairs inside a month with cosine >= the pair threshold: year, month, id1 < id2, weight."""
-    p = tables.fixture_params(sf_dir)
+    p = tables.fixture_params()
     d = tables.article_vectors(spark, sf_dir).select("doc_id", *MONTH, "v")
     return vectors.cosine_pairs(d, "doc_id", "v", p["pair_threshold"], MONTH)
 
 
 def global_edges(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> DataFrame:
     """Vector pairs over all embeddings with cosine >= threshold: id1 < id2, weight."""
-    p = tables.fixture_params(sf_dir)
+    p = tables.fixture_params()
     v = tables.vector_view(spark, sf_dir)
     return vectors.cosine_pairs(v, "vec_id", "v", p["pair_threshold"] if threshold is None else threshold)
 

@@ -48,7 +48,7 @@ def layout_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout_edges(spark: SparkSession, sf_dir: str):
     """G3 strong edges between placed nodes and their curves (H8)."""
-    p = tables.fixture_params(sf_dir)
+    p = tables.fixture_params()
     gi = dataset.graph_inputs(spark, sf_dir)
     g = dataset.graph_dataset(gi["docs"], gi["min_topic_size"], gi["threshold"])
     placed = layout_nodes(g, gi["docs"]).select(*MONTH, F.col("document1").alias("doc_id"), "x", "y", "topic")

@@ -132,7 +132,7 @@ _BEST_SQL = """
  FROM bp WHERE best_sim >= 0.35 GROUP BY best_id ORDER BY n_best DESC, doc LIMIT 3"""))
 def a12(spark, sf_dir):
     """How often each document is someone's best match (>= t); the top 3 and the mean."""
-    p = tables.fixture_params(sf_dir)
+    p = tables.fixture_params()
     best = V.best_partner(tables.vector_view(spark, sf_dir), "vec_id", "v")
     cnt = best.filter(F.col("best_sim") >= p["pair_threshold"]).groupBy(F.col("best_id").alias("doc")).agg(
         F.count(F.lit(1)).alias("n_best"))

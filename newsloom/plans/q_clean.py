@@ -96,7 +96,7 @@ def _sql_lemmas(src_cte: str) -> str:
 dt AS (SELECT DISTINCT tok FROM ex),
 {_sql_rules()},
 cand AS (SELECT d.tok, substr(d.tok, 1, length(d.tok) - length(r.suf)) || r.rep AS cand
-         FROM dt d JOIN rules r ON suffix(d.tok, r.suf) AND length(d.tok) - length(r.suf) + length(r.rep) > 0),
+         FROM dt d JOIN rules r ON d.tok = lower(d.tok) AND suffix(d.tok, r.suf) AND length(d.tok) - length(r.suf) + length(r.rep) > 0),
 okc AS (SELECT c.tok, c.cand FROM cand c WHERE c.cand IN (SELECT tok FROM dt) UNION SELECT tok, tok FROM dt),
 lm AS (SELECT tok, cand AS lemma FROM (
          SELECT tok, cand, row_number() OVER (PARTITION BY tok ORDER BY length(cand), cand) AS rn FROM okc)
@@ -125,7 +125,7 @@ def p09(spark, sf_dir):
 P10_SQL = with_(
     ARTICLES,
     f""" src AS (SELECT doc_id, 't' AS f, {T.sql_clean_tokens("coalesce(title, 'no_title')")} AS toks FROM art
-         UNION ALL SELECT doc_id, 'c' AS f, {T.sql_clean_tokens('content')} AS toks FROM art)""",
+         UNION ALL SELECT doc_id, 'c' AS f, {T.sql_clean_tokens("coalesce(content, 'nan')")} AS toks FROM art)""",
     _sql_lemmas("src"),
     f""" SELECT a.doc_id, coalesce(a.title, 'no_title') AS title, coalesce(t.s, '') AS title_preproced,
             {_sql_digest("coalesce(c.s, '')", 'content_preproced')}
@@ -144,7 +144,7 @@ P11_SQL = with_(
     ARTICLES,
     f" src AS (SELECT doc_id, 'c' AS f, {T.sql_clean_tokens_v2('content')} AS toks FROM art)",
     _sql_lemmas("src"),
-    " SELECT a.doc_id, " + _sql_digest("coalesce(l.s, '')", "content") + " FROM art a LEFT JOIN lem l USING (doc_id)",
+    " SELECT a.doc_id, " + _sql_digest("lower(coalesce(l.s, ''))", "content") + " FROM art a LEFT JOIN lem l USING (doc_id)",
 )
 
 
@@ -201,7 +201,7 @@ def p18(spark, sf_dir):
 
 @query("p19_outlier_docs", with_(TOPICS, " SELECT doc_id, year, month, label FROM asg WHERE topic = -1"))
 def p19(spark, sf_dir):
-    p = tables.fixture_params(sf_dir)
+    p = tables.fixture_params()
     a = tables.topic_assignment(tables.article_vectors(spark, sf_dir), p["min_topic_size"])
     return clean.outlier_docs(a).select("doc_id", "year", "month", "label")
 

@@ -104,11 +104,11 @@ def w08(spark, sf_dir):
  sz AS (SELECT year, month, topic, count(*) AS s FROM asg GROUP BY ALL),
  rk2 AS (SELECT *, row_number() OVER (PARTITION BY year, month ORDER BY s DESC, topic) - 1 AS r FROM sz),
  ag AS (SELECT year, month,
-               count_if(topic <> -1 AND r % 2 = 0) AS ne, count_if(topic <> -1 AND r % 2 = 1) AS no,
-               arg_min(s, r) FILTER (WHERE topic <> -1 AND r % 2 = 1) AS fo,
-               arg_max(s, r) FILTER (WHERE topic <> -1 AND r % 2 = 0) AS le
+               count_if(NOT (topic = -1 AND r = 0) AND r % 2 = 0) AS ne, count_if(r % 2 = 1) AS no,
+               arg_min(s, r) FILTER (WHERE r % 2 = 1) AS fo,
+               arg_max(s, r) FILTER (WHERE NOT (topic = -1 AND r = 0) AND r % 2 = 0) AS le
         FROM rk2 GROUP BY year, month),
- tk AS (SELECT rk2.*, CASE WHEN topic = -1 THEN
+ tk AS (SELECT rk2.*, CASE WHEN topic = -1 AND r = 0 THEN
                             CASE WHEN no > ne OR (no = ne AND NOT coalesce(fo >= le, false)) THEN 0 ELSE 3 END
                           WHEN r % 2 = 0 THEN 1 ELSE 2 END AS seg,
                CASE WHEN r % 2 = 0 THEN s ELSE -s END AS within

@@ -32,7 +32,7 @@ SELECT c.node AS vec_id, c.comp, CAST(coalesce(big.topic, -1) AS INTEGER) AS top
 
 
 def _m12(spark, sf_dir):
-    p = tables.fixture_params(sf_dir)
+    p = tables.fixture_params()
     return TP.density_topics(tables.vector_view(spark, sf_dir), p["component_threshold"], 10, id_col="vec_id")
 
 
@@ -92,7 +92,7 @@ _M12_CTES = _M12_SQL.split("SELECT c.node AS vec_id")[0].rstrip()
 SELECT CAST(topic AS INTEGER) AS topic, vec_id, size FROM rk WHERE r = 1""")
 def m22(spark, sf_dir):
     """Exemplars: the members with the most neighbours (>= t) of every topic."""
-    p = tables.fixture_params(sf_dir)
+    p = tables.fixture_params()
     v = tables.vector_view(spark, sf_dir)
     sizes = V.neighbour_count(v, p["component_threshold"], "vec_id", "v")
     return TP.exemplars(_m12(spark, sf_dir), sizes, id_col="vec_id")
@@ -276,8 +276,9 @@ def m20(spark, sf_dir):
 @query("m25_recluster_outliers")
 def m25(spark, sf_dir):
     """Outliers clustered again with a looser threshold, round by round."""
-    p = tables.fixture_params(sf_dir)
-    return TP.recluster_outliers(tables.vector_view(spark, sf_dir), p["component_threshold"], 10, 3, 0.05, 15, "vec_id", "v")
+    p = tables.fixture_params()
+    return TP.recluster_outliers(tables.vector_view(spark, sf_dir), p["component_threshold"], 10,
+                                 step=0.05, min_left=15, id_col="vec_id", vec_col="v")
 
 
 @query("w10_order_by_community")

@@ -1,7 +1,7 @@
 """DuckDB text of the fixture views (FIXTURES.md section 3), shared by the oracles."""
 
 # article view, articles with vectors (dv), fixture topics (asg) and sentiment (sen);
-# the minimum topic size 8 and pair threshold 0.35 are the sf0.01 parameters.
+# the minimum topic size 8 and pair threshold 0.35 are those of tables.FIXTURE_PARAMS.
 ARTICLES = """
 art AS (
   SELECT doc_id,

@@ -7,8 +7,6 @@ FIXTURES.md section 3; the same definitions are written in SQL for the oracle.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +23,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scale_factor(sf_dir: str) -> float:
-    m = re.search(r"sf([0-9.]+)", sf_dir)
-    return float(m.group(1).rstrip(".")) if m else 0.1
+#: Parameters of the fixture topics and graphs, the same for every folder; the oracles hold the same values.
+FIXTURE_PARAMS = {"min_topic_size": 8, "pair_threshold": 0.35, "component_threshold": 0.35}
 
 
-def fixture_params(sf_dir: str) -> dict:
-    """Parameters that give non-empty results on the random test vectors (FIXTURES.md section 4)."""
-    sf = scale_factor(sf_dir)
-    if sf <= 0.001:
-        return {"min_topic_size": 6, "pair_threshold": 0.35, "component_threshold": 0.35}
-    if sf <= 0.01:
-        return {"min_topic_size": 8, "pair_threshold": 0.35, "component_threshold": 0.35}
-    return {"min_topic_size": 25, "pair_threshold": 0.40, "component_threshold": 0.40}
+def fixture_params() -> dict:
+    return dict(FIXTURE_PARAMS)
 
 
 def article_view(spark: SparkSession, sf_dir: str) -> DataFrame:

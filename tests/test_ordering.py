@@ -90,3 +90,12 @@ def test_date_chunks(spark):
 def test_round_half_up(spark):
     df = spark.createDataFrame([(0.5,), (1.5,), (2.5,)], "x double")
     assert [r.r for r in df.select(F.round("x", 0).alias("r")).collect()] == [1.0, 2.0, 3.0]
+
+
+def test_order_centre_keeps_a_small_outlier_topic_in_its_place(spark):
+    from newsloom.operators import ordering as O
+
+    topics = [0] * 5 + [-1] * 4 + [1] * 3 + [2] * 2
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(topics)], "m int, doc_id long, topic int")
+    rows = sorted((r.order_pos, r.topic) for r in O.order_centre(df, ["m"]).collect())
+    assert list(dict.fromkeys(t for _, t in rows)) == [1, 0, -1, 2]

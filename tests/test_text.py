@@ -38,7 +38,20 @@ def test_contractions(spark):
 
 
 def test_v2_lowercases_last(spark):
-    assert one(spark, "The the", T.clean_tokens_v2) == ["the"]
+    from newsloom.operators import clean
+
+    assert one(spark, "The the", T.clean_tokens_v2) == ["The"]
+    rows = [(1, "Cities cities"), (2, "city City “Trump’s” — The end")]
+    got = dict(clean.preprocess_v2(spark.createDataFrame(rows, "doc_id long, content string")).collect())
+    assert got == {1: "cities city", 2: "city city trump the end"}
+
+
+def test_null_content_is_the_text_nan(spark):
+    from newsloom.operators import clean
+
+    rows = [(1, None, None), (2, "a title", "some words")]
+    got = {r.doc_id: r for r in clean.preprocess(spark.createDataFrame(rows, "doc_id long, title string, content string")).collect()}
+    assert got[1].content_preproced == "nan" and got[2].content_preproced != ""
 
 
 def test_remap_two_keys(spark):

@@ -162,3 +162,71 @@ def test_train_test_is_stable(spark):
     a = sorted(r.k for r in R.train_test(df, "k")[1].collect())
     b = sorted(r.k for r in R.train_test(df.repartition(7), "k")[1].collect())
     assert a == b and 200 < len(a) < 400
+
+
+def test_components_of_a_chain_longer_than_any_round_limit(spark):
+    from newsloom.operators.topics import connected_components
+
+    ids = [(i * 7919) % 400 for i in range(400)]  # neighbours on the chain are far apart in value
+    nodes = spark.createDataFrame([(1, i) for i in ids] + [(2, 5), (2, 6)], "m int, doc_id long")
+    edges = spark.createDataFrame([(1, a, b, 1.0) for a, b in zip(ids, ids[1:])], "m int, id1 long, id2 long, weight double")
+    got = connected_components(nodes, edges, ["m"]).collect()
+    assert {(r.m, r.doc_id, r.comp) for r in got} == {(1, i, 0) for i in range(400)} | {(2, 5, 5), (2, 6, 6)}
+
+
+def test_communities_end_where_no_node_gains(spark):
+    import random
+
+    from newsloom.operators import graph
+
+    rng = random.Random(3)
+    pairs = {(min(a, b), max(a, b)): rng.random() for a, b in (rng.sample(range(30), 2) for _ in range(60))}
+    pairs |= {(i, j): 1.0 for i in range(30, 36) for j in range(i + 1, 36)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "id1 long, id2 long, weight double")
+    got = {r.doc_id: r.community for r in graph.communities(spark.range(36).withColumnRenamed("id", "doc_id"), edges).collect()}
+    assert len({got[i] for i in range(30, 36)}) == 1
+    for n in range(36):
+        weight = {}
+        for (a, b), w in pairs.items():
+            if n in (a, b):
+                other = got[b if n == a else a]
+                weight[other] = weight.get(other, 0.0) + w
+        assert not weight or max(weight.values()) <= weight.get(got[n], 0.0) + 1e-6
+
+
+def test_reduced_topics_keep_every_document_and_the_wanted_number(spark):
+    import numpy as np
+
+    from newsloom.operators.topics import reduce_topics
+
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 2, int(i % 13) - 1, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, m int, topic int, v array<double>")
+    got = reduce_topics(docs, 4, ["m"]).collect()
+    assert len(got) == 300
+    for m in (0, 1):
+        sizes = [sum(r.m == m and r.topic == t for r in got) for t in range(4)]
+        assert {r.topic for r in got if r.m == m} <= {-1, 0, 1, 2, 3} and sizes == sorted(sizes, reverse=True)
+    assert all((r.topic == -1) == (rows[r.doc_id][2] == -1) for r in got)
+
+
+def test_reclustering_numbers_topics_without_collisions(spark):
+    from newsloom.operators.topics import recluster_outliers
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows, n = [], 0
+    for g in range(12):
+        base = np.eye(12)[g]
+        for _ in range(5):
+            v = base + rng.normal(size=12) * (0.02 if g < 6 else 0.22)
+            rows.append((n, [float(x) for x in v]))
+            n += 1
+    got = recluster_outliers(spark.createDataFrame(rows, "doc_id long, v array<double>"), 0.95, 3, step=0.1, min_left=2, lowest=0.4).collect()
+    assert len(got) == n and {(r.round == -1) == (r.topic == -1) for r in got} == {True}
+    by_topic = {}
+    for r in got:
+        by_topic.setdefault(r.topic, set()).add(r.round)
+    assert all(len(v) == 1 for t, v in by_topic.items()) and max(r.round for r in got) >= 1
+    assert sorted(t for t in by_topic if t >= 0) == list(range(len([t for t in by_topic if t >= 0])))
