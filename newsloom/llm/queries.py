@@ -1,5 +1,10 @@
 """All registered operator queries of this folder."""
 
 from newsloom.llm import base, bpe, chat, decontaminate, ngram_join, pii, pseudo_likelihood, quality, sharding, toxicity, vector_join  # noqa: F401
+from newsloom.llm import oracles
+
+base.ORACLES["op1_ngram_jaccard_join"] = oracles.NGRAM_JOIN
+base.ORACLES["op3_subspace_pigeonhole_join"] = oracles.VECTOR_JOIN
+base.ORACLES["op9_feistel_sharding"] = oracles.shard_sql(sharding.SHARDS, sharding.SEED)
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.base import query, saved, table
 
+SHARDS, SEED = 40, 20240607
 ROUNDS = 8
 PRIME = (1 << 31) - 1
 #: More walks than this have a chance below n * 2**-WALKS, as each ends with one half at least; then the job fails.
@@ -97,7 +98,7 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return spread.withColumn("_part", part).join(F.broadcast(offset), "_part").withColumn("row", row).drop("_part", "_id", "_first")
 
 
-def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 20240607) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Shard and slot of every row of ``docs(doc_id, text)``: ``doc_id, size, text_crc32, row, shard, slot``.
 
     Law ``rows``: the shards' counts are at most one apart, slots are gapless from 0. size: UTF-8 bytes plus 16; a null text has size
