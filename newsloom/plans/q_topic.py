@@ -278,7 +278,7 @@ def m25(spark, sf_dir):
     """Outliers clustered again with a looser threshold, round by round."""
     p = tables.fixture_params()
     return TP.recluster_outliers(tables.vector_view(spark, sf_dir), p["component_threshold"], 10,
-                                 step=0.05, min_left=15, id_col="vec_id", vec_col="v")
+                                 step=0.1, min_left=15, id_col="vec_id", vec_col="v")
 
 
 @query("w10_order_by_community")
