@@ -24,16 +24,51 @@ def centre_out(info: DataFrame, keys: Sequence[str] = ("year", "month"), topic:
     return src.withColumn(out, F.row_number().over(w).cast("long"))
 
 
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """Rows range-partitioned by keys and order, with the partition's number as ``_pid``.
+
+    A key with very many rows spans several partitions, so windows over (key, ``_pid``) hold no more than a
+    partition, whatever the key's size. Checkpointed, so that the numbers stay fixed for all uses.
+    """
+    from newsloom.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(*keys, *order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+
+
+def _per_part(rows: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """``keys..., _pid, _before``: ``value`` (an aggregate) of the key's earlier partitions, summed; a row per key and partition."""
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*keys, "_pid").agg(value.alias("_t"))
+    return parts.select(*keys, "_pid", F.sum("_t").over(w).alias("_before"))
+
+
+def _with_parts(rows: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on keys (null-safe) and partition number."""
+    on = F.col("_pid") == F.col("_p__pid")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    named = parts.select(*[F.col(c).alias(f"_p_{c}") for c in [*keys, "_pid"]], *[c for c in parts.columns if c not in (*keys, "_pid")])
+    return rows.join(named, on).drop("_p__pid", *[f"_p_{k}" for k in keys])
+
+
 def topic_boundary(df: DataFrame, keys: Sequence[str], order: Sequence[str], topic: str = "topic",
                    out: str = "topic_change") -> DataFrame:
     """Topic minus the previous row's topic in display order; first row 0."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.coalesce(F.col(topic) - F.lag(topic).over(w), F.lit(0)))
+    rows = _ranged(df, keys, order)
+    last = rows.groupBy(*keys, "_pid").agg(F.max_by(topic, F.struct(*order)).alias("_last"))
+    prev = last.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_pid"))).drop("_last")
+    w = Window.partitionBy(*keys, "_pid").orderBy(*order)
+    own = _with_parts(rows.withColumn("_lag", F.lag(topic).over(w)), prev, keys)
+    return own.withColumn(out, F.coalesce(F.col(topic) - F.coalesce("_lag", "_prev"), F.lit(0))).drop("_pid", "_lag", "_prev")
 
 
-def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_pos") -> DataFrame:
+def row_position(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "row_pos") -> DataFrame:
     """Dense row number (from 0) after a sort, per key."""
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+    rows = _ranged(df, keys, order)
+    w = Window.partitionBy(*keys, "_pid").orderBy(*order)
+    own = _with_parts(rows.withColumn("_rn", F.row_number().over(w)), _per_part(rows, keys, F.count(F.lit(1))), keys)
+    return own.withColumn(out, (F.col("_rn") - 1 + F.coalesce("_before", F.lit(0))).cast("long")).drop("_pid", "_rn", "_before")
 
 
 def prob_centre(df: DataFrame, keys: Sequence[str], prob: str = "probabilities", doc: str = "doc_id",
@@ -42,18 +77,17 @@ def prob_centre(df: DataFrame, keys: Sequence[str], prob: str = "probabilities",
     position in doc order: even positions ascending by probability before, odd positions
     descending after. Unchanged (doc order) when none or all have probability 1."""
     k = list(keys)
-    w_all = Window.partitionBy(*k)
-    ones = F.sum(F.when(F.col(prob) == 1, 1).otherwise(0)).over(w_all)
-    n = F.count(F.lit(1)).over(w_all)
     is1 = F.col(prob) == 1
-    rest_pos = F.row_number().over(Window.partitionBy(*k, is1).orderBy(doc)) - 1
-    d = df.withColumn("_ones", ones).withColumn("_n", n).withColumn("_one", is1).withColumn("_rp", rest_pos)
+    d = row_position(df.withColumn("_one", is1), [*k, "_one"], [doc], "_rp")
+    total = df.groupBy(*k).agg(F.sum(F.when(is1, 1).otherwise(0)).alias("_ones"), F.count(F.lit(1)).alias("_n"))
+    d = d.join(total, k)
     keep = (F.col("_ones") == 0) | (F.col("_ones") == F.col("_n"))
     grp = F.when(keep, 0).when(F.col("_one"), 1).when(F.col("_rp") % 2 == 0, 0).otherwise(2)
     p = F.col(prob)
     inner = F.when(keep, F.lit(0.0)).when(F.col("_one"), F.lit(0.0)).when(F.col("_rp") % 2 == 0, p).otherwise(-p)
-    w = Window.partitionBy(*k).orderBy(grp, inner, F.when(F.col("_one") | keep, F.col(doc)).otherwise(F.col("_rp")))
-    return d.withColumn(out, F.row_number().over(w).cast("long")).drop("_ones", "_n", "_one", "_rp")
+    d = d.withColumn("_g", grp).withColumn("_in", inner).withColumn("_tie", F.when(F.col("_one") | keep, F.col(doc)).otherwise(F.col("_rp")))
+    placed = row_position(d, k, ["_g", "_in", "_tie"], out)
+    return placed.withColumn(out, F.col(out) + 1).drop("_ones", "_n", "_one", "_rp", "_g", "_in", "_tie")
 
 
 def half_flip(info: DataFrame, keys: Sequence[str], topic: str = "topic", out: str = "topic_pos") -> DataFrame:
@@ -73,16 +107,17 @@ def order_by_size(df: DataFrame, keys: Sequence[str], topic: str = "topic", doc:
                   outlier_last: bool = True, out: str = "order_pos") -> DataFrame:
     """Topics by size (largest first, ties by id), members in doc order; -1 at the end."""
     k = list(keys)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*k, topic))
-    d = df.withColumn("_sz", size)
+    sizes = df.groupBy(*k, topic).agg(F.count(F.lit(1)).alias("_sz"))
+    d = df.join(sizes, [*k, topic])
     last = (F.col(topic) == -1) if outlier_last else F.lit(False)
     if not k:
         # whole-table order: a distributed sort with partition offsets, not a one-task window
         d = d.withColumn("_last", last).withColumn("_nsz", -F.col("_sz"))
         r = global_position(d, ["_last", "_nsz", topic, doc], "_p")
         return r.withColumn(out, F.col("_p") + 1).drop("_sz", "_last", "_nsz", "_p")
-    w = Window.partitionBy(*k).orderBy(last, F.col("_sz").desc(), F.col(topic), F.col(doc))
-    return d.withColumn(out, F.row_number().over(w).cast("long")).drop("_sz")
+    d = d.withColumn("_last", last).withColumn("_nsz", -F.col("_sz"))
+    placed = row_position(d, k, ["_last", "_nsz", topic, doc], out)
+    return placed.withColumn(out, F.col(out) + 1).drop("_sz", "_last", "_nsz")
 
 
 def order_centre(df: DataFrame, keys: Sequence[str], topic: str = "topic", doc: str = "doc_id",
@@ -113,47 +148,28 @@ def order_centre(df: DataFrame, keys: Sequence[str], topic: str = "topic", doc:
     within = F.when(F.col("_r") % 2 == 0, F.col("_sz")).otherwise(-F.col("_sz"))
     t = r.select(*k, topic, seg.alias("_seg"), within.alias("_within"), F.col("_r"))
     d = df.join(t, k + [topic])
-    w = Window.partitionBy(*k).orderBy("_seg", "_within", "_r", doc)
-    return d.withColumn(out, F.row_number().over(w).cast("long")).drop("_seg", "_within", "_r")
+    placed = row_position(d, k, ["_seg", "_within", "_r", doc], out)
+    return placed.withColumn(out, F.col(out) + 1).drop("_seg", "_within", "_r")
 
 
 def global_position(df: DataFrame, order: Sequence[str], out: str = "row_pos") -> DataFrame:
     """0-based position of every row in a total order, computed without a single-task window.
 
-    Rows are range-partitioned and sorted by ``order``; each partition numbers its rows
-    (Arrow batches, per-partition counter) and is checkpointed so that partition ids stay
-    fixed; partition sizes (one row per partition) give the offsets by a running sum.
+    Rows are range-partitioned and sorted by ``order``; ``monotonically_increasing_id`` holds the partition and
+    the place in it. Partition sizes (one row per partition) give the offsets by a running sum.
     """
     from newsloom.session import ensure_checkpoint_dir
-    import pandas as pd
-    import pyarrow as pa  # noqa: F401
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n_parts = max(1, spark.sparkContext.defaultParallelism)
-    s = df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
-    from pyspark.sql import types as T
-
-    schema = T.StructType(s.schema.fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType())])
-
-    def number(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        seen = 0
-        for pdf in batches:
-            pdf = pdf.assign(_pid=pid, _local=range(seen, seen + len(pdf)))
-            seen += len(pdf)
-            yield pdf
 
-    numbered = s.mapInPandas(number, schema).checkpoint(eager=True)
-    sizes = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    ensure_checkpoint_dir(df.sparkSession)
+    s = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    pid = F.shiftright("_mid", 33)
+    sizes = s.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = sizes.withColumn(
         "_off", F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
     ).select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))
     # offsets has one row per partition: a proven bound, broadcast
-    return numbered.join(F.broadcast(offsets), "_pid").withColumn(
-        out, (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_local", "_off")
+    return s.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid").withColumn(
+        out, (F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid"), 33)).cast("long")).drop("_pid", "_mid", "_off")
 
 
 def overlap_batches(df: DataFrame, order: Sequence[str], size: int = 3000, back: int = 1500,
@@ -183,8 +199,10 @@ def chunk_ranges(df: DataFrame, parts: int = 10) -> DataFrame:
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Cumulative sum per key in order (rows frame)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(value).over(w))
+    rows = _ranged(df, keys, order)
+    w = Window.partitionBy(*keys, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = _with_parts(rows.withColumn("_run", F.sum(value).over(w)), _per_part(rows, keys, F.sum(value)), keys)
+    return own.withColumn(out, F.coalesce(F.col("_run") + F.col("_before"), F.col("_run"), F.col("_before"))).drop("_pid", "_run", "_before")
 
 
 # ------------------------------------------------------------------------ top-k

@@ -102,10 +102,10 @@ def membership(docs: DataFrame, keys: Sequence[str], id_col: str = "doc_id", vec
     k = list(keys)
     real = docs.filter(F.col(topic) != -1)
     cents = V.vector_mean(real, k + [topic], vec_col, "_c")
-    cos = docs.select(*k, id_col, vec_col).join(cents, k).select(
-        *k, id_col, topic, vec.cosine(F.col(vec_col), F.col("_c")).alias("_s"))
-    arr = cos.groupBy(*k, id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(topic, "_s"))), lambda s: s["_s"]).alias("_cs"))
+    # one row per key with its centroids (bounded by the topics), so each document meets one row, not a product
+    per_key = cents.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct(topic, "_c"))).alias("_cents"))
+    arr = docs.select(*k, id_col, vec_col).join(per_key, k).withColumn(
+        "_cs", F.transform("_cents", lambda s: vec.cosine(F.col(vec_col), s["_c"])))
     return arr.select(*k, id_col, vec.softmax(F.col("_cs")).alias("probs"))
 
 

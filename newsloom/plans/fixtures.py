@@ -36,8 +36,7 @@ def topic_probabilities(d: DataFrame) -> DataFrame:
     """M14 fixture: softmax of the cosine to each real topic centroid of the month (topic order)."""
     real = d.filter(F.col("topic") != -1)
     cents = vectors.vector_mean(real, MONTH + ["topic"], "v", "centroid")
-    cos = d.select("doc_id", *MONTH, "v").join(cents, MONTH).select(
-        "doc_id", *MONTH, "topic", vec.cosine(F.col("v"), F.col("centroid")).alias("_c"))
-    arr = cos.groupBy("doc_id", *MONTH).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("topic", "_c"))), lambda s: s["_c"]).alias("_cs"))
-    return d.join(arr, ["doc_id"] + MONTH).withColumn("probs", vec.softmax(F.col("_cs"))).drop("_cs")
+    # one row per month with its centroids (bounded by the topics), so each document meets one row, not a product
+    month = cents.groupBy(*MONTH).agg(F.array_sort(F.collect_list(F.struct("topic", "centroid"))).alias("_cents"))
+    cos = d.join(month, MONTH).withColumn("_cs", F.transform("_cents", lambda s: vec.cosine(F.col("v"), s["centroid"])))
+    return cos.withColumn("probs", vec.softmax(F.col("_cs"))).drop("_cs", "_cents")
