@@ -29,7 +29,7 @@ from newsloom.llm.words import mix, ngram_hash, sequence_hash, signed, words_of
 
 #: Bits of a token in the index; a doubly used value could only count one more common token in one pair.
 TOKEN_BITS = 56
-FLUSH_TOKENS, FLUSH_DOCS = 3_000_000, 60_000
+FLUSH_TOKENS, FLUSH_DOCS = 1_500_000, 60_000
 NO_DOC = 0xFFFF
 #: Least count of a frequent token, and how many of them may be broadcast (16 bytes each).
 FREQUENT, MAX_FREQUENT = 32, 1_000_000
@@ -197,12 +197,12 @@ def shared_tokens(docs: DataFrame, k: int, buckets: int) -> DataFrame:
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets of the index: about one for every 16 MB read, so that a bucket's postings fit in a task."""
+    """Buckets of the index: about one for every 8 MB read, so that a bucket's postings fit in a task."""
     spark = docs.sparkSession
     size, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
     split = int(size) << 10 * "kmgt".find(unit or "-") + 10
     parts = docs.rdd.getNumPartitions()
-    return max(2 * spark.sparkContext.defaultParallelism, math.ceil(parts * split / (16 << 20)))
+    return max(2 * spark.sparkContext.defaultParallelism, math.ceil(parts * split / (8 << 20)))
 
 
 def _need(t_percent: int) -> str:
