@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import query, table
+from newsloom.llm.base import bounded_batches, query, table
 
 #: Bytes of text that share one pair index; a longer text has an index of its own.
 FLUSH_BYTES = 6 << 20
@@ -211,21 +211,27 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Whole texts, whatever their length. A null or empty text has no ids. Rows that repeat, also by doc_id, and null doc_ids are rows
     like others; other columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     spec = load(docs.sparkSession, path)
 
     def run(batches):
         bpe = WordBpe(spec.value)
+        keys, texts, total = [], [], 0
+
+        def flush():
+            ids = [x.astype("<u4").tobytes() for x in bpe.encode(texts)]
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                end, total = at, 0
-                while end < len(texts) and (end == at or total < FLUSH_BYTES):
-                    total += len(texts[end] or "")
-                    end += 1
-                ids = [x.astype("<u4").tobytes() for x in bpe.encode(texts[at:end])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-                at = end
+            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                keys.append(key)
+                texts.append(text)
+                total += len(text or "")
+                if total >= FLUSH_BYTES:
+                    yield flush()
+                    keys, texts, total = [], [], 0
+        if keys:
+            yield flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 

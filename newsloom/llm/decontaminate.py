@@ -63,6 +63,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         hits = found.select("rid", "doc_id", "n_words", F.explode_outer(hits).alias("x"))
         hits = hits.select("rid", "doc_id", "n_words", "x.p", "x.len", "x.win").join(F.broadcast(wins.drop("len")), "win", "left")
     else:
+        found = saved(found)  # the row ids must be the same for the search and for the check
         every = [found.select("rid", F.posexplode(F.expr(f"transform({at.format(n=n)}, i -> xxhash64(slice(w, i, {n})))")).alias("p", "h"), F.lit(n).alias("len")) for n in lengths]
         all_at = every[0]
         for more in every[1:]:

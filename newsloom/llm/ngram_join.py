@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import components, query, saved, table
+from newsloom.llm.base import bounded_batches, components, query, saved, table
 from newsloom.llm.words import mix, ngram_hash, sequence_hash, signed, words_of
 
 #: Bits of a token in the index; a doubly used value could only count one more common token in one pair.
@@ -337,6 +337,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, t_percent: int = 80) -> Data
     a null doc_id can be a member but names a component only if all others there are null too. Other columns are
     ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     member = saved(set_classes(docs, k))
     live = saved(live_classes(docs, k, t_percent))
     label = linked_classes(live, t_percent)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import query, saved, table
+from newsloom.llm.base import bounded_batches, query, saved, table
 from newsloom.llm.words import mix, words_of
 
 BUCKET_BITS = 18
@@ -194,6 +194,7 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     Tokens are runs of other characters than ASCII blanks, lower-cased in A-Z. A null or empty text has no token, pll 0 and a null mean.
     Repeated rows have equal results and count as often as they occur; other columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     kind, share = classes_of(bucket_counts(docs).toArrow())
     chosen = saved(training_windows(docs, sc.broadcast(kind)))

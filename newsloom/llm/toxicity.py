@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import query, saved, table
+from newsloom.llm.base import bounded_batches, query, saved, table
 from newsloom.llm.words import NON_WORD, byte_class, words_of
 
 #: Labelled documents that the model is trained on at most, of each class (those with the lowest hash of doc_id).
@@ -154,6 +154,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sentence and score 0. Repeated rows have equal results; null doc_ids count as held out; other columns are ignored. Without labels of
     both classes every score is near 0.
     """
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels).toArrow()))
     out = score(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "offending")

@@ -86,9 +86,11 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Byte buffer and row offsets of a string column; null rows are empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pc.fill_null(col.cast(pa.large_string()), "")
+    if col.null_count:
+        col = pc.fill_null(col, "")
+    wide = pa.types.is_large_string(col.type)
     _, off, data = col.buffers()
-    offsets = np.frombuffer(off, np.int64)[col.offset:col.offset + len(col) + 1]
+    offsets = np.frombuffer(off, np.int64 if wide else np.int32)[col.offset:col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
