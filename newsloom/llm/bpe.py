@@ -205,9 +205,11 @@ def load(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """``doc_id, ids`` of every row of ``docs(doc_id, text)``; ids is binary, little-endian unsigned 32-bit.
 
+    With ``decoded`` the ids are decoded again in the same task, as ``decode`` does, into a column of that name.
+
     Whole texts, whatever their length. A null or empty text has no ids. Rows that repeat, also by doc_id, and null doc_ids are rows
     like others; other columns are ignored; an empty table gives an empty result.
     """
@@ -219,8 +221,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         keys, texts, total = [], [], 0
 
         def flush():
-            ids = [x.astype("<u4").tobytes() for x in bpe.encode(texts)]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            ids = bpe.encode(texts)
+            cols = [pa.array(keys, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+            if decoded:
+                cols.append(pa.array((bpe.decode(x) for x in ids), pa.string(), size=len(ids)))
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"][:len(cols)])
 
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -233,7 +238,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         if keys:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -253,7 +258,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row."""
-    out = decode(encode(docs, path), path)
+    out = encode(docs, path, decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
