@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.base import bounded_batches, query, table
 
 #: Bytes of text that share one pair index; a longer text has an index of its own.
-FLUSH_BYTES = 6 << 20
+FLUSH_BYTES = 4 << 20
 
 
 class WordBpe:
