@@ -1,8 +1,9 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every token from the tokens on both sides.
 
-The vocabulary is hashed into buckets whose counts over the whole corpus make frequency classes of about equal mass. A numpy network predicts a
-token's class from the classes of two tokens to the left and two to the right; within the class the corpus counts decide. It is trained on a
-fixed share of all windows, in parts that grow in number with the corpus: each part trains from the common state, and the states are averaged.
+Every word of the corpus has its exact count. The HEAD most frequent words make classes of about equal mass; all rarer words are one class
+more. A numpy network predicts a token's class from the classes of two tokens to the left and two to the right; within the class the words'
+corpus counts decide. It is trained on every window, in parts that grow in number with the corpus: each part trains from the common state,
+and the states are averaged. Rows are dealt to parts by their content, so that scores don't depend on files or partitions.
 A document's score is the sum of log P(token | both sides) over all its tokens.
 """
 
@@ -14,47 +15,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.base import bounded_batches, query, saved, table
-from newsloom.llm.words import mix, words_of
+from newsloom.llm.words import signed, words_of
 
-BUCKET_BITS = 18
+#: Words that the tasks hold with class and share; the counts of all others are joined.
+HEAD = 1 << 19
 CLASSES, HIDDEN, SIDE = 64, 32, 2
-#: One window in SHARE is trained on; a part has about PART windows.
-SHARE, PART = 16, 1 << 18
+#: A part has about PART windows; a row's windows come in pieces of PIECE at most.
+PART, PIECE = 1 << 18, 1 << 16
 ROUNDS, BATCH = 2, 512
 #: Averages of parts that meet in the driver at most.
 GROUPS = 32
+#: Distinct words that a task holds before it hands on its counts.
+_HELD = 1 << 20
 _SHAPES = ((2 * SIDE, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+_ORDER = [*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1), SIDE]
 
 
-def _buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _merged(hashes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    u, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    return u, np.bincount(at, np.concatenate(counts), len(u)).astype(np.int64)
 
 
-def bucket_counts(docs: DataFrame) -> DataFrame:
-    """``bucket, n``: occurrences of each bucket in all documents."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``h, n``: occurrences of each word, by its 64-bit hash, in all documents."""
 
     def run(batches):
-        count = np.zeros(1 << BUCKET_BITS, np.int64)
+        hashes, counts, held = [], [], 0
+        give = lambda h, n: pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], names=["h", "n"])
         for batch in batches:
             for w in words_of(batch.column("text")):
-                count += np.bincount(_buckets(w.hash), minlength=len(count))
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], names=["bucket", "n"])
+                u, n = np.unique(w.hash, return_counts=True)
+                hashes.append(u)
+                counts.append(n)
+                held += len(u)
+                if held > _HELD:
+                    u, n = _merged(hashes, counts)
+                    hashes, counts, held = [u], [n], len(u)
+                    if held > _HELD // 2:
+                        yield give(u, n)
+                        hashes, counts, held = [], [], 0
+        if held:
+            yield give(*_merged(hashes, counts))
+
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def head_count(counts: DataFrame, head: int) -> tuple[int, int]:
+    """(least count of a head word, occurrences of all words): at most ``head`` words have that count."""
+    by = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow()
+    n, words = np.asarray(by["n"]), np.asarray(by["words"])
+    order = np.argsort(-n)
+    fits = np.flatnonzero(np.cumsum(words[order]) <= head)
+    if len(fits) == len(n):
+        return 1, int((n * words).sum())
+    return int(n[order][fits[-1]]) if len(fits) else int(n.max()) + 1, int((n * words).sum())
+
+
+def classes_of(top: pa.Table, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(hashes of the head words in order, their classes, their log shares in their classes, occurrences of all other words).
+
+    Words by falling count are cut into classes of about equal mass. The words that aren't in the head, if any, are the last class.
+    """
+    h, n = np.asarray(top["h"]).view(np.uint64), np.asarray(top["n"]).astype(np.float64)
+    rest = total - int(n.sum())
+    classes = CLASSES - (rest > 0)
+    order = np.lexsort((h, -n))
+    before = np.cumsum(n[order]) - n[order]
+    kind = np.zeros(len(h), np.uint8)
+    kind[order] = np.minimum((before / max(n.sum(), 1) * classes).astype(np.int64), classes - 1)
+    share = np.log(n / np.bincount(kind, n, CLASSES)[kind]).astype(np.float32)
+    order = np.argsort(h)
+    return h[order], kind[order], share[order], rest
 
-    return docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
-
-def classes_of(counts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each bucket, log share of the bucket in its class): buckets by falling count, cut into classes of about equal mass."""
-    n = np.zeros(1 << BUCKET_BITS)
-    n[np.asarray(counts["bucket"])] = np.asarray(counts["n"])
-    n += 0.5
-    order = np.lexsort((np.arange(len(n)), -n))
-    before = np.cumsum(n[order]) - n[order]
-    rank = np.minimum((before / n.sum() * CLASSES).astype(np.int64), CLASSES - 1)
-    kind = np.zeros(len(n), np.uint8)
-    kind[order] = rank
-    return kind, np.log(n / np.bincount(kind, n, CLASSES)[kind]).astype(np.float32)
+def _look(vocabulary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, log share, in the head) of each word; words beyond the head are the last class, with share 0."""
+    known, kind, share = vocabulary[:3]
+    if not len(known):
+        return np.full(len(hashes), CLASSES - 1, np.uint8), np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+    u, back = np.unique(hashes, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, u), len(known) - 1)
+    hit = known[at] == u
+    return np.where(hit, kind[at], np.uint8(CLASSES - 1))[back], np.where(hit, share[at], 0.0)[back], hit[back]
 
 
 def windows(kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -68,19 +110,37 @@ def windows(kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def training_windows(docs: DataFrame, kind) -> DataFrame:
-    """``part, w``: a hash-chosen share of all windows, packed as class bytes (context, then the token's own)."""
+def training_pieces(docs: DataFrame, vocabulary) -> DataFrame:
+    """``key, piece, copy, n, w``: the classes of every row's tokens, with SIDE more on each side, in pieces of PIECE tokens.
+
+    ``key`` comes from the row's content; equal rows are told by ``copy``, from 0 to their number.
+    """
 
     def run(batches):
         for batch in batches:
-            for w in words_of(batch.column("text")):
-                kinds = kind.value[_buckets(w.hash)]
-                at = np.flatnonzero(mix(w.hash + np.arange(len(w.hash), dtype=np.uint64)) % np.uint64(SHARE) == 0)
-                if len(at):
-                    rows = np.concatenate([windows(kinds, w.first)[at], kinds[at, None]], axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary()), pa.array([len(at)], pa.int64())], names=["w", "n"])
-
-    return docs.select("text").mapInArrow(run, "w binary, n long")
+            ids, keys, text = batch.column("doc_id"), batch.column("key"), batch.column("text")
+            for w in words_of(text):
+                kinds, out = _look(vocabulary.value, w.hash)[0], []
+                for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
+                    padded = np.full(b - a + 2 * SIDE, CLASSES, np.uint8)
+                    padded[SIDE:-SIDE] = kinds[a:b]
+                    for k, at in enumerate(range(0, b - a, PIECE)):
+                        n = min(PIECE, b - a - at)
+                        out.append((w.rows.start + i, k, n, padded[at:at + n + 2 * SIDE].tobytes()))
+                if out:
+                    row, piece, n, packed = zip(*out)
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([ids.take(row), keys.take(row), pa.array(piece, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())],
+                                                     names=["doc_id", "key", "piece", "n", "w"])
+
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, piece long, n long, w binary")
+    rows = rows.groupBy("doc_id", "key", "piece").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("w").alias("w"))
+    return rows.select("key", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), "n", "w")
+
+
+def piece_windows(packed: bytes) -> np.ndarray:
+    """The windows of a piece: context, then the token's own class."""
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(packed, np.uint8), 2 * SIDE + 1)[:, _ORDER]
 
 
 def start_state(seed: int = 5) -> np.ndarray:
@@ -114,6 +174,8 @@ def train_part(state: np.ndarray, rows: np.ndarray, rate: float = 0.05, seed: in
     state = state.copy()
     params = unpack(state)
     grad2 = np.full_like(state, 1e-6)
+    hot = np.zeros((BATCH, 2 * SIDE * (CLASSES + 1)), np.float32)
+    shift = np.arange(2 * SIDE) * (CLASSES + 1)
     order = np.random.default_rng(seed).permutation(len(rows))
     for i in range(0, len(rows), BATCH):
         part = rows[order[i:i + BATCH]]
@@ -123,11 +185,10 @@ def train_part(state: np.ndarray, rows: np.ndarray, rate: float = 0.05, seed: in
         d[np.arange(len(y)), y] -= 1
         d /= len(y)
         dz = (d @ params[2].T) * (1 - h * h)
-        g = [np.zeros(_SHAPES[0], np.float32), dz.sum(0), h.T @ d, d.sum(0)]
-        for k in range(ctx.shape[1]):
-            hot = np.zeros((len(y), CLASSES + 1), np.float32)
-            hot[np.arange(len(y)), ctx[:, k]] = 1
-            g[0][k] = hot.T @ dz
+        at = np.arange(len(y))[:, None], ctx + shift
+        hot[at] = 1
+        g = [hot[:len(y)].T @ dz, dz.sum(0), h.T @ d, d.sum(0)]
+        hot[at] = 0
         flat = np.concatenate([x.ravel() for x in g])
         grad2 += flat * flat
         state -= rate * flat / np.sqrt(grad2)
@@ -139,12 +200,12 @@ def train(parts: DataFrame) -> np.ndarray:
     spark, state = parts.sparkSession, start_state()
     for turn in range(ROUNDS):
         states = parts.groupBy("part").applyInArrow(_part_trainer(spark.sparkContext.broadcast(state), turn), "part long, n long, state binary")
-        states = states.withColumn("part", F.col("part") % GROUPS)
-        got = states.groupBy("part").applyInArrow(lambda t: _average(t), "part long, n long, state binary").collect()
+        states = states.withColumn("group", F.col("part") % GROUPS)
+        got = states.groupBy("group").applyInArrow(lambda t: _average(t), "part long, n long, state binary").collect()
         if not got:
             return state
         total = sum(r.n for r in got)
-        state = (sum(r.n * np.frombuffer(r.state, np.float32).astype(np.float64) for r in got) / total).astype(np.float32)
+        state = (sum(r.n * np.frombuffer(r.state, np.float32).astype(np.float64) for r in sorted(got, key=lambda r: r.part)) / total).astype(np.float32)
     return state
 
 
@@ -154,38 +215,52 @@ def _state_row(part: int, n: int, state: np.ndarray) -> pa.Table:
 
 def _part_trainer(begin, turn: int):
     def one(t):
-        rows = np.frombuffer(b"".join(x.as_py() for x in t["w"]), np.uint8).reshape(-1, 2 * SIDE + 1)
+        t = t.sort_by([("key", "ascending"), ("piece", "ascending"), ("copy", "ascending")])  # the order of arrival isn't fixed
+        rows = np.concatenate([piece_windows(x.as_py()) for x in t["w"]])
         return _state_row(t["part"][0].as_py(), len(rows), train_part(begin.value, rows, 0.05 / (turn + 1), turn))
 
     return one
 
 
 def _average(t):
+    t = t.sort_by("part")
     n = np.asarray(t["n"]).astype(np.float64)
     total = sum(k * np.frombuffer(s.as_py(), np.float32).astype(np.float64) for k, s in zip(n, t["state"]))
-    return _state_row(t["part"][0].as_py(), int(n.sum()), total / n.sum())
+    return _state_row(t["group"][0].as_py(), int(n.sum()), total / n.sum())
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """``doc_id, n_tokens, pll`` of every row."""
+    """``doc_id, n_tokens, pll, rare`` of every row; rare: the words beyond the head, whose log share in the last class pll lacks."""
 
     def run(batches):
-        kind, share, state = model.value
+        vocabulary, state = model.value
         params = unpack(state)
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            n, total, rare = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), []
+            rare_n = np.zeros(batch.num_rows, np.int64)
             for w in words_of(batch.column("text")):
-                bucket = _buckets(w.hash)
-                y = kind[bucket]
-                ctx, logp = windows(y, w.first), share[bucket].astype(np.float64)
+                y, logp, known = _look(vocabulary, w.hash)
+                logp, ctx = logp.astype(np.float64), windows(y, w.first)
                 for i in range(0, len(y), 4096):
                     part = forward(params, ctx[i:i + 4096])[1]
                     logp[i:i + 4096] += part[np.arange(len(part)), y[i:i + 4096]]
-                sums = np.r_[0, np.cumsum(logp)]
+                sums, unknown = np.r_[0, np.cumsum(logp)], np.r_[0, np.cumsum(~known)]
                 n[w.rows], total[w.rows] = w.counts, sums[w.first[1:]] - sums[w.first[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total)], names=["doc_id", "n_tokens", "pll"])
+                rare.append(w.hash[~known])
+                rare_n[w.rows] = unknown[w.first[1:]] - unknown[w.first[:-1]]
+            flat = pa.array(signed(np.concatenate(rare)) if rare else np.zeros(0, np.int64))
+            rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare_n)].astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total), rare], names=["doc_id", "n_tokens", "pll", "rare"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, pll double, rare array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, pll double")
+def with_rare(scored: DataFrame, counts: DataFrame, rest: int) -> DataFrame:
+    """``doc_id, n_tokens, pll``, with the log shares of the words beyond the head, whose ``counts`` are joined."""
+    rows = saved(scored.withColumn("rid", F.monotonically_increasing_id()))
+    share = counts.select("h", (F.log("n") - F.log(F.lit(float(rest)))).alias("share"))
+    more = rows.select("rid", F.explode("rare").alias("h")).join(share, "h").groupBy("rid").agg(F.sum("share").alias("more"))
+    return rows.drop("rare").join(more, "rid", "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("more", F.lit(0.0))).alias("pll"))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
@@ -196,12 +271,15 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    kind, share = classes_of(bucket_counts(docs).toArrow())
-    chosen = saved(training_windows(docs, sc.broadcast(kind)))
-    total = chosen.agg(F.sum("n")).first()[0] or 0
-    parts = chosen.select("w", F.pmod(F.xxhash64("w"), F.lit(max(1, -(-total // PART)))).alias("part"))
-    model = sc.broadcast((kind, share, train(parts)))
+    counts = saved(word_counts(docs))
+    least, total = head_count(counts, HEAD)
+    vocabulary = classes_of(counts.where(F.col("n") >= least).toArrow(), total)
+    pieces = saved(training_pieces(docs, sc.broadcast(vocabulary)))
+    # a piece belongs to a part as a whole, so the number of parts is that of all windows by PART
+    part = F.pmod(F.xxhash64("key", "piece", "copy"), F.lit(max(1, -(-total // PART))))
+    model = sc.broadcast((vocabulary, train(pieces.withColumn("part", part))))
     out = score(docs, model)
+    out = with_rare(out, counts.where(F.col("n") < least), vocabulary[3]) if vocabulary[3] else out.drop("rare")
     return out.withColumn("mean_logp", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
 
 

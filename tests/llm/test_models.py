@@ -7,9 +7,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from newsloom.llm import chat, pseudo_likelihood, quality, toxicity
-from newsloom.llm.words import words_of
+from newsloom.llm.words import signed, words_of
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -149,6 +150,53 @@ def test_trained_network_beats_its_start_and_scores_add_up(make, clashing):
     assert pseudo_likelihood.pseudo_likelihood(make([], DOCS)).count() == 0
 
 
+def test_every_window_is_trained_on_and_words_have_exact_counts(make, monkeypatch):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(rng.choices(vocab, [1 / (1 + k) for k in range(300)], k=rng.randrange(40))), "en") for i in range(120)]
+    docs += [docs[3]] * 3 + [(None, "w1 w2 w1", "en")] * 5
+    df = make(docs, DOCS)
+    seen, part = {}, pseudo_likelihood.PIECE
+    count = {}
+    for _, text, _ in docs:
+        for w in text.split():
+            count[w] = count.get(w, 0) + 1
+    counts = pseudo_likelihood.word_counts(df.repartition(5)).toArrow()
+    assert sorted(counts["n"].to_pylist()) == sorted(count.values())
+    everything = pseudo_likelihood.classes_of(counts, sum(count.values()))
+    for piece in (part, 7):
+        monkeypatch.setattr(pseudo_likelihood, "PIECE", piece)
+        rows = pseudo_likelihood.training_pieces(df.repartition(3), df.sparkSession.sparkContext.broadcast(everything)).collect()
+        seen[piece] = sorted(tuple(x) for r in rows for x in pseudo_likelihood.piece_windows(r.w).tolist())
+        assert len(seen[piece]) == sum(count.values()) and len({(r.key, r.piece, r.copy) for r in rows}) == len(rows)
+    assert seen[part] == seen[7]
+
+
+def test_scores_keep_to_the_content_and_rare_words_have_their_own_count(make, monkeypatch):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(rng.choices(vocab, [1 / (1 + k) for k in range(300)], k=rng.randrange(1, 40))), "en") for i in range(120)] + [(None, "w1 w2 once", "en")] * 2
+    run = lambda df: sorted((r.doc_id or -1, r.n_tokens, round(r.pll, 4)) for r in pseudo_likelihood.pseudo_likelihood(df).collect())
+    df = make(docs, DOCS)
+    assert run(df.repartition(5)) == run(df.orderBy(F.desc("text")).coalesce(1))
+    monkeypatch.setattr(pseudo_likelihood, "HEAD", 50)
+    assert run(df.repartition(5)) == run(df.coalesce(1))
+    count = {}
+    for _, text, _ in docs:
+        for w in text.split():
+            count[w] = count.get(w, 0) + 1
+    counts = pseudo_likelihood.word_counts(df)
+    least, total = pseudo_likelihood.head_count(counts, 50)
+    assert sum(n >= least for n in count.values()) <= 50 and total == sum(count.values())
+    h, kind, share, rest = pseudo_likelihood.classes_of(counts.where(F.col("n") >= least).toArrow(), total)
+    rare = {w: n for w, n in count.items() if n < least}
+    assert rest == sum(rare.values()) and kind.max() < pseudo_likelihood.CLASSES - 1
+    assert all(math.isclose(np.exp(share[kind == k]).sum(), 1, rel_tol=1e-5) for k in set(kind.tolist()))
+    scored = df.sparkSession.createDataFrame([(1, 3, -2.0, [int(x) for x in signed(next(words_of(pa.array([" ".join(list(rare)[:2])]))).hash)])], "doc_id long, n_tokens long, pll double, rare array<long>")
+    got = pseudo_likelihood.with_rare(scored, counts.where(F.col("n") < least), rest).first().pll
+    assert math.isclose(got, -2 + sum(math.log(rare[w] / rest) for w in list(rare)[:2]))
+
+
 def brute_cost(roles):
     best = [10**9]
 
