@@ -1,7 +1,7 @@
 """Corpus pipeline: quality, near duplicates, benchmark contamination, personal data, tokens.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one before kept; all but the last return the columns of documents.
-Documents are removed by doc_id: rows that repeat the doc_id of a removed row go with it.
+Every row goes or stays by its own content: rows that share a doc_id, or have none, are documents of their own.
 """
 
 from __future__ import annotations
@@ -16,19 +16,25 @@ from newsloom.llm.base import saved, table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney model doesn't reject."""
-    verdict = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return decontaminate.without_ids(docs, verdict.where("NOT kept").select("doc_id"))
+    verdict = quality.classify(docs, table(spark, sf_dir, "labels"), hashed=True)
+    return decontaminate.without_rows(docs, verdict.where("NOT kept").select("doc_id", "th", "lang"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, and of its repeated rows one. Rows without doc_id stay."""
-    member = saved(ngram_join.ngram_jaccard_join(docs))
-    kept = decontaminate.without_ids(docs, member.where("doc_id <> component_id").select("doc_id"))
-    repeated = saved(member.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One row of each component of near-duplicate texts: one with the smallest doc_id, or without any if none has one. Rows without a word stay."""
+    member = saved(ngram_join.row_components(docs))
+    best = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("b")).select("b.doc_id", "b.th")
+    rows = member.groupBy("doc_id", "th").count()
+    best = saved(best.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("doc_id", "th", "count"))
+    others = rows.join(best.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_anti")
+    kept = decontaminate.without_rows(docs, others.select("doc_id", "th"))
+    repeated = best.where("count > 1").select("doc_id", "th")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(*(F.first(c).alias(c) for c in docs.columns if c != "doc_id"))
-    return decontaminate.without_ids(kept, repeated).union(once.select(*docs.columns))
+    again = repeated.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    whole = kept.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), decontaminate.text_hash().alias("h"))
+    once = whole.join(again, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_th")), "left_semi").groupBy("id", "h").agg(F.min("row").alias("row"))
+    return decontaminate.without_rows(kept, repeated).union(once.select("row.*"))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

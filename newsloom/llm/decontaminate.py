@@ -16,7 +16,7 @@ from newsloom.llm.base import ORACLES, fresh, query, saved, table
 WINDOW = 13
 #: Windows of test items that go into the tasks as a set (8 bytes each); more are joined instead.
 MAX_SET = 100_000
-#: Removed doc_ids that are broadcast; more are joined with a shuffle.
+#: Keys of removed rows that are broadcast; more are joined with a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,23 +88,33 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
     return s.withColumn("contaminated", F.expr(f"n_hit > 0 AND {share} * n_hit >= n_words"))
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in the first column of ``ids`` (a null there stands for null doc_ids)."""
-    (name,) = fresh(docs, "_gone")
-    gone = saved(ids.distinct().toDF(name))
+def text_hash() -> Column:
+    """With doc_id it tells a row's content; a null text is an empty one."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that aren't in ``rows(doc_id, th, ...)``: th is the text's hash, columns after it are those of ``docs`` by name; nulls are equal."""
+    gone = saved(rows.distinct())
+    names = fresh(docs, *(f"_gone_{c}" for c in rows.columns))
+    same = F.lit(True)
+    for c, name in zip(rows.columns, names):
+        same = same & ((text_hash() == F.col(name)) if c == "th" else F.col(c).eqNullSafe(F.col(name)))
+    gone_rows = gone.toDF(*names)
     if gone.count() <= MAX_BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+        gone_rows = F.broadcast(gone_rows)
+    return docs.join(gone_rows, same, "left_anti")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, share: int = 20) -> DataFrame:
     """``docs`` without contamination, all columns kept: without contaminated documents, or (``mode='spans'``) without the hit words.
 
-    By doc_id in the first mode: rows that repeat the doc_id of a contaminated row go as well. In the second, a hit word
+    In the first mode each row goes by its own verdict, also among rows of one doc_id or without one. In the second, a hit word
     goes with the separators after it, and n_chars, where there is one, is counted anew.
     """
     if mode == "documents":
-        return without_ids(docs, report(docs, benchmark, window, share).where("contaminated").select("doc_id"))
+        rows = docs.select(F.struct("doc_id", text_hash().alias("th")).alias("doc_id"), "text")
+        return without_rows(docs, report(rows, benchmark, window, share).where("contaminated").select("doc_id.doc_id", "doc_id.th"))
     rid, found = fresh(docs, "_rid", "_hit")
     # equal rows have equal hits, so the text's own hash and the id tell them
     key = docs.withColumn(rid, F.xxhash64("doc_id", "text"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.base import bounded_batches, components, query, saved, table
+from newsloom.llm.decontaminate import text_hash
 from newsloom.llm.words import mix, ngram_hash, sequence_hash, signed, words_of
 
 #: Bits of a token in the index; a doubly used value could only count one more common token in one pair.
@@ -56,17 +57,17 @@ def fingerprint(tokens: np.ndarray) -> int:
 
 
 def set_classes(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n_shingles, cls``: documents with equal sets have the same class."""
+    """``doc_id, th, n_shingles, cls``: documents with equal sets have the same class; th is the text's hash."""
 
     def run(batches):
         for batch in batches:
             n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, tokens in shingle_sets(batch.column("text"), k):
                 n[i], cls[i] = len(tokens), fingerprint(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(cls)],
-                                             names=["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n), pa.array(cls)],
+                                             names=["doc_id", "th", "n_shingles", "cls"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, cls long")
 
 
 def _pack(tokens: np.ndarray, refs: np.ndarray, base: int = 0) -> list:
@@ -327,6 +328,19 @@ def linked_classes(live: DataFrame, t_percent: int) -> DataFrame:
         pivots *= 64
 
 
+def _members(docs: DataFrame, k: int, t_percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their classes, and ``cls, root`` of the classes that can have a link."""
+    bounded_batches(docs.sparkSession)
+    member = saved(set_classes(docs, k))
+    return member, linked_classes(saved(live_classes(docs, k, t_percent)), t_percent)
+
+
+def row_components(docs: DataFrame, k: int = 5, t_percent: int = 80) -> DataFrame:
+    """``doc_id, th, root`` of every row with a shingle: root names the component of its text, whatever the doc_ids; th is the text's hash."""
+    member, label = _members(docs, k, t_percent)
+    return member.where("n_shingles > 0").join(label, "cls", "left").select("doc_id", "th", F.coalesce("root", "cls").alias("root"))
+
+
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, t_percent: int = 80) -> DataFrame:
     """Near-duplicate groups of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id``, a row for each input row.
 
@@ -337,10 +351,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, t_percent: int = 80) -> Data
     a null doc_id can be a member but names a component only if all others there are null too. Other columns are
     ignored; an empty table gives an empty result.
     """
-    bounded_batches(docs.sparkSession)
-    member = saved(set_classes(docs, k))
-    live = saved(live_classes(docs, k, t_percent))
-    label = linked_classes(live, t_percent)
+    member, label = _members(docs, k, t_percent)
     grouped = member.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
     grouped = grouped.join(label, "cls", "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -59,3 +59,28 @@ def test_stages(spark, folder):
 def test_every_operator_is_registered_once():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+def test_rows_of_one_doc_id_or_of_none_go_by_their_own_content(spark, make, tmp_path):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(80)]
+    text = lambda n=60: " ".join(rng.choices(vocab, k=n))
+    item = text(20)
+    trusted = [(i, text(), "en", "s", 0) for i in range(200)]
+    clean = [(None, text(), "en", "s", 0) for _ in range(3)] + [(700, text(), "en", "s", 0) for _ in range(3)]
+    bad = [(k, " ".join(str(rng.random()) for _ in range(40)), "en", "s", 0) for k in (None, 700)]
+    dirty = [(k, text(10) + " " + item, "en", "s", 0) for k in (None, 700)]
+    # copies: one with a smaller doc_id, two of a null doc_id, an exact one
+    copies = [(5, clean[0][1], "en", "s", 0), clean[1], clean[3], (None, clean[4][1] + " end", "en", "s", 0)]
+    folder = str(tmp_path)
+    make([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    make([(7, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = make(trusted + clean + bad + dirty + copies, "doc_id long, text string, lang string, source string, n_chars long")
+    first = corpus_pipeline.quality_classifier(spark, docs, folder)
+    left = [(r.doc_id, r.text) for r in first.collect()]
+    assert all(left.count(r[:2]) == (clean + copies).count(r) for r in clean) and not any(r[:2] in left for r in bad)
+    second = corpus_pipeline.near_duplicates(spark, make(clean + copies, docs.schema), folder)
+    want = [(5, clean[0][1]), clean[1][:2], clean[2][:2], clean[3][:2], clean[4][:2], clean[5][:2]]
+    assert second.columns == docs.columns and sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in second.collect())
+    third = corpus_pipeline.contamination(spark, make(clean + dirty, docs.schema), folder)
+    assert sorted(str(r[:2]) for r in clean) == sorted(str((r.doc_id, r.text)) for r in third.collect())
