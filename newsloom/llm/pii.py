@@ -2,8 +2,8 @@
 
 E-mail addresses, IP addresses, card and phone numbers that the patterns find are the seeds. The words to the left of the seeds are lexical
 patterns; tokens that look like identifiers and follow such words are unseen instances. Patterns and instances form a graph in which Spark scores
-both in turns: a pattern by the share of its instances that are known or believed, an instance by a noisy-or over its patterns. Instances that
-end above a threshold add spans to those of the seeds. Only DataFrame functions are used.
+both in turns: a pattern by the share of its instances that are known or believed, an instance by a noisy-or over its patterns. Where an
+instance above a threshold stands behind a pattern above it, it adds a span to those of the seeds. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def _tagged(k: int):
 
 
 def accepted_instances(rows: DataFrame) -> DataFrame:
-    """``value, k``: unseen instances that high-confidence patterns extract, with the kind of those patterns.
+    """``ctx, value, k``: unseen instances with the kind of their patterns, and of these patterns those of high confidence.
 
     Edges are distinct (pattern, instance) pairs, so copies of a text count once, and each round is a few grouped joins.
     """
@@ -126,7 +126,8 @@ def accepted_instances(rows: DataFrame) -> DataFrame:
         miss = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf"))))
         belief = saved(unseen.join(score, "ctx").groupBy("value", "k").agg((1 - F.exp(miss)).alias("score")).where("score > 0.05"))
     best = belief.groupBy("value").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("k"), F.max("score").alias("score"))
-    return best.where(F.col("score") >= ACCEPT).select("value", "k")
+    sure = score.where(F.col("conf") >= ACCEPT).select("ctx", "k")
+    return unseen.join(best.where(F.col("score") >= ACCEPT).select("value", "k"), "value").join(sure, ["ctx", "k"]).select("ctx", "value", "k")
 
 
 def _joined(spans: Column) -> Column:
@@ -144,7 +145,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     rows = saved(found(docs))
     known = accepted_instances(rows)
-    hits = rows.select("doc_id", "th", F.explode("other").alias("x")).select("doc_id", "th", "x.s", "x.e", "x.value").join(known, "value")
+    hits = rows.select("doc_id", "th", F.explode("other").alias("x")).select("doc_id", "th", "x.s", "x.e", "x.value", "x.ctx").join(known, ["ctx", "value"])
     added = hits.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("k", "s", "e")).alias("added"))
     bare = F.transform("base", lambda x: F.struct(x.k.alias("k"), x.s.alias("s"), x.e.alias("e")))
     out = rows.select("doc_id", "th", bare.alias("base")).join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")

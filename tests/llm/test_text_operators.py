@@ -104,6 +104,12 @@ def test_context_discovers_unseen_identifiers_only_behind_sure_patterns(make):
     assert pii.personal_data(make([], DOCS)).count() == 0
 
 
+def test_an_accepted_value_is_a_span_only_behind_its_pattern(make):
+    rows = [(i, f"text customer-ref: a{i}@b.com and then", 0) for i in range(30)] + [(100, "foo customer-ref: 2020 bar", 0), (200, "it was in 2020 indeed", 0)]
+    spans = {r.doc_id: [(x.k, x.s, x.e) for x in r.spans] for r in pii.personal_data(make(rows, DOCS)).collect()}
+    assert spans[100] == [(0, 18, 22)] and spans[200] == []
+
+
 def test_permutation_and_its_inverse(spark):
     for n in (1, 2, 3, 7, 1000, 4097):
         rows = spark.range(n).select("id", sharding.permuted(F.col("id"), n, 7).alias("p"))
