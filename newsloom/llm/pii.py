@@ -1,9 +1,9 @@
 """Personal data by fixed patterns and bootstrapped contextual extraction.
 
 E-mail addresses, IP addresses, card and phone numbers that the patterns find are the seeds. The words to the left of the seeds are lexical
-patterns; tokens that look like identifiers and follow such words are unseen instances. Patterns and instances form a graph in which Spark scores
-both in turns: a pattern by the share of its instances that are known or believed, an instance by a noisy-or over its patterns. Where an
-instance above a threshold stands behind a pattern above it, it adds a span to those of the seeds. Only DataFrame functions are used.
+patterns; runs of identifier groups and tokens with an inner @ or dot that follow such words are unseen instances. Patterns and instances form a
+graph in which Spark scores both in turns: a pattern by the share of its instances that are known or believed, an instance by a noisy-or over its
+patterns. Where an instance above a threshold stands behind a pattern above it, it adds a span to those of the seeds. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -23,8 +23,15 @@ PATTERNS = {
 }
 #: A cheap test that a text can have a match at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Unseen instances: tokens with a digit that aren't part of a longer one; at least MIN_DIGITS digits.
-TOKEN = r"(?<![A-Za-z0-9@._+-])[A-Za-z@._+-]*+[0-9][A-Za-z0-9@._+-]*+"
+#: Unseen instances: tokens with a digit that aren't part of a longer one, with at least MIN_DIGITS digits, or tokens with an inner @ or dot.
+_GROUP, _SYMBOLS = r"[A-Za-z@._+-]*+[0-9][A-Za-z0-9@._+-]*+", r"(?=[A-Za-z_+-]*+(?:\.[A-Za-z_+-]++)*+@[A-Za-z]|[A-Za-z_+-]++\.[A-Za-z])[A-Za-z@_+-]++(?:\.[A-Za-z@_+-]++)*+"
+_APART = r"(?<![A-Za-z0-9@._+-])"
+TOKEN = f"{_APART}(?:{_GROUP}|{_SYMBOLS})"
+#: Runs of tokens with a digit, joined by single blanks or as a group in brackets; a dot before a blank ends a run.
+_ATOM = rf"(?:\([0-9+]{{1,6}}+\)|{_GROUP})"
+RUN = rf"{_APART}(?:{_ATOM}(?:(?:(?<!\.)\x20)?+{_ATOM})*+|{_SYMBOLS})"
+#: A cheap test that a text can have one at all.
+MAY_HAVE = rf"(?:[0-9][^0-9]*+){{4}}|@[A-Za-z]|[A-Za-z_+-]\.[A-Za-z]"
 MIN_DIGITS = 4
 ROUNDS = 3
 #: Seeds that a pattern needs at least, and the score from which an instance is accepted.
@@ -39,7 +46,7 @@ def located(text: Column, pattern: str) -> Column:
     """
     pieces = F.zip_with(
         F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0),
-        lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m"), F.lower(F.regexp_extract(F.substring(g, -48, 48), r"[A-Za-z]+[^A-Za-z0-9]{0,3}$", 0)).alias("c")),
+        lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m"), F.lower(F.regexp_extract(F.substring(g, -48, 48), r"\p{L}+[^\p{L}\p{N}]{0,3}$", 0)).alias("c")),
     )
     pieces = F.filter(pieces, lambda p: p.m.isNotNull())
     kind = "array<struct<s:int,e:int,value:string,ctx:string>>"
@@ -89,13 +96,28 @@ def found(docs: DataFrame) -> DataFrame:
         out = out.withColumn(f"_{kind}", F.transform(good, _tagged(k)).cast(typed))
         names.append(f"_{kind}")
     out = out.withColumn("base", F.concat(*names))
-    token = F.when(F.col("text").rlike(f"[0-9](?:[^0-9\\s]*[0-9]){{{MIN_DIGITS - 1}}}"), located(F.col("text"), TOKEN)).otherwise(F.array().cast("array<struct<s:int,e:int,value:string,ctx:string>>"))
-    out = out.withColumn("_token", token)
-    out = out.withColumn("other", F.filter("_token", lambda x: (F.length(F.regexp_replace(x.value, "[^0-9]", "")) >= MIN_DIGITS)
-                                           & ~F.exists("base", lambda b: (b.s < x.e) & (x.s < b.e))))
+    none = F.array().cast("array<struct<s:int,e:int,value:string,ctx:string>>")
+    out = out.withColumn("_run", F.when(F.col("text").rlike(MAY_HAVE), F.filter(located(F.col("text"), RUN), _identifies)).otherwise(none))
+    # a run that meets a seed comes apart into its tokens
+    out = out.withColumn("_token", F.when(F.exists("_run", _meets("base")), F.filter(located(F.col("text"), TOKEN), _identifies)).otherwise(none))
+    out = out.withColumn("_run", F.filter("_run", _apart("base")))
+    out = out.withColumn("_token", F.filter(F.filter("_token", _apart("base")), _apart("_run")))
+    out = out.withColumn("other", F.concat("_run", "_token"))
     return out.select("doc_id", F.xxhash64("text").alias("th"), "base", "other")
 
 
+def _identifies(x: Column) -> Column:
+    return (F.length(F.regexp_replace(x.value, "[^0-9]", "")) >= MIN_DIGITS) | x.value.rlike(r"@[A-Za-z]|^[^0-9]*[A-Za-z_+-]\.[A-Za-z][^0-9]*$")
+
+
+def _meets(spans: str):
+    return lambda x: F.exists(spans, lambda b: (b.s < x.e) & (x.s < b.e))
+
+
+def _apart(spans: str):
+    return lambda x: ~F.exists(spans, lambda b: (b.s < x.e) & (x.s < b.e))
+
+
 def _keep(kind: str):
     return lambda x: _valid(kind, x.value)
 

@@ -110,6 +110,18 @@ def test_an_accepted_value_is_a_span_only_behind_its_pattern(make):
     assert spans[100] == [(0, 18, 22)] and spans[200] == []
 
 
+def test_identifiers_in_groups_without_digits_and_behind_any_script(make):
+    after = ["(555) 867-5309", "1234 5678 9012 3456", "jane.doe@localhost", "@jane_doe", "ZX-1000", "+1 (555) 12", "jane.doe"]
+    rows = [(i, f"text customer-ref: a{i}@b.com and then", 0) for i in range(60)] + [(100 + i, f"foo customer-ref: {x} bar", 0) for i, x in enumerate(after)]
+    rows += [(300 + i, f"и почта: b{i}@b.com и", 0) for i in range(30)] + [(400, "и почта: ZX-1000, и", 0), (401, "end. Next (see 12) x", 0), (402, "foo customer-ref: ZX-1000 c@d.com", 0)]
+    out = {r.doc_id: r.text for r in pii.redact(make(rows, DOCS)).collect()}
+    assert [out[100 + i] for i in range(len(after))] == ["foo customer-ref: [EMAIL] bar"] * len(after)
+    assert out[400] == "и почта: [EMAIL], и" and out[401] == "end. Next (see 12) x" and out[402] == "foo customer-ref: [EMAIL] [EMAIL]"
+    long = {1: "1 " * 6000, 2: "(5) " * 6000, 3: "a." * 9000, 4: "a@" * 9000, 5: "a-" * 9000 + "1"}
+    assert pii.found(make([(i, t, 0) for i, t in long.items()], DOCS)).count() == 5
+    assert all(len(r.other) <= 9000 for r in pii.found(make([(i, t, 0) for i, t in long.items()], DOCS)).collect())
+
+
 def test_permutation_and_its_inverse(spark):
     for n in (1, 2, 3, 7, 1000, 4097):
         rows = spark.range(n).select("id", sharding.permuted(F.col("id"), n, 7).alias("p"))
