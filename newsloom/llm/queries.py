@@ -1,6 +1,6 @@
 """All registered operator queries of this folder."""
 
-from newsloom.llm import base, bpe, chat, decontaminate, ngram_join, pii, pseudo_likelihood, quality, sharding, toxicity, vector_join  # noqa: F401
+from newsloom.llm import base, bpe, chat, decontaminate, ngram_join, pii, pseudo_likelihood, quality, secret_scan, sharding, toxicity, vector_join  # noqa: F401
 from newsloom.llm import oracles
 
 base.ORACLES["op1_ngram_jaccard_join"] = oracles.NGRAM_JOIN
