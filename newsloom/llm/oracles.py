@@ -75,3 +75,26 @@ walk(g, x) AS (
 SELECT num.doc_id, num.size, num.text_crc32, 'rows' AS law, CAST(w.x % {shards} AS INTEGER) AS shard, w.x // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM num JOIN walk w USING (g), cfg WHERE w.x < cfg.n
 """
+
+DIVERGENCE = rf"""
+WITH
+d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS nn FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+ln AS (SELECT lang, sum(n)::HUGEINT AS nn FROM c GROUP BY lang),
+p AS (SELECT gn.lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 5) // (nn + 5 * v) AS p
+      FROM gn JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT c.lang, term, 1 + 1000000000::HUGEINT * (sum(n)::HUGEINT + 5) // (any_value(nn) + 5 * any_value(v)) AS q FROM c JOIN ln USING (lang) JOIN v USING (lang) GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+         WHERE x.term IS NULL OR y.term IS NOT NULL GROUP BY ALL),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+QUALIFY part = 'pair' OR rank <= 50
+"""
