@@ -98,3 +98,26 @@ term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS v
 SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
 QUALIFY part = 'pair' OR rank <= 50
 """
+
+
+def trie_sql(family: int, heads: int) -> str:
+    return f"""
+WITH
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS p, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t
+      FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, list(t ORDER BY p) AS s FROM o GROUP BY c),
+h AS (SELECT c, s, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(CAST(c AS VARCHAR))), '..'), lambda y: CAST('0x' || y AS BIGINT))),
+                          lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295) % {heads} AS h
+      FROM s, (SELECT {_crc_table()} AS t)),
+b AS (SELECT h.c, list_concat(coalesce(s.s[1:h.h], []), h.s[h.h + 1:]) AS s FROM h LEFT JOIN s ON s.c = h.c - h.c % {family}),
+x AS (SELECT c, d, len(s) AS n, sha256(to_json(s[1:d])) AS k, CASE WHEN d > 0 THEN sha256(to_json(s[1:d - 1])) END AS parent,
+        CASE WHEN d > 0 THEN octet_length(encode(s[d].text)) ELSE 0 END AS size
+      FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM b)),
+n AS (SELECT k, d, any_value(parent) AS parent, min(c) AS c, count(*) AS m, any_value(size) AS size, string_agg(CASE WHEN d = n THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS e FROM x GROUP BY k, d),
+kids AS (SELECT parent AS k, count(*) AS kids FROM n GROUP BY parent),
+f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (k)),
+sub AS (SELECT x.k, sum(CASE WHEN f.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((f.m - 1) * f.size) AS saved FROM f JOIN x ON x.c = f.c AND x.d <= f.d GROUP BY x.k)
+SELECT f.c AS conv_id, CAST(f.d AS BIGINT) AS depth, p.c AS parent_conv_id, f.m AS n_convs, CAST(f.kids AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.e, '')) AS ends_sha256
+FROM f JOIN sub USING (k) LEFT JOIN n p ON p.k = f.parent
+"""
