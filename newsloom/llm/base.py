@@ -49,12 +49,16 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows in this session: whole texts are long, and a batch is held several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes in this session: whole texts are long, and a batch is held several times over.
+
+    Smaller bounds of the session stay as they are. The settings are read when a job runs, so they are not set back here.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key)
+        now = int(now) if now.lstrip("-").isdigit() else most + 1
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from newsloom.llm.base import bounded_batches, query, table
 
 #: Bytes of text that share one pair index; a longer text has an index of its own.
-FLUSH_BYTES = 4 << 20
+FLUSH_BYTES = 2 << 20
+#: Places whose pairs are entered at once when an index is begun.
+ENTER = 1 << 17
 
 
 class WordBpe:
@@ -93,8 +95,8 @@ class WordBpe:
                     heapq.heappush(heap, r)
                 lists[r].append(p)
 
-        if len(at):
-            enter(at)
+        for i in range(0, len(at), ENTER):
+            enter(at[i:i + ENTER])
         while heap:
             r = heapq.heappop(heap)
             found = lists.pop(r)

@@ -23,7 +23,7 @@ CLASSES, HIDDEN, SIDE = 64, 32, 2
 #: A part has about PART windows; a row's windows come in pieces of PIECE at most.
 PART, PIECE = 1 << 18, 1 << 16
 ROUNDS, BATCH = 2, 512
-#: Averages of parts that meet in the driver at most.
+#: States that meet in one task, or in the driver, at most.
 GROUPS = 32
 #: Distinct words that a task holds before it hands on its counts.
 _HELD = 1 << 20
@@ -172,36 +172,58 @@ def forward(params: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.n
 def train_part(state: np.ndarray, rows: np.ndarray, rate: float = 0.05, seed: int = 0) -> np.ndarray:
     """One pass of Adagrad over the windows of a part, from the given state."""
     state = state.copy()
-    params = unpack(state)
-    grad2 = np.full_like(state, 1e-6)
-    hot = np.zeros((BATCH, 2 * SIDE * (CLASSES + 1)), np.float32)
-    shift = np.arange(2 * SIDE) * (CLASSES + 1)
+    grad, step, grad2 = np.empty_like(state), np.empty_like(state), np.full_like(state, 1e-6)
+    side, b1, out, b2 = unpack(state)
+    g_side, g_b1, g_out, g_b2 = unpack(grad)
+    # contexts as one-hot rows, so that both directions are one product each
+    width = 2 * SIDE * (CLASSES + 1)
+    side, g_side = side.reshape(width, HIDDEN), g_side.reshape(width, HIDDEN)
+    hot = np.zeros((BATCH, width), np.float32)
+    shift = np.arange(2 * SIDE) * (CLASSES + 1) + np.arange(BATCH)[:, None] * width
+    target = np.arange(BATCH) * CLASSES
     order = np.random.default_rng(seed).permutation(len(rows))
     for i in range(0, len(rows), BATCH):
-        part = rows[order[i:i + BATCH]]
-        ctx, y = part[:, :-1], part[:, -1]
-        h, logp = forward(params, ctx)
-        d = np.exp(logp)
-        d[np.arange(len(y)), y] -= 1
-        d /= len(y)
-        dz = (d @ params[2].T) * (1 - h * h)
-        at = np.arange(len(y))[:, None], ctx + shift
-        hot[at] = 1
-        g = [hot[:len(y)].T @ dz, dz.sum(0), h.T @ d, d.sum(0)]
-        hot[at] = 0
-        flat = np.concatenate([x.ravel() for x in g])
-        grad2 += flat * flat
-        state -= rate * flat / np.sqrt(grad2)
+        part = rows.take(order[i:i + BATCH], axis=0)
+        n = len(part)
+        ones = part[:, :-1] + shift[:n]
+        hot.ravel()[ones] = 1
+        x = hot[:n]
+        h = x @ side
+        h += b1
+        np.tanh(h, out=h)
+        d = h @ out
+        d += b2
+        d -= d.max(axis=1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(axis=1, keepdims=True)
+        d.ravel()[target[:n] + part[:, -1]] -= 1
+        d *= np.float32(1 / n)
+        dz = d @ out.T
+        dz *= 1 - h * h
+        np.dot(x.T, dz, out=g_side)
+        np.dot(h.T, d, out=g_out)
+        np.sum(dz, axis=0, out=g_b1)
+        np.sum(d, axis=0, out=g_b2)
+        hot.ravel()[ones] = 0
+        np.multiply(grad, grad, out=step)
+        grad2 += step
+        np.sqrt(grad2, out=step)
+        np.divide(grad, step, out=step)
+        step *= np.float32(rate)
+        state -= step
     return state
 
 
-def train(parts: DataFrame) -> np.ndarray:
-    """The averaged state after ROUNDS of training over all parts."""
+def train(parts: DataFrame, count: int) -> np.ndarray:
+    """The averaged state after ROUNDS of training over ``count`` parts. States are averaged in a tree, GROUPS at a time."""
     spark, state = parts.sparkSession, start_state()
     for turn in range(ROUNDS):
         states = parts.groupBy("part").applyInArrow(_part_trainer(spark.sparkContext.broadcast(state), turn), "part long, n long, state binary")
-        states = states.withColumn("group", F.col("part") % GROUPS)
-        got = states.groupBy("group").applyInArrow(lambda t: _average(t), "part long, n long, state binary").collect()
+        left = count
+        while left > GROUPS:
+            left = -(-left // GROUPS)
+            states = states.withColumn("group", F.col("part") % left).groupBy("group").applyInArrow(lambda t: _average(t), "part long, n long, state binary")
+        got = states.collect()
         if not got:
             return state
         total = sum(r.n for r in got)
@@ -276,8 +298,9 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     vocabulary = classes_of(counts.where(F.col("n") >= least).toArrow(), total)
     pieces = saved(training_pieces(docs, sc.broadcast(vocabulary)))
     # a piece belongs to a part as a whole, so the number of parts is that of all windows by PART
-    part = F.pmod(F.xxhash64("key", "piece", "copy"), F.lit(max(1, -(-total // PART))))
-    model = sc.broadcast((vocabulary, train(pieces.withColumn("part", part))))
+    parts = max(1, -(-total // PART))
+    part = F.pmod(F.xxhash64("key", "piece", "copy"), F.lit(parts))
+    model = sc.broadcast((vocabulary, train(pieces.withColumn("part", part), parts)))
     out = score(docs, model)
     out = with_rare(out, counts.where(F.col("n") < least), vocabulary[3]) if vocabulary[3] else out.drop("rare")
     return out.withColumn("mean_logp", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

@@ -58,7 +58,7 @@ def test_stages(spark, folder):
 
 def test_every_operator_is_registered_once():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_rows_of_one_doc_id_or_of_none_go_by_their_own_content(spark, make, tmp_path):
