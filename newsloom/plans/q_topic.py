@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 from newsloom.operators import aggregate as A
 from newsloom.operators import features as FT
+from newsloom.operators import hierarchy as H
 from newsloom.operators import ordering as O
 from newsloom.operators import topics as TP
 from newsloom.operators import vectors as V
@@ -111,6 +112,19 @@ def m23(spark, sf_dir):
     return TP.topic_doc_density(_m12(spark, sf_dir), tables.vector_view(spark, sf_dir), 5, "vec_id", "v")
 
 
+@query("m12_density_hierarchy")
+def m12_hierarchy(spark, sf_dir):
+    """M12, M23 by the density hierarchy of every month: topic, lambda and probability of each document."""
+    d = tables.article_vectors(spark, sf_dir).select("doc_id", *MONTH, "v")
+    return H.hierarchy_topics(d, 5, 3, MONTH)
+
+
+@query("m22_hierarchy_exemplars")
+def m22_hierarchy(spark, sf_dir):
+    """M22 by the density hierarchy over all vectors: the documents that leave each topic's undivided clusters last."""
+    return H.hierarchy_exemplars(tables.vector_view(spark, sf_dir), 5, 3, id_col="vec_id")
+
+
 @query("m21_reduce_topics")
 def m21(spark, sf_dir):
     """Merge the smallest topics of every month until 3 are left (iterative, checked by tests)."""
