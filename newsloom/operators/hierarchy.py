@@ -19,7 +19,7 @@ from newsloom.functions import vec
 from newsloom.operators import vectors as V
 from newsloom.operators.ordering import global_position
 from newsloom.operators.topics import connected_components, relabel_by_size
-from newsloom.session import scratch_path
+from newsloom.session import table_of
 
 #: Distances are rounded, so that all kernels agree on their order; ties go by id.
 PLACES = 9
@@ -29,10 +29,7 @@ _KEEP = 16
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends, and size estimates start anew (a checkpoint keeps those of its plan, which joins multiply)."""
-    path = scratch_path(df.sparkSession, "hierarchy")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return table_of(df, "hierarchy")
 
 
 def _linked(df: DataFrame, table: DataFrame, on: dict[str, str], add: dict[str, str], how: str = "inner") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import vec
+from newsloom.session import table_of
 
 CLASSES = ("negative", "neutral", "positive")
 
@@ -106,6 +107,29 @@ def score_with_fallback(df: DataFrame, scorer, sizes, text_col: str = "content",
     return df.select(key, text_col).mapInPandas(run, f"{key} long, size long, score double")
 
 
+def tfidf_features(docs: DataFrame, tokens_col: str = "toks", key: str = "doc_id") -> DataFrame:
+    """``key, features``: sparse TF-IDF vectors over all terms of ``docs(key, tokens)``, tf * ln((n + 1) / (df + 1)).
+
+    Term numbers are positions in a Spark table of the distinct terms, so no two terms share one and none is left out. The rows are written to the
+    shared folder before they become vectors: a fit reads them many times.
+    """
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    from newsloom.operators.ordering import global_position
+
+    rows = table_of(docs.select(key, tokens_col), "tokens")
+    tf = rows.select(key, F.explode(tokens_col).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = rows.count()
+    terms = global_position(df, ["term"], "place").select("term", "place", F.log(F.lit(n + 1.0) / (F.col("df") + 1)).alias("idf"))
+    terms = table_of(terms, "terms")
+    size = terms.count()
+    weights = tf.join(terms, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", (F.col("tf") * F.col("idf")).alias("w")))).alias("x"))
+    weights = rows.select(key).join(weights, key, "left").select(key, F.transform("x", lambda e: e["place"]).alias("place"), F.transform("x", lambda e: e["w"]).alias("w"))
+    vector = F.udf(lambda place, w: Vectors.sparse(size, place or [], w or []), VectorUDT())
+    return table_of(weights, "weights").select(key, vector("place", "w").alias("features"))
+
+
 def train_sentiment(features: DataFrame, label: str = "label", features_col: str = "features", seed: int = 43):
     """A multinomial logistic regression on document features (e.g. TF-IDF vectors)."""
     from pyspark.ml.classification import LogisticRegression

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import vec
 from newsloom.operators import vectors as V
-from newsloom.session import ensure_checkpoint_dir
+from newsloom.session import ensure_checkpoint_dir, table_of
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), node: str = "doc_id",
@@ -25,15 +25,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
 
     Each round takes the least label among the neighbours and then the label of that label (pointer jumping), so
     the number of rounds grows with the logarithm of the longest path. A round is two joins and one aggregation,
-    checkpointed to the cluster's checkpoint folder (lineage cut, survives executor loss); one aggregated change
-    count decides whether to go on. Raises if the search does not end.
+    written to the cluster's checkpoint folder (lineage cut, survives executor loss; a checkpoint would keep the plan's
+    size estimates, which the joins square in every round); one aggregated change count decides whether to go on. Raises if the search does not end.
     """
     k = list(keys)
-    ensure_checkpoint_dir(nodes.sparkSession)
     und = edges.select(*k, F.col("id1").alias("a"), F.col("id2").alias("b")).unionByName(
         edges.select(*k, F.col("id2").alias("a"), F.col("id1").alias("b")))
-    und = und.checkpoint(eager=True)
-    labels = nodes.select(*k, F.col(node).alias("n"), F.col(node).alias("comp")).checkpoint(eager=True)
+    und = table_of(und, "components")
+    labels = table_of(nodes.select(*k, F.col(node).alias("n"), F.col(node).alias("comp")), "components")
     for _ in range(max_rounds):
         low = und.join(labels.withColumnRenamed("n", "a"), k + ["a"]).groupBy(*k, F.col("b").alias("n")).agg(
             F.min("comp").alias("_m"))
@@ -45,7 +44,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
             *k, "n", F.least("comp", F.coalesce("_m", "comp")).alias("_c"), F.col("comp").alias("_old"))
         jump = new.select(*k, F.col("n").alias("_c"), F.col("_c").alias("_cc"))
         new = new.join(jump, k + ["_c"]).select(*k, "n", F.col("_cc").alias("comp"), (F.col("_cc") < F.col("_old")).alias("_ch"))
-        new = new.checkpoint(eager=True)
+        new = table_of(new, "components")
         labels = new.drop("_ch")
         if new.filter("_ch").isEmpty():
             return labels.withColumnRenamed("n", node)

@@ -292,7 +292,7 @@ def m25(spark, sf_dir):
     """Outliers clustered again with a looser threshold, round by round."""
     p = tables.fixture_params()
     return TP.recluster_outliers(tables.vector_view(spark, sf_dir), p["component_threshold"], 10,
-                                 step=0.1, min_left=15, id_col="vec_id", vec_col="v")
+                                 step=0.05, min_left=15, id_col="vec_id", vec_col="v")
 
 
 @query("w10_order_by_community")
@@ -301,7 +301,7 @@ def w10(spark, sf_dir):
     from newsloom.operators import graph
     from newsloom.plans import fixtures as FX
     v = tables.vector_view(spark, sf_dir).select(F.col("vec_id").alias("doc_id"))
-    com = graph.communities(v, FX.global_edges(spark, sf_dir))
+    com = graph.louvain(v, FX.global_edges(spark, sf_dir))
     return O.order_by_community(v, com, []).select("doc_id", "order_pos")
 
 

@@ -70,3 +70,10 @@ def scratch_path(spark, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def table_of(df, name: str):
+    """The rows written to the shared folder and read again: lineage ends, and size estimates start anew (a checkpoint keeps those of its plan)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
