@@ -171,7 +171,7 @@ def forward(params: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.n
 
 def train_part(state: np.ndarray, rows: np.ndarray, rate: float = 0.05, seed: int = 0) -> np.ndarray:
     """One pass of Adagrad over the windows of a part, from the given state."""
-    state = state.copy()
+    state, rows = state.copy(), np.ascontiguousarray(rows)  # take() copies all of an array in any other order, each time
     grad, step, grad2 = np.empty_like(state), np.empty_like(state), np.full_like(state, 1e-6)
     side, b1, out, b2 = unpack(state)
     g_side, g_b1, g_out, g_b2 = unpack(grad)
