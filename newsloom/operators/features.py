@@ -1,19 +1,21 @@
 """Text features: counts, TF-IDF, c-TF-IDF, similarity.
 
 Everything is long form ``(key, term, value)``: term statistics are aggregations, document
-vectors are never densified, and document similarity is an exact blocked product of sparse
-vectors, so frequent terms create no join rows.
+vectors are never densified, and document similarity is a search on index prefixes of rare
+terms with exact verification, so frequent terms create no join rows.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.session import spread
+from newsloom.session import spread, table_of
 
 TOKEN_PATTERN = "[\\p{L}\\p{N}_]{2,}"
 
@@ -59,80 +61,130 @@ def tfidf(counts: DataFrame, key: Sequence[str]) -> DataFrame:
     return raw.select(*k, "term", "df", "n_docs", (F.col("_w") / norm).alias("w"))
 
 
-def tfidf_cosine(vecs: DataFrame, threshold: float, key: str = "doc_id", block_rows: int = 2048) -> DataFrame:
+def tfidf_cosine(vecs: DataFrame, threshold: float, key: str = "doc_id", block_rows: int = 2048,
+                 list_rows: int = 1024) -> DataFrame:
     """M4: document pairs with TF-IDF cosine >= threshold (exact): ``id1 < id2, weight``.
 
-    ``vecs``: key, term, w (unit length per document). Each document's sparse vector is
-    packed into one row (hashed term ids sorted, weights); documents are blocked like V8
-    and every block pair multiplies its two sparse blocks in numpy: a merge of the sorted
-    postings of both sides, products summed per document pair with ``bincount``. Only
-    pairs >= threshold leave the task; no pair list is shuffled and memory per task is
-    bounded by the block sizes (products are processed in chunks).
-    """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    from newsloom.operators.vectors import block_pairs
+    ``vecs``: key (long), term, w and, if at hand, df; unit length per document, threshold above 0. Rows with a null
+    key, term or weight are left out. A document's terms stand in order of df, rare ones first. Its index prefix ends
+    where the rest is shorter than the threshold: two documents whose prefixes share no term can't reach it. A pair is
+    a candidate if at some shared prefix term ``w1 * w2 + rest1 * rest2 >= threshold``, which holds at the first term
+    that a pair of the result shares. Candidates are then verified on whole vectors.
 
-    packed = vecs.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("w").alias("w")))).alias("_sv"))
+    Short posting lists share buckets of a bounded number of entries, a list above ``list_rows`` is split into pairs of
+    parts. Verification runs by pairs of document blocks; a vector goes only to block pairs where it has a candidate.
+    Packed vectors and candidates are written to the shared folder while the query is built.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0")
+    v = vecs.where(F.col(key).isNotNull() & F.col("term").isNotNull() & F.col("w").isNotNull())
+    if "df" not in v.columns:
+        v = v.join(v.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    packed = v.groupBy(F.col(key).cast("long").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("df", F.xxhash64("term").alias("h"), "w"))).alias("_sv"))
     # two parallel arrays reach pandas as numpy arrays (no per-element Python objects)
-    packed = packed.select(key, F.struct(F.transform("_sv", lambda e: e["h"]).alias("h"),
-                                         F.transform("_sv", lambda e: e["w"]).alias("w")).alias("sv"))
-    rep = block_pairs(packed, key, "sv", (), block_rows)
-    schema = T.StructType([T.StructField("id1", T.LongType()), T.StructField("id2", T.LongType()),
-                           T.StructField("weight", T.DoubleType())])
-    t = threshold
-
-    def flat(side):
-        ids = side["id"].to_numpy(np.int64)
-        hs = [np.asarray(v["h"], dtype=np.int64) for v in side["u"]]
-        ws = [np.asarray(v["w"], dtype=np.float64) for v in side["u"]]
-        lens = np.array([len(x) for x in hs], dtype=np.int64)
-        if lens.sum() == 0:
-            return ids, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        doc = np.repeat(np.arange(len(ids)), lens)
-        return ids, doc, np.concatenate(hs), np.concatenate(ws)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["_b1"].iloc[0] == pdf["_b2"].iloc[0]
-        left = pdf if same else pdf[pdf["_side"] == 0]
-        right = pdf if same else pdf[pdf["_side"] == 1]
-        empty = pd.DataFrame({"id1": np.empty(0, np.int64), "id2": np.empty(0, np.int64), "weight": np.empty(0)})
-        if len(left) == 0 or len(right) == 0:
-            return empty
-        li, ld, lh, lw = flat(left)
-        ri, rd, rh, rw = flat(right)
-        order = np.argsort(rh, kind="stable")
-        rh, rd, rw = rh[order], rd[order], rw[order]
-        lo = np.searchsorted(rh, lh, "left")
-        hi = np.searchsorted(rh, lh, "right")
-        cnt = hi - lo
-        acc = np.zeros(len(li) * len(ri))
-        start, limit = 0, 20_000_000
+    packed = table_of(packed.select("id", F.col("_sv.h").alias("h"), F.col("_sv.w").alias("w")), "tfidf-vectors")
+    cand = table_of(_prefix_candidates(packed, threshold, list_rows), "tfidf-candidates")
+    return _verified_cosines(packed, cand, threshold, block_rows)
+
+
+def _flat(ids, hs, ws):
+    """Row numbers, term hashes and weights of packed vectors, one element per term."""
+    lens = np.array([len(x) for x in hs], dtype=np.int64)
+    if not lens.sum():
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), lens
+    return np.repeat(np.arange(len(ids)), lens), np.concatenate(list(hs)), np.concatenate(list(ws)), lens
+
+
+def _prefix_candidates(packed: DataFrame, threshold: float, list_rows: int) -> DataFrame:
+    """Distinct pairs ``id1 < id2`` that pass the bound at a shared term of their index prefixes."""
+    floor = threshold - 1e-9
+
+    def prefixes(batches):
+        for pdf in batches:
+            row, h, w, _ = _flat(pdf["id"], pdf["h"], pdf["w"])
+            # lengths from each term on, summed from the document's own end: no error of other documents enters
+            own = np.concatenate([np.sqrt(np.cumsum(np.square(x[::-1]))[::-1]) for x in pdf["w"]] or [np.empty(0)])
+            last = np.append(row[1:] != row[:-1], True)[:len(row)]
+            rest = np.where(last, 0.0, np.append(own[1:], 0.0)[:len(own)])
+            use = own >= floor
+            yield pd.DataFrame({"h": h[use], "id": pdf["id"].to_numpy(np.int64)[row[use]], "w": w[use], "r": rest[use]})
+
+    entries = packed.mapInPandas(prefixes, "h long, id long, w double, r double")
+    hot = entries.groupBy("h").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > list_rows).select(
+        "h", F.ceil(F.col("_m") / list_rows).cast("int").alias("_parts"))
+    par = packed.sparkSession.sparkContext.defaultParallelism
+    buckets = F.greatest(F.lit(2 * par), F.ceil(packed.agg(F.sum(F.size("h"))).scalar() / F.lit(16 * list_rows)))
+    parted = entries.withColumn("_bucket", F.pmod(F.col("h"), F.coalesce(buckets, F.lit(1)))).join(hot, "h", "left")
+    part = F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))).cast("int")
+    copies = parted.withColumn("_p", part).withColumn(
+        "_c", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    copies = copies.select(F.when(F.col("_parts").isNotNull(), F.col("h")).otherwise(F.col("_bucket")).alias("_k"),
+                           F.col("_parts").isNotNull().alias("_hot"), F.least("_p", "_c").alias("_b1"),
+                           F.greatest("_p", "_c").alias("_b2"), (F.col("_p") > F.col("_c")).alias("_right"), "h", "id", "w", "r")
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        cross = pdf["_b1"].iloc[0] != pdf["_b2"].iloc[0]
+        left = pdf[~pdf["_right"]] if cross else pdf.sort_values("h", kind="stable")
+        right = pdf[pdf["_right"]] if cross else left
+        lh, rh = left["h"].to_numpy(), right["h"].to_numpy()
+        lo = np.zeros(len(lh), np.int64) if cross else np.arange(1, len(lh) + 1)
+        width = (np.full(len(lh), len(rh)) if cross else np.searchsorted(rh, lh, "right")) - lo
+        ids, at = np.unique(np.concatenate([left["id"], right["id"]]), return_inverse=True)
+        la, ra = at[:len(lh)], at[len(lh):]
+        lw, lr, rw, rr = (s.to_numpy() for s in (left["w"], left["r"], right["w"], right["r"]))
+        found, upto, start = [], np.cumsum(width), 0
         while start < len(lh):
-            csum = np.cumsum(cnt[start:])
-            stop = start + max(1, int(np.searchsorted(csum, limit, "right")))
-            c = cnt[start:stop]
-            tot = int(c.sum())
-            if tot:
-                rep_l = np.repeat(np.arange(start, stop), c)
-                offs = np.arange(tot) - np.repeat(np.cumsum(c) - c, c)
-                rj = lo[rep_l] + offs
-                acc += np.bincount(ld[rep_l] * len(ri) + rd[rj], weights=lw[rep_l] * rw[rj], minlength=acc.size)
+            done = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, done + 2_000_000, "right")))
+            n = width[start:stop]
+            i = np.repeat(np.arange(start, stop), n)
+            j = lo[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            ok = (lw[i] * rw[j] + lr[i] * rr[j] >= floor) & (la[i] != ra[j])
+            a, b = la[i[ok]], ra[j[ok]]
+            found.append(np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b)))
             start = stop
-        S = acc.reshape(len(li), len(ri))
-        mask = S >= t
-        if same:
-            mask &= li[:, None] < ri[None, :]
-        else:
-            mask &= li[:, None] != ri[None, :]
-        ii, jj = np.nonzero(mask)
-        a, b = li[ii], ri[jj]
-        return pd.DataFrame({"id1": np.minimum(a, b), "id2": np.maximum(a, b), "weight": S[ii, jj]})
-
-    return rep.groupBy("_g", "_b1", "_b2").applyInPandas(fn, schema)
+        code = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        return pd.DataFrame({"id1": ids[code // max(1, len(ids))], "id2": ids[code % max(1, len(ids))]})
+
+    return copies.groupBy("_k", "_hot", "_b1", "_b2").applyInPandas(pairs, "id1 long, id2 long").distinct()
+
+
+def _verified_cosines(packed: DataFrame, cand: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """Cosines of the candidate pairs on their whole vectors, those >= threshold kept."""
+    par = packed.sparkSession.sparkContext.defaultParallelism
+    least = int(np.ceil((np.sqrt(16 * par + 1) - 1) / 2))
+    blocks = F.greatest(F.lit(least), F.ceil(packed.agg(F.count(F.lit(1))).scalar() / F.lit(block_rows)))
+    sides = cand.withColumn("_n", blocks).select(
+        "id1", "id2", F.pmod(F.xxhash64("id1"), "_n").alias("_x"), F.pmod(F.xxhash64("id2"), "_n").alias("_y"))
+    sides = sides.select("id1", "id2", F.least("_x", "_y").alias("_b1"), F.greatest("_x", "_y").alias("_b2"))
+    need = sides.select(F.col("_b1").alias("_v1"), F.col("_b2").alias("_v2"), F.explode(F.array("id1", "id2")).alias("id")).distinct()
+    vectors = need.join(packed, "id")
+
+    def dots(pairs: pd.DataFrame, vecs: pd.DataFrame) -> pd.DataFrame:
+        ids = vecs["id"].to_numpy(np.int64)
+        order = np.argsort(ids)
+        _, h, w, lens = _flat(ids, vecs["h"], vecs["w"])
+        first = np.cumsum(lens) - lens
+        terms, t = np.unique(h, return_inverse=True)
+        pairs = pairs.sort_values("id1", kind="stable")
+        a = order[np.searchsorted(ids[order], pairs["id1"].to_numpy(np.int64))]
+        b = order[np.searchsorted(ids[order], pairs["id2"].to_numpy(np.int64))]
+        dense, out = np.zeros(len(terms)), np.zeros(len(a))
+        cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
+        for s, e in zip(cuts, np.append(cuts[1:], len(a))):
+            mine = slice(first[a[s]], first[a[s]] + lens[a[s]])
+            dense[t[mine]] = w[mine]
+            n = lens[b[s:e]]
+            begin = np.cumsum(n) - n
+            at = np.repeat(first[b[s:e]] - begin, n) + np.arange(n.sum())
+            out[s:e] = np.add.reduceat(dense[t[at]] * w[at], begin)
+            dense[t[mine]] = 0.0
+        keep = out >= threshold
+        return pd.DataFrame({"id1": pairs["id1"].to_numpy()[keep], "id2": pairs["id2"].to_numpy()[keep], "weight": out[keep]})
+
+    return sides.groupBy("_b1", "_b2").cogroup(vectors.groupBy("_v1", "_v2")).applyInPandas(
+        dots, "id1 long, id2 long, weight double")
 
 
 def ctfidf(doc_counts: DataFrame, assign: DataFrame, group: Sequence[str], doc_key: str = "doc_id",
