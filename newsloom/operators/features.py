@@ -107,10 +107,11 @@ def _prefix_candidates(packed: DataFrame, threshold: float, list_rows: int) -> D
             own = np.concatenate([np.sqrt(np.cumsum(np.square(x[::-1]))[::-1]) for x in pdf["w"]] or [np.empty(0)])
             last = np.append(row[1:] != row[:-1], True)[:len(row)]
             rest = np.where(last, 0.0, np.append(own[1:], 0.0)[:len(own)])
+            prev = np.where(np.append(True, last[:-1])[:len(row)], 0, np.append(0, h[:-1])[:len(row)])
             use = own >= floor
-            yield pd.DataFrame({"h": h[use], "id": pdf["id"].to_numpy(np.int64)[row[use]], "w": w[use], "r": rest[use]})
+            yield pd.DataFrame({"h": h[use], "prev": prev[use], "id": pdf["id"].to_numpy(np.int64)[row[use]], "w": w[use], "r": rest[use]})
 
-    entries = packed.mapInPandas(prefixes, "h long, id long, w double, r double")
+    entries = packed.mapInPandas(prefixes, "h long, prev long, id long, w double, r double")
     hot = entries.groupBy("h").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > list_rows).select(
         "h", F.ceil(F.col("_m") / list_rows).cast("int").alias("_parts"))
     par = packed.sparkSession.sparkContext.defaultParallelism
@@ -121,7 +122,7 @@ def _prefix_candidates(packed: DataFrame, threshold: float, list_rows: int) -> D
         "_c", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
     copies = copies.select(F.when(F.col("_parts").isNotNull(), F.col("h")).otherwise(F.col("_bucket")).alias("_k"),
                            F.col("_parts").isNotNull().alias("_hot"), F.least("_p", "_c").alias("_b1"),
-                           F.greatest("_p", "_c").alias("_b2"), (F.col("_p") > F.col("_c")).alias("_right"), "h", "id", "w", "r")
+                           F.greatest("_p", "_c").alias("_b2"), (F.col("_p") > F.col("_c")).alias("_right"), "h", "prev", "id", "w", "r")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         cross = pdf["_b1"].iloc[0] != pdf["_b2"].iloc[0]
@@ -130,22 +131,22 @@ def _prefix_candidates(packed: DataFrame, threshold: float, list_rows: int) -> D
         lh, rh = left["h"].to_numpy(), right["h"].to_numpy()
         lo = np.zeros(len(lh), np.int64) if cross else np.arange(1, len(lh) + 1)
         width = (np.full(len(lh), len(rh)) if cross else np.searchsorted(rh, lh, "right")) - lo
-        ids, at = np.unique(np.concatenate([left["id"], right["id"]]), return_inverse=True)
-        la, ra = at[:len(lh)], at[len(lh):]
-        lw, lr, rw, rr = (s.to_numpy() for s in (left["w"], left["r"], right["w"], right["r"]))
-        found, upto, start = [], np.cumsum(width), 0
+        la, lw, lr, lp, ra, rw, rr, rp = (side[c].to_numpy() for side in (left, right) for c in ("id", "w", "r", "prev"))
+        one, two, upto, start = [], [], np.cumsum(width), 0
         while start < len(lh):
             done = upto[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(upto, done + 2_000_000, "right")))
+            stop = max(start + 1, int(np.searchsorted(upto, done + 100_000, "right")))
             n = width[start:stop]
             i = np.repeat(np.arange(start, stop), n)
             j = lo[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            ok = (lw[i] * rw[j] + lr[i] * rr[j] >= floor) & (la[i] != ra[j])
+            # an equal term right before this one is shared too, so the first shared term decides the pair elsewhere
+            ok = (lw[i] * rw[j] + lr[i] * rr[j] >= floor) & ((lp[i] != rp[j]) | (lp[i] == 0)) & (la[i] != ra[j])
             a, b = la[i[ok]], ra[j[ok]]
-            found.append(np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b)))
+            one.append(np.minimum(a, b))
+            two.append(np.maximum(a, b))
             start = stop
-        code = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        return pd.DataFrame({"id1": ids[code // max(1, len(ids))], "id2": ids[code % max(1, len(ids))]})
+        none = [np.empty(0, np.int64)]
+        return pd.DataFrame({"id1": np.concatenate(one or none), "id2": np.concatenate(two or none)})
 
     return copies.groupBy("_k", "_hot", "_b1", "_b2").applyInPandas(pairs, "id1 long, id2 long").distinct()
 
