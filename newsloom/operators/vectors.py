@@ -241,25 +241,43 @@ METRICS = ("pearson_corr", "spearman_corr", "kendalltau_corr", "cosine_similarit
            "manhattan_distance")
 
 
+#: Sign columns of element pairs that a block holds at a time.
+SIGN_COLUMNS = 4096
+
+
 def _avg_ranks(X: np.ndarray) -> np.ndarray:
     """Average ranks (1-based, ties share their mean rank) of every row."""
-    out = np.empty_like(X, dtype=np.float64)
-    for r in range(X.shape[0]):
-        x = X[r]
-        order = np.argsort(x, kind="mergesort")
-        xs = x[order]
-        ranks = np.empty(len(x), dtype=np.float64)
-        i = 0
-        while i < len(x):
-            j = i
-            while j + 1 < len(x) and xs[j + 1] == xs[i]:
-                j += 1
-            ranks[order[i:j + 1]] = (i + j) / 2.0 + 1.0
-            i = j + 1
-        out[r] = ranks
+    order = np.argsort(X, axis=1, kind="stable")
+    xs = np.take_along_axis(X, order, axis=1)
+    at = np.broadcast_to(np.arange(X.shape[1]), X.shape)
+    step = xs[:, 1:] != xs[:, :-1]
+    edge = np.ones((X.shape[0], 1), dtype=bool)
+    first = np.maximum.accumulate(np.where(np.hstack([edge, step]), at, 0), axis=1)
+    last = np.minimum.accumulate(np.where(np.hstack([step, edge]), at, X.shape[1])[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(X.shape, dtype=np.float64)
+    np.put_along_axis(out, order, (first + last) / 2.0 + 1.0, axis=1)
     return out
 
 
+def _kendall(A: np.ndarray, B: np.ndarray) -> np.ndarray:
+    """Kendall tau-b of all rows of A with all rows of B: products of element-pair signs, ``SIGN_COLUMNS`` pairs at a
+    time, so memory doesn't grow with the square of the vectors' length. Constant rows give NaN."""
+    d = A.shape[1]
+    total, na, nb = np.zeros((len(A), len(B))), np.zeros(len(A)), np.zeros(len(B))
+    ends = np.cumsum(np.arange(d - 1, 0, -1))
+    for s in range(0, d * (d - 1) // 2, SIGN_COLUMNS):
+        pair = np.arange(s, min(s + SIGN_COLUMNS, d * (d - 1) // 2))
+        i = np.searchsorted(ends, pair, "right")
+        j = pair - (ends[i] - (d - 1 - i)) + i + 1
+        sa, sb = np.sign(A[:, j] - A[:, i]), np.sign(B[:, j] - B[:, i])
+        total += sa @ sb.T
+        na += np.abs(sa).sum(axis=1)
+        nb += np.abs(sb).sum(axis=1)
+    size = np.sqrt(na)[:, None] * np.sqrt(nb)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(size > 0, total / size, np.nan)
+
+
 def _unit_rows(X: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(X, axis=1, keepdims=True)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -268,23 +286,20 @@ def _unit_rows(X: np.ndarray) -> np.ndarray:
 
 def _features(X: np.ndarray) -> dict:
     """Per-vector forms prepared once: centred-unit (Pearson), rank-centred-unit (Spearman),
-    unit sign vectors over element pairs (Kendall tau-b), unit vector (cosine), squared norm."""
-    d = X.shape[1]
-    iu, ju = np.triu_indices(d, 1)
+    unit vector (cosine), squared norm."""
     C = X - X.mean(axis=1, keepdims=True)
     Rk = _avg_ranks(X)
     Rc = Rk - Rk.mean(axis=1, keepdims=True)
-    Sg = np.sign(X[:, ju] - X[:, iu])
     n = np.linalg.norm(X, axis=1, keepdims=True)
     U = np.where(n > 0, X / np.where(n > 0, n, 1.0), 0.0)
-    return {"P": _unit_rows(C), "S": _unit_rows(Rc), "K": _unit_rows(Sg), "U": U, "sq": (X * X).sum(axis=1), "X": X}
+    return {"P": _unit_rows(C), "S": _unit_rows(Rc), "U": U, "sq": (X * X).sum(axis=1), "X": X}
 
 
 def _metric_block(A: dict, B: dict) -> dict:
     out = {
         "pearson_corr": A["P"] @ B["P"].T,
         "spearman_corr": A["S"] @ B["S"].T,
-        "kendalltau_corr": A["K"] @ B["K"].T,
+        "kendalltau_corr": _kendall(A["X"], B["X"]),
         "cosine_similarity": A["U"] @ B["U"].T,
     }
     g = A["X"] @ B["X"].T
@@ -307,9 +322,9 @@ def pair_metrics(
     """V7 (V1-V6): the six metrics for every ordered pair (i, j) of a key group, i = j included.
 
     Output: keys..., ``document_1, document_2`` and the six metric columns. Constant vectors
-    give NULL correlations; a zero vector gives cosine 0. Per-vector forms (centring, ranks,
-    Kendall sign vectors) are built once per block, then every metric is a matrix product
-    except Manhattan (chunked broadcasting).
+    give NULL correlations; a zero vector gives cosine 0. Per-vector forms (centring, ranks)
+    are built once per block, then every metric is a matrix product, Kendall's over bounded
+    groups of element pairs, except Manhattan (chunked broadcasting).
     """
     k = list(keys)
     rep = block_pairs(vectors.select(*k, F.col(id_col), F.col(vec_col)), id_col, vec_col, k, block_rows)
