@@ -137,14 +137,14 @@ def _copy_events(spark, sf_dir, parts: int = 4):
 
 @query("r03_stream_counts", _EV_SQL)
 def r03(spark, sf_dir):
-    """The same counts from a file stream (watermark 1 hour, complete mode, available-now)."""
-    path, schema = _copy_events(spark, sf_dir)
-    s = streams.event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    """The same counts from a stream over the given file (watermark 1 hour, update mode into files, available-now)."""
+    schema = tables.read_table(spark, sf_dir, "events").schema
+    # a glob that names the table alone: file streams refuse the plain path of one file
+    s = streams.event_time(spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]"))
     agg = streams.stream_counts(s, "event_time", "1 day", delay="1 hour", by=["event_type"])
-    name = "r03_" + path.rsplit("-", 1)[-1]
-    q = agg.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return _window_rows(spark.table(name))
+    out = scratch_path(spark, "counts-out")
+    streams.update_log(agg, out, out + "-ckpt").awaitTermination()
+    return _window_rows(streams.latest(spark, out, agg.schema, ["window", "event_type"]))
 
 
 @query("r02_stream_dedup", """
@@ -206,10 +206,9 @@ def r05(spark, sf_dir):
  kw AS (SELECT unnest([{", ".join(repr(k) for k in KEYWORDS)}]) AS keyword)""", """
  SELECT keyword, year, month, count(*) AS n FROM art JOIN kw ON instr(lower(art.content), kw.keyword) > 0 GROUP BY ALL"""))
 def r06(spark, sf_dir):
-    """Running article count per keyword and month (streaming state, complete output)."""
+    """Running article count per keyword and month (streaming state, update mode into files)."""
     s = streams.stream_articles(spark, _page_dir(spark, sf_dir), 1)
     agg = streams.stream_keyword_state(s, KEYWORDS, "date_published", "3650 days")
-    name = "r06_" + scratch_path(spark, "x").rsplit("-", 1)[-1]
-    q = agg.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out = scratch_path(spark, "keywords-out")
+    streams.update_log(agg, out, out + "-ckpt").awaitTermination()
+    return streams.latest(spark, out, agg.schema, ["keyword", "year", "month"])

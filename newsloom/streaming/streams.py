@@ -69,6 +69,28 @@ def stream_monthly_sink(df: DataFrame, path: str, checkpoint: str, trigger_once:
     return w.start()
 
 
+def update_log(df: DataFrame, path: str, checkpoint: str):
+    """An aggregated stream in update mode as files: each micro-batch writes the rows that it changed under its own
+    ``batch_id``, so a replayed batch overwrites its files, and groups behind the watermark leave the state.
+    ``latest`` reads the last row of each group. A stream without rows leaves an empty table."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("append").parquet(path)
+
+    def write(batch: DataFrame, batch_id: int):
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
+    return df.writeStream.outputMode("update").foreachBatch(write).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """The last written row of each group of an ``update_log`` with the stream's ``schema``."""
+    rows = spark.read.schema(T.StructType(list(schema.fields) + [T.StructField("batch_id", T.LongType())])).parquet(path)
+    values = [f.name for f in schema.fields if f.name not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch_id")).alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
 def stream_keyword_state(df: DataFrame, keywords: Sequence[str], time_col: str, delay: str = "1 day") -> DataFrame:
     """Running count of articles per keyword and month (streaming aggregation, update mode)."""
     kw = F.array(*[F.lit(w) for w in keywords])
