@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import vec
+from newsloom.operators import factors
 from newsloom.operators import vectors as V
 from newsloom.session import ensure_checkpoint_dir, table_of
 
@@ -198,45 +199,28 @@ def reduce_topics(docs: DataFrame, n: int, keys: Sequence[str], id_col: str = "d
         "topic", F.coalesce(F.col("_new"), F.lit(-1))).drop("_new")
 
 
-def embed_documents(df: DataFrame, tokens_col: str, dim: int = 64, seed: int = 43, min_count: int = 2) -> DataFrame:
-    """M11 default encoder: seeded Word2Vec; a document vector = mean of its word vectors.
+def embed_documents(df: DataFrame, tokens_col: str, dim: int = 64, seed: int = 43, window: int = 5, key: str = "doc_id") -> DataFrame:
+    """M11 default encoder: word vectors from the co-occurrence table (``factors.word_vectors``); a document vector =
+    mean of its word vectors, every word counted, the zero vector without words. ``key``: integer ids.
 
     A user encoder instead runs as ``mapInPandas`` (model loaded once per task)."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    w2v = Word2Vec(vectorSize=dim, seed=seed, minCount=min_count, inputCol=tokens_col, outputCol="_e", maxIter=1)
-    model = w2v.fit(df)
-    return model.transform(df).withColumn("embedding", vector_to_array("_e")).drop("_e")
+    vectors, terms = factors.word_vectors(df, tokens_col, dim, seed, window)
+    return factors.document_vectors(df, key, tokens_col, vectors, terms, dim)
 
 
 def lda_topics(counts: DataFrame, key: str, k: int = 10, seed: int = 43, max_iter: int = 10):
-    """LDA (online) on term counts in long form.
+    """M6/M9: variational LDA on term counts in long form (key, term, tf).
 
-    Returns (model, vocabulary, doc_topics) where doc_topics has key, mixture (array, r2),
-    dominant topic. The count vectors are built from (key, term id, tf) without a driver loop.
+    Returns (model, terms, cells, doc_topics) where doc_topics has key, mixture (array, r2), dominant topic.
+    Terms are numbered by a Spark table; the topics' weights stay a table too.
     """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
-
-    docs = counts.groupBy(key).agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("_terms"))
-    cv = CountVectorizer(inputCol="_terms", outputCol="features").fit(docs)
-    feats = cv.transform(docs)
-    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, featuresCol="features").fit(feats)
-    mix = model.transform(feats).select(key, vector_to_array("topicDistribution").alias("_m"))
-    mix = mix.select(key, F.transform("_m", lambda x: F.round(x, 2)).alias("mixture"),
-                     (F.array_position("_m", F.array_max("_m")) - 1).cast("int").alias("dominant_topic"))
-    return model, cv.vocabulary, feats, mix
-
-
-def lda_keywords(model, vocabulary, spark, n: int = 20) -> DataFrame:
-    """Best n words per topic (the vocabulary is the fitted model's own, a bounded list)."""
-    desc = model.describeTopics(n)
-    vocab = spark.createDataFrame([(i, w) for i, w in enumerate(vocabulary)], "term_index int, term string")
-    ex = desc.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "z"))
-    return ex.select("topic", (F.col("rank") + 1).alias("rank"), F.col("z.termIndices").alias("term_index"),
-                     F.col("z.termWeights").alias("weight")).join(F.broadcast(vocab), "term_index").drop("term_index")
+    terms = factors.number_terms(counts)
+    cells = factors.term_cells(counts, key, terms)
+    model = factors.fit_lda(cells, terms, k, seed, max_iter)
+    mix = factors.lda_documents(model, cells).select(
+        F.col("id").alias(key), F.transform("mixture", lambda x: F.round(x, 2)).alias("mixture"),
+        (F.array_position("mixture", F.array_max("mixture")) - 1).cast("int").alias("dominant_topic"))
+    return model, terms, cells, mix
 
 
 def nmf(weights: DataFrame, key: str, k: int = 10, seed: int = 43, reg: float = 0.1, max_iter: int = 10):
@@ -317,23 +301,34 @@ def recluster_outliers(vectors: DataFrame, threshold: float, min_topic_size: int
 
 
 def lda_grid(counts: DataFrame, key: str, ks=(3, 5), decays=(0.5, 0.7), seed: int = 43, max_iter: int = 5,
-             test_share: float = 0.3) -> DataFrame:
-    """M7: LDA for every (k, learning decay) of a grid, scored by held-out log-likelihood
-    and perplexity on a seeded split; one row per setting, best first."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-
-    spark = counts.sparkSession
-    docs = counts.groupBy(key).agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("_terms"))
-    feats = CountVectorizer(inputCol="_terms", outputCol="features").fit(docs).transform(docs)
-    train, test = feats.randomSplit([1 - test_share, test_share], seed=seed)
-    rows = []
+             folds: int = 3) -> DataFrame:
+    """M7: LDA for every (k, learning decay) of a grid, scored on held-out documents: the documents fall into
+    ``folds`` by a hash of their key, a model trained on the others scores each fold, and the folds' log-likelihoods
+    are averaged; perplexity is that of all folds' tokens. One row per setting, best first. Terms that occur in a
+    held-out fold alone have the prior's weight."""
+    from functools import reduce
+
+    fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds))
+    terms = factors.number_terms(counts)
+    split = [(factors.term_cells(counts.filter(fold != i), key, terms), factors.term_cells(counts.filter(fold == i), key, terms))
+             for i in range(folds)]
+    scored = []
     for k in ks:
         for d in decays:
-            m = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, learningDecay=d).fit(train)
-            rows.append((k, float(d), float(m.logLikelihood(test)), float(m.logPerplexity(test))))
-    res = spark.createDataFrame(rows, "k int, learning_decay double, log_likelihood double, log_perplexity double")
-    return res.orderBy(F.col("log_likelihood").desc())
+            for train, test in split:
+                model = factors.fit_lda(train, terms, k, seed, max_iter, decay=d)
+                tokens = test.cells.agg(F.coalesce(F.sum("w"), F.lit(0.0))).scalar()
+                scored.append(factors.lda_quality(model, test).select(
+                    F.lit(k).alias("k"), F.lit(float(d)).alias("learning_decay"), "log_likelihood", tokens.alias("_tokens")))
+    every = reduce(DataFrame.unionByName, scored).groupBy("k", "learning_decay").agg(
+        F.avg("log_likelihood").alias("log_likelihood"),
+        (-F.sum("log_likelihood") / F.nullif(F.sum("_tokens"), F.lit(0.0))).alias("log_perplexity"))
+    return every.orderBy(F.col("log_likelihood").desc(), "k", "learning_decay")
+
+
+def lda_keywords(model, terms: DataFrame, spark, n: int = 20) -> DataFrame:
+    """Best n words per topic: topic, rank, weight, term."""
+    return factors.lda_terms(model, n)
 
 
 def encode_with(df: DataFrame, encoder_factory, text_col: str, schema: str, batch_rows: int = 256) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.operators import aggregate as A
+from newsloom.operators import factors as FA
 from newsloom.operators import features as FT
 from newsloom.operators import hierarchy as H
 from newsloom.operators import ordering as O
@@ -140,7 +141,7 @@ def m13(spark, sf_dir):
 
 @query("m11_embed_documents")
 def m11(spark, sf_dir):
-    """Word2Vec document vectors (seeded) over the cleaned tokens."""
+    """Document vectors (word co-occurrence, randomised range finder) over the cleaned tokens."""
     a = tables.article_view(spark, sf_dir).select("doc_id", T.clean_tokens(F.col("content")).alias("toks"))
     e = TP.embed_documents(a, "toks", dim=16)
     return e.select("doc_id", F.size("embedding").alias("dims"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("sq"))
@@ -168,18 +169,17 @@ def m10(spark, sf_dir):
 @query("m08_lda_quality")
 def m08(spark, sf_dir):
     """M8: log-likelihood and log-perplexity of the fitted LDA on its corpus."""
-    model, _, feats, _ = _lda(spark, sf_dir)
-    ll, lp = model.logLikelihood(feats), model.logPerplexity(feats)
-    return feats.limit(1).select(F.lit(ll).alias("log_likelihood"), F.lit(lp).alias("log_perplexity"))
+    model, _, cells, _ = _lda(spark, sf_dir)
+    return FA.lda_quality(model, cells)
 
 
 @query("m05_nmf")
 def m05(spark, sf_dir):
-    """M5: non-negative document factors (ALS, nonnegative) of the TF-IDF matrix."""
+    """M5: non-negative document factors (multiplicative updates) of the TF-IDF matrix, with each document's error."""
     a = tables.article_view(spark, sf_dir)
     w = FT.tfidf(FT.count_vectorize(a, ["doc_id"], "content", min_df=2, max_df=0.95), ["doc_id"])
-    docs, _ = TP.nmf(w, "doc_id", k=8)
-    return docs.select("doc_id", F.array_min("factors").alias("min_factor"), F.size("factors").alias("k"))
+    docs, _, _ = FA.nmf_factors(w, "doc_id", k=8, max_iter=15)
+    return docs.select("doc_id", F.array_min("factors").alias("min_factor"), F.size("factors").alias("k"), "error")
 
 
 @query("m28_topics_by_batch")
@@ -310,4 +310,4 @@ def m07(spark, sf_dir):
     """M7: LDA over a grid of topic counts and learning decays, scored on held-out documents."""
     a = tables.article_view(spark, sf_dir)
     counts = FT.count_vectorize(a, ["doc_id"], "content", min_df=10, max_df=0.95, ngram=(2, 2))
-    return TP.lda_grid(counts, "doc_id")
+    return TP.lda_grid(counts, "doc_id", folds=2)
