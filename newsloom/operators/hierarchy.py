@@ -59,22 +59,23 @@ def _nearest_outside(rows: DataFrame, keys: list[str], block_rows: int) -> DataF
         right = left if same else side(pdf[pdf["_side"] == 1])
         found = []
         for (i, c, core, ask, u), (j, d, core_j, _, v) in ((left, right),) if same else ((left, right), (right, left)):
-            for at in range(0, len(i), 512):
-                q = np.flatnonzero(ask[at:at + 512]) + at
+            # in id order the first of a row's least edges is the one whose (smaller, larger) ends come first
+            order = np.argsort(j, kind="stable")
+            j, d, core_j, v = j[order], d[order], core_j[order], v[order]
+            step = max(1, V.STRIPE_CELLS // max(1, len(j)))
+            for at in range(0, len(i), step):
+                q = np.flatnonzero(ask[at:at + step]) + at
                 if not len(q) or not len(j):
                     continue
                 w = np.maximum(np.maximum(core[q, None], core_j[None, :]), np.round(1 - u[q] @ v.T, PLACES))
                 w[c[q][:, None] == d[None, :]] = np.inf
-                # of a row's least edges the one whose (smaller, larger) ends come first
-                order = np.argsort(j, kind="stable")
-                low = w.min(axis=1)
-                for r, x in zip(range(len(q)), low):
-                    if np.isfinite(x):
-                        ends = j[order][w[r, order] == x]
-                        a, b = np.minimum(ends, i[q[r]]), np.maximum(ends, i[q[r]])
-                        first = np.lexsort((b, a))[0]
-                        found.append((c[q[r]], x, a[first], b[first]))
-        out = pd.DataFrame(found, columns=["comp", "w", "a", "b"]).astype({"comp": "int64", "w": "float64", "a": "int64", "b": "int64"})
+                first = w.argmin(axis=1)
+                low = w[np.arange(len(q)), first]
+                ok = np.isfinite(low)
+                ends, own = j[first[ok]], i[q[ok]]
+                found.append(pd.DataFrame({"comp": c[q[ok]], "w": low[ok], "a": np.minimum(ends, own), "b": np.maximum(ends, own)}))
+                found = [pd.concat(found).sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp")]
+        out = (pd.concat(found) if found else pd.DataFrame(columns=["comp", "w", "a", "b"])).astype({"comp": "int64", "w": "float64", "a": "int64", "b": "int64"})
         out = out.sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp")
         for c in gk:
             out[c] = pdf[c].iloc[0]

@@ -91,3 +91,45 @@ def test_top_partners(spark):
     for r in top:
         order = np.argsort(-S[r.id], kind="stable")
         assert r.other == order[r.rank - 1]
+
+
+def test_a_row_has_few_copies_while_its_blocks_can_grow(spark):
+    df = _vecs(spark, [(i, [1.0, float(i)]) for i in range(60)])
+    copies = V.block_pairs(df, "doc_id", "v", block_rows=2).groupBy("id").count().agg(F.max("count")).first()[0]
+    assert copies == V.FEW_BLOCKS  # 30 before
+    by_key = V.block_pairs(df.withColumn("g", F.lit(1)), "doc_id", "v", ["g"], block_rows=2)
+    assert by_key.groupBy("id").count().agg(F.max("count")).first()[0] == V.FEW_BLOCKS
+
+
+def test_stripes_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    X = np.round(rng.normal(size=(40, 4)), 1)
+    X[7] = X[3]
+    df = _vecs(spark, list(enumerate(X.tolist())))
+
+    def results():
+        return [sorted(tuple(r[:2]) for r in V.cosine_pairs(df, threshold=0.4, block_rows=9).collect()),
+                sorted(tuple(r) for r in V.neighbour_count(df, 0.4, block_rows=9).collect()),
+                sorted(tuple(r[:2]) for r in V.best_partner(df, block_rows=9).collect()),
+                sorted((r.id, r["rank"], round(r.sim, 9)) for r in V.top_partners(df, 4, block_rows=9).collect())]
+
+    whole = results()
+    stripes = V.stripes
+    # a stripe has one row: the function's own value goes to the tasks with it
+    monkeypatch.setattr(V, "stripes", lambda L, R: ((s + i, S[i:i + 1].copy()) for s, S in stripes(L, R) for i in range(len(S))))
+    assert results() == whole
+    U = X / np.linalg.norm(X, axis=1, keepdims=True)
+    assert dict(whole[1]) == dict(enumerate(((U @ U.T) >= 0.4).sum(1).tolist()))
+
+
+def test_links_of_near_copies_are_joined_in_the_tasks(spark):
+    from newsloom.operators.topics import connected_components
+
+    rng = np.random.default_rng(6)
+    X = np.vstack([np.ones((40, 6)) + rng.normal(scale=0.01, size=(40, 6)), rng.normal(size=(30, 6))])
+    df = _vecs(spark, list(enumerate(X.tolist())))
+    edges = V.component_edges(df, 0.9, block_rows=10)
+    assert edges.count() <= 70 * V.FEW_BLOCKS < V.cosine_pairs(df, threshold=0.9).count()
+    comps = [{r.doc_id: r.comp for r in connected_components(df.select("doc_id"), e).collect()}
+             for e in (edges, V.cosine_pairs(df, threshold=0.9))]
+    assert comps[0] == comps[1]
