@@ -429,21 +429,40 @@ def approx_cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "doc
                         bucket_length: float = 0.5, tables: int = 4, seed: int = 7) -> DataFrame:
     """V9: near-neighbour pairs by random-projection LSH on unit vectors (d^2 = 2 - 2 cos).
 
-    Approximate: recall below 1 is possible; every emitted pair is exact and >= threshold.
+    Approximate: recall below 1 is possible; every emitted pair is exact and >= threshold. The buckets are wide (a unit
+    vector's projection has about 2 / bucket_length of them), so pairs that share one aren't shuffled: a block pair's
+    product finds the near ones, and those stay that share a bucket of any table.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     unit = vec.normalise_df(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")), "_v", "_u")
-    feats = unit.select("id", array_to_vector("_u").alias("features"))
+    feats = unit.select("id", "_u", array_to_vector("_u").alias("features"))
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
                                       numHashTables=tables, seed=seed).fit(feats)
+    buckets = F.array(*[vector_to_array(F.col("hashes")[i])[0] for i in range(tables)])
+    rows = lsh.transform(feats).select("id", F.concat("_u", buckets).alias("u")).distinct()
     dist = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    j = lsh.approxSimilarityJoin(feats, feats, dist, distCol="d")
-    return j.select(
-        F.col("datasetA.id").alias("id1"), F.col("datasetB.id").alias("id2"),
-        (F.lit(1.0) - F.col("d") * F.col("d") / 2).alias("weight"),
-    ).filter((F.col("id1") < F.col("id2")) & (F.col("weight") >= threshold))
+
+    def fn(li, L, ri, R, same):
+        (A, hash_a), (B, hash_b) = ((x[:, :-tables], x[:, -tables:]) for x in (L, R))
+        sq_a, sq_b = (A * A).sum(axis=1), (B * B).sum(axis=1)
+        for s, S in stripes(A, B):
+            at = li[s:s + len(S)]
+            near = 1.0 - (sq_a[s:s + len(S), None] + sq_b[None, :] - 2 * S) / 2 >= threshold - 1e-9
+            if same:
+                near &= at[:, None] < ri[None, :]
+            ii, jj = np.nonzero(near)
+            shared = (hash_a[ii + s] == hash_b[jj]).any(axis=1)
+            ii, jj = ii[shared], jj[shared]
+            d = np.sqrt(((A[ii + s] - B[jj]) ** 2).sum(axis=1))
+            weight = 1.0 - d * d / 2
+            ok = (d < dist) & (weight >= threshold)
+            a, b = at[ii[ok]], ri[jj[ok]]
+            yield np.minimum(a, b), np.maximum(a, b), weight[ok]
+
+    rep = block_pairs(rows, "id", "u")
+    return per_block_pair(rep, ["_g"], [("id1", T.LongType()), ("id2", T.LongType()), ("weight", T.DoubleType())], fn).drop("_g")
 
 
 def top_partners(

@@ -133,3 +133,20 @@ def test_links_of_near_copies_are_joined_in_the_tasks(spark):
     comps = [{r.doc_id: r.comp for r in connected_components(df.select("doc_id"), e).collect()}
              for e in (edges, V.cosine_pairs(df, threshold=0.9))]
     assert comps[0] == comps[1]
+
+
+def test_lsh_pairs_are_those_of_a_common_bucket_without_a_join_of_buckets(spark):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(80, 6))
+    df = _vecs(spark, list(enumerate(X.tolist())) + [(90, [0.0] * 6), (91, [0.0] * 6)])
+    out = V.approx_cosine_pairs(df, 0.35, tables=1)
+    got = {(r.id1, r.id2): r.weight for r in out.collect()}
+    unit = V.vec.normalise_df(df.withColumnRenamed("doc_id", "id"), "v", "_u").select("id", array_to_vector("_u").alias("features"))
+    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.5, numHashTables=1, seed=7).fit(unit)
+    j = lsh.approxSimilarityJoin(unit, unit, float(np.sqrt(1.3)), distCol="d").filter("datasetA.id < datasetB.id")
+    want = {(r[0], r[1]): 1 - r.d * r.d / 2 for r in j.select("datasetA.id", "datasetB.id", "d").collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - w) < 1e-9 for p, w in want.items())
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
