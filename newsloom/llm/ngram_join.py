@@ -30,7 +30,7 @@ from newsloom.llm.words import mix, ngram_hash, sequence_hash, signed, words_of
 
 #: Bits of a token in the index; a doubly used value could only count one more common token in one pair.
 TOKEN_BITS = 56
-FLUSH_TOKENS, FLUSH_DOCS = 1_500_000, 60_000
+FLUSH_TOKENS, FLUSH_DOCS = 750_000, 60_000
 NO_DOC = 0xFFFF
 #: Least count of a frequent token, and how many of them may be broadcast (16 bytes each).
 FREQUENT, MAX_FREQUENT = 32, 1_000_000
@@ -137,11 +137,11 @@ def _blobs(cls: list, sets: list, buckets: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOB_TYPES)], schema=_BLOB_TYPES)
 
 
-_SHARED_TYPES = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+_SHARED_TYPES = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("token", pa.int64())])
 
 
 def _shared_in_bucket(blobs: pa.Table, step: int) -> pa.Table:
-    """Of one bucket: the tokens of each class that another class has too."""
+    """Of one bucket: a row for each class and token that another class has too."""
     token, cls, n, known = [], [], [], []
     for row in blobs.to_pylist():
         c, m = np.frombuffer(row["cls"], np.int64), np.frombuffer(row["n"], np.int32)
@@ -168,13 +168,11 @@ def _shared_in_bucket(blobs: pa.Table, step: int) -> pa.Table:
     if len(t):
         once = np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]
         t, c, m = t[once], c[once], m[once]
-    at = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(t)], pa.int32()), pa.array(signed(t.astype(np.uint64))))
-    return pa.Table.from_arrays([pa.array(c[at]), pa.array(m[at], pa.int32()), lists], schema=_SHARED_TYPES)
+    return pa.Table.from_arrays([pa.array(c), pa.array(m, pa.int32()), pa.array(signed(t.astype(np.uint64)))], schema=_SHARED_TYPES)
 
 
 def shared_tokens(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """``cls, n, tokens``: for each class its tokens that some other class has (arrays, in parts)."""
+    """``cls, n, token``: for each class its tokens that some other class has, a row each: their number doesn't depend on the number of buckets."""
 
     def run(batches):
         cls, sets, total, seen = [], [], 0, set()
@@ -194,7 +192,7 @@ def shared_tokens(docs: DataFrame, k: int, buckets: int) -> DataFrame:
 
     blobs = docs.select("text").mapInArrow(run, BLOB)
     step = _step(buckets)
-    return blobs.groupBy("bucket").applyInArrow(lambda blobs: _shared_in_bucket(blobs, step), "cls long, n int, tokens array<long>")
+    return blobs.groupBy("bucket").applyInArrow(lambda blobs: _shared_in_bucket(blobs, step), "cls long, n int, token long")
 
 
 def bucket_count(docs: DataFrame) -> int:
@@ -219,7 +217,7 @@ def _common(a: str, b: str, t_percent: int) -> str:
 def live_classes(docs: DataFrame, k: int, t_percent: int) -> DataFrame:
     """``cls, n, tokens, q``: classes that can have a link, their shared tokens and the length of their prefixes."""
     parts = shared_tokens(docs, k, bucket_count(docs))
-    live = parts.groupBy("cls", "n").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    live = parts.groupBy("cls", "n").agg(F.array_distinct(F.collect_list("token")).alias("tokens"))
     return live.withColumn("q", F.expr(f"size(tokens) - {_need(t_percent)} + 1")).where("q > 0")
 
 

@@ -109,3 +109,12 @@ def test_vectors_equal_brute_force(make, clashing):
 
 def test_no_vectors(make):
     assert vector_near_duplicates(make([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_rows_of_shared_tokens_do_not_grow_with_the_buckets(spark):
+    from newsloom.llm import ngram_join
+
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{words} tail{i}") for i in range(6)], "doc_id long, text string")
+    few, many = (sorted(ngram_join.shared_tokens(docs, 5, b).collect()) for b in (2, 64))
+    assert few == many and len(set(few)) == 6 * 56  # six classes share 56 shingles; a list per class and bucket before
