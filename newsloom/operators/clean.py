@@ -8,13 +8,15 @@ in order; no token list ever passes through the driver.
 
 from __future__ import annotations
 
+import functools
+import operator
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.session import spread
+from newsloom.session import spread, table_of
 
 
 def fill_title(df: DataFrame, value: str = "no_title", col: str = "title") -> DataFrame:
@@ -64,22 +66,39 @@ def lemma_map(tokens: DataFrame, vocab: DataFrame | None = None, rules=None) ->
 def lemmatize(df: DataFrame, key: Sequence[str], token_cols: dict, vocab: DataFrame | None = None) -> DataFrame:
     """Lemmatise token arrays; ``token_cols`` maps output column -> token array column.
 
-    Output: key..., one space-joined string per output column.
+    Output: key..., one space-joined string per output column. Rows with equal keys become one, their tokens in order of position.
+
+    The tokens are written to the shared folder while the query is built. Only the distinct tokens of a row that end like a
+    suffix rule meet the lemmas; each key gets the few lemmas it needs as a map, so tokens stay in their arrays.
     """
     k = list(key)
-    parts = []
-    for i, (out, src) in enumerate(token_cols.items()):
-        parts.append(df.select(*k, F.lit(i).alias("_f"), F.posexplode_outer(src).alias("_pos", "tok")))
-    ex = parts[0]
-    for p in parts[1:]:
-        ex = ex.unionByName(p)
-    lm = lemma_map(ex.filter(F.col("tok").isNotNull()), vocab)
-    joined = ex.join(lm, "tok", "left").withColumn("_lem", F.coalesce("lemma", "tok"))
-    aggs = []
-    for i, out in enumerate(token_cols):
-        items = F.collect_list(F.when((F.col("_f") == i) & F.col("_lem").isNotNull(), F.struct("_pos", "_lem")))
-        aggs.append(F.array_join(F.transform(F.array_sort(items), lambda s: s["_lem"]), " ").alias(out))
-    return joined.groupBy(*k).agg(*aggs)
+    cols = list(dict.fromkeys(token_cols.values()))
+    rows = table_of(df.select(*k, *cols), "tokens")
+    ends = [a for a, _ in text.NOUN_SUFFIX_RULES]
+    ends = [a for a in ends if not any(a != b and a.endswith(b) for b in ends)]
+
+    def bends(t: Column) -> Column:
+        return functools.reduce(operator.or_, (t.endswith(a) for a in ends))
+
+    every = F.concat(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in cols))
+    lm = lemma_map(rows.select(F.explode(every).alias("tok")).filter(F.col("tok").isNotNull()), vocab)
+    need = rows.select(*k, F.explode(F.array_distinct(F.filter(every, bends))).alias("tok"))
+    found = need.join(lm, "tok").groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(k))).agg(
+        F.map_from_entries(F.collect_set(F.struct("tok", "lemma"))).alias("_m"))
+    same = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(k)))
+    joined = rows.groupBy(*k).agg(F.collect_list(F.struct(*cols)).alias("_r")).join(found, same, "left")
+
+    def lemma(t: Column) -> Column:
+        return F.when(bends(t), F.coalesce(F.col("_m")[t], t)).otherwise(t)
+
+    def joined_lemmas(src: str) -> Column:
+        alone = F.transform(F.col("_r")[0][src], lemma)
+        several = F.flatten(F.transform("_r", lambda r: F.transform(
+            F.coalesce(r[src], F.array().cast("array<string>")), lambda t, i: F.struct(i.alias("_pos"), lemma(t).alias("_lem")))))
+        merged = F.transform(F.array_sort(F.filter(several, lambda e: e["_lem"].isNotNull())), lambda e: e["_lem"])
+        return F.coalesce(F.array_join(F.when(F.size("_r") == 1, alone).otherwise(merged), " "), F.lit(""))
+
+    return joined.select(*k, *(joined_lemmas(src).alias(out) for out, src in token_cols.items()))
 
 
 def preprocess(df: DataFrame, key: str = "doc_id", vocab: DataFrame | None = None) -> DataFrame:
