@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from typing import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +65,28 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20)
             spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system: objects no longer held, Arrow's pool and, where there is such a call, the allocator's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(fn):
+    """The generator function ``fn`` for Arrow batches, whose worker gives its memory back when it ends: the worker lives on beside those of later stages."""
+
+    @functools.wraps(fn)
+    def run(*args):
+        try:
+            yield from fn(*args)
+        finally:
+            give_back()
+
+    return run
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front until they differ from all columns of ``df`` in any case."""
     taken = {c.lower() for c in df.columns}

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import bounded_batches, query, table
+from newsloom.llm.base import bounded_batches, lean, query, table
 
 #: Bytes of text that share one pair index; a longer text has an index of its own.
 FLUSH_BYTES = 2 << 20
@@ -218,6 +218,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     bounded_batches(docs.sparkSession)
     spec = load(docs.sparkSession, path)
 
+    @lean
     def run(batches):
         bpe = WordBpe(spec.value)
         keys, texts, total = [], [], 0
@@ -247,6 +248,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` to ``doc_id, ids``."""
     spec = load(encoded.sparkSession, path)
 
+    @lean
     def run(batches):
         bpe = WordBpe(spec.value)
         for batch in batches:

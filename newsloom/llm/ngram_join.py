@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import bounded_batches, components, query, saved, table
+from newsloom.llm.base import bounded_batches, components, lean, query, saved, table
 from newsloom.llm.decontaminate import text_hash
 from newsloom.llm.words import mix, ngram_hash, sequence_hash, signed, words_of
 
 #: Bits of a token in the index; a doubly used value could only count one more common token in one pair.
 TOKEN_BITS = 56
 FLUSH_TOKENS, FLUSH_DOCS = 750_000, 60_000
+#: Postings of a bucket that are compared at a time.
+RANGE_TOKENS = 1 << 18
 NO_DOC = 0xFFFF
 #: Least count of a frequent token, and how many of them may be broadcast (16 bytes each).
 FREQUENT, MAX_FREQUENT = 32, 1_000_000
@@ -59,6 +61,7 @@ def fingerprint(tokens: np.ndarray) -> int:
 def set_classes(docs: DataFrame, k: int) -> DataFrame:
     """``doc_id, th, n_shingles, cls``: documents with equal sets have the same class; th is the text's hash."""
 
+    @lean
     def run(batches):
         for batch in batches:
             n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -140,40 +143,54 @@ def _blobs(cls: list, sets: list, buckets: int) -> Iterator[pa.RecordBatch]:
 _SHARED_TYPES = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("token", pa.int64())])
 
 
-def _shared_in_bucket(blobs: pa.Table, step: int) -> pa.Table:
-    """Of one bucket: a row for each class and token that another class has too."""
-    token, cls, n, known = [], [], [], []
-    for row in blobs.to_pylist():
+def _shared_in_bucket(blobs: list[dict], step: int) -> Iterator[pa.RecordBatch]:
+    """Of one bucket: a row for each class and token that another class has too, a range of tokens at a time."""
+    parts = {"open": [], "known": []}
+    while blobs:
+        row = blobs.pop()
         c, m = np.frombuffer(row["cls"], np.int64), np.frombuffer(row["n"], np.int32)
-        for kind in ("open", "known"):
+        for kind, part in parts.items():
             t, r = _unpack(row[f"{kind}_width"], row[kind], row[f"{kind}_ref"], row["bucket"] * step if kind == "open" else 0)
-            mark = r == NO_DOC
-            at = np.where(mark, 0, r)
-            token.append(t)
-            cls.append(np.where(mark, 0, c[at]) if len(c) else np.zeros(len(t), np.int64))
-            n.append(np.where(mark, 0, m[at]) if len(m) else np.zeros(len(t), np.int32))
-            known.append(np.full(len(t), kind == "known"))
-    token, cls, n, known = map(np.concatenate, (token, cls, n, known))
-    # the marks and open postings of a token decide; known postings need no decision
-    open_order = np.lexsort((cls[~known], token[~known]))
-    t, c, m = token[~known][open_order], cls[~known][open_order], n[~known][open_order]
-    first = np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])] if len(t) else np.zeros(0, bool)
-    t, c, m = t[first], c[first], m[first]
-    same = t[1:] == t[:-1]
-    shared = np.r_[False, same] | np.r_[same, False] if len(t) else np.zeros(0, bool)
-    keep = shared & (m > 0)
-    t, c, m = np.r_[t[keep], token[known]], np.r_[c[keep], cls[known]], np.r_[m[keep], n[known]]
-    order = np.lexsort((t, c))
-    t, c, m = t[order], c[order], m[order]
-    if len(t):
-        once = np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]
-        t, c, m = t[once], c[once], m[once]
-    return pa.Table.from_arrays([pa.array(c), pa.array(m, pa.int32()), pa.array(signed(t.astype(np.uint64)))], schema=_SHARED_TYPES)
+            if kind == "known":  # sorted by document so far
+                order = np.argsort(t, kind="stable")
+                t, r = t[order], r[order]
+            if len(t):
+                part.append((t, r.copy(), c, m))
+    for kind, part in parts.items():
+        if not part:
+            continue
+        low, high = min(int(t[0]) for t, *_ in part), max(int(t[-1]) for t, *_ in part)
+        ranges = max(1, sum(len(t) for t, *_ in part) // RANGE_TOKENS)
+        edges = [low + (high + 1 - low) * i // ranges for i in range(1, ranges)]
+        cuts = [np.r_[0, np.searchsorted(t, np.array(edges, np.uint64)), len(t)] for t, *_ in part]
+        for i in range(ranges):
+            token, cls, n = [], [], []
+            for (t, r, c, m), cut in zip(part, cuts):
+                t, r = t[cut[i]:cut[i + 1]], r[cut[i]:cut[i + 1]]
+                mark = r == NO_DOC
+                at = np.where(mark, 0, r)
+                token.append(t)
+                cls.append(np.where(mark, 0, c[at]) if len(c) else np.zeros(len(t), np.int64))
+                n.append(np.where(mark, 0, m[at]) if len(m) else np.zeros(len(t), np.int32))
+            t, c, m = map(np.concatenate, (token, cls, n))
+            del token, cls, n
+            order = np.lexsort((m, c, t))
+            t, c, m = t[order], c[order], m[order]
+            once = np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1]) | ((m[1:] > 0) != (m[:-1] > 0))] if len(t) else np.zeros(0, bool)
+            t, c, m = t[once], c[once], m[once]
+            if kind == "open":  # the marks and open postings of a token decide; known postings need no decision
+                same = t[1:] == t[:-1]
+                keep = (np.r_[False, same] | np.r_[same, False] if len(t) else np.zeros(0, bool)) & (m > 0)
+                t, c, m = t[keep], c[keep], m[keep]
+            if len(t):
+                order = np.argsort(c, kind="stable")
+                yield pa.RecordBatch.from_arrays([pa.array(c[order]), pa.array(m[order], pa.int32()), pa.array(signed(t[order]))], schema=_SHARED_TYPES)
 
 
 def shared_tokens(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     """``cls, n, token``: for each class its tokens that some other class has, a row each: their number doesn't depend on the number of buckets."""
 
+    @lean
     def run(batches):
         cls, sets, total, seen = [], [], 0, set()
         for batch in batches:
@@ -192,7 +209,11 @@ def shared_tokens(docs: DataFrame, k: int, buckets: int) -> DataFrame:
 
     blobs = docs.select("text").mapInArrow(run, BLOB)
     step = _step(buckets)
-    return blobs.groupBy("bucket").applyInArrow(lambda blobs: _shared_in_bucket(blobs, step), "cls long, n int, token long")
+
+    def of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from lean(_shared_in_bucket)([row for batch in batches for row in batch.to_pylist()], step)
+
+    return blobs.groupBy("bucket").applyInArrow(of_bucket, "cls long, n int, token long")
 
 
 def bucket_count(docs: DataFrame) -> int:
@@ -245,6 +266,7 @@ def prefixes(live: DataFrame) -> DataFrame:
     """
     frequent = live.sparkSession.sparkContext.broadcast(frequent_tokens(live))
 
+    @lean
     def run(batches):
         token, df = frequent.value
         for batch in batches:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import bounded_batches, query, saved, table
+from newsloom.llm.base import bounded_batches, lean, query, saved, table
 from newsloom.llm.decontaminate import text_hash
 from newsloom.llm.words import _STEP, mix, signed, words_of
 
@@ -42,6 +42,7 @@ def _grams(hashes: np.ndarray, first: np.ndarray):
 def ngram_rows(docs: DataFrame) -> DataFrame:
     """``c, b, bc, ab, abc``: a row for each word of ``docs(text)``."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for w in words_of(batch.column("text")):
@@ -121,6 +122,7 @@ def log_probabilities(model: dict, grams) -> np.ndarray:
 def perplexities(docs: DataFrame, model) -> DataFrame:
     """``doc_id, th, lang, n_words, perplexity`` of every row, over its whole text; null where there is no word. th is the text's hash."""
 
+    @lean
     def run(batches):
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
