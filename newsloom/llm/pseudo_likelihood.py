@@ -169,42 +169,78 @@ def forward(params: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.n
     return h, logit - np.log(np.exp(logit).sum(axis=1, keepdims=True))
 
 
+def _room(n: int) -> tuple[np.ndarray, ...]:
+    """Arrays for ``n`` rows, which the steps fill again and again: two hidden layers, logits with a class to a row, a number for each row."""
+    return np.empty((n, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32), np.empty((CLASSES, n), np.float32), np.empty(n, np.float32)
+
+
+def _logits(side: np.ndarray, b1: np.ndarray, out: np.ndarray, b2: np.ndarray, at: np.ndarray, room) -> None:
+    """Hidden layer and logits, less their maximum, of rows whose contexts are the rows ``at[k]`` of ``side``: the hidden layer adds up rows of weights."""
+    h, more, d, line = room
+    side.take(at[0], axis=0, out=h, mode="clip")
+    for k in range(1, 2 * SIDE):
+        h += side.take(at[k], axis=0, out=more, mode="clip")
+    h += b1
+    np.tanh(h, out=h)
+    np.dot(out.T, h.T, out=d)
+    d += b2[:, None]
+    d -= np.max(d, axis=0, out=line)
+
+
+def target_log(params: list[np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log-probability of each row's own class: ``forward`` without the other classes' logarithms."""
+    side, b1, out, b2 = params
+    side, got = side.reshape(-1, HIDDEN), np.empty(len(ctx))
+    at = ctx.T.astype(np.intp, order="C")
+    at += np.arange(2 * SIDE)[:, None] * (CLASSES + 1)
+    for i in range(0, len(ctx), BATCH):
+        kind = target[i:i + BATCH].astype(np.intp)
+        n = len(kind)
+        if not i or n < BATCH:
+            room, column = _room(n), np.arange(n)
+        _logits(side, b1, out, b2, at[:, i:i + BATCH], room)
+        d, line = room[2:]
+        own = d.ravel()[kind * n + column]
+        np.exp(d, out=d)
+        got[i:i + BATCH] = own - np.log(np.sum(d, axis=0, out=line))
+    return got
+
+
 def train_part(state: np.ndarray, rows: np.ndarray, rate: float = 0.05, seed: int = 0) -> np.ndarray:
     """One pass of Adagrad over the windows of a part, from the given state."""
     state, rows = state.copy(), np.ascontiguousarray(rows)  # take() copies all of an array in any other order, each time
     grad, step, grad2 = np.empty_like(state), np.empty_like(state), np.full_like(state, 1e-6)
     side, b1, out, b2 = unpack(state)
     g_side, g_b1, g_out, g_b2 = unpack(grad)
-    # contexts as one-hot rows, so that both directions are one product each
     width = 2 * SIDE * (CLASSES + 1)
     side, g_side = side.reshape(width, HIDDEN), g_side.reshape(width, HIDDEN)
-    hot = np.zeros((BATCH, width), np.float32)
-    shift = np.arange(2 * SIDE) * (CLASSES + 1) + np.arange(BATCH)[:, None] * width
-    target = np.arange(BATCH) * CLASSES
+    # the way back is a product with one-hot columns; logits stand a class to a row, so that sums and maxima run along whole rows
     order = np.random.default_rng(seed).permutation(len(rows))
+    at = rows.take(order, axis=0).T.astype(np.intp, order="C")
+    at[:-1] += np.arange(2 * SIDE)[:, None] * (CLASSES + 1)
     for i in range(0, len(rows), BATCH):
-        part = rows.take(order[i:i + BATCH], axis=0)
-        n = len(part)
-        ones = part[:, :-1] + shift[:n]
-        hot.ravel()[ones] = 1
-        x = hot[:n]
-        h = x @ side
-        h += b1
-        np.tanh(h, out=h)
-        d = h @ out
-        d += b2
-        d -= d.max(axis=1, keepdims=True)
+        ctx, target = at[:-1, i:i + BATCH], at[-1, i:i + BATCH]
+        n = len(target)
+        if not i or n < BATCH:
+            room, dz, hot, column = _room(n), np.empty((n, HIDDEN), np.float32), np.zeros((width, n), np.float32), np.arange(n)
+        h, more, d, line = room
+        _logits(side, b1, out, b2, ctx, room)
         np.exp(d, out=d)
-        d /= d.sum(axis=1, keepdims=True)
-        d.ravel()[target[:n] + part[:, -1]] -= 1
-        d *= np.float32(1 / n)
-        dz = d @ out.T
-        dz *= 1 - h * h
-        np.dot(x.T, dz, out=g_side)
-        np.dot(h.T, d, out=g_out)
-        np.sum(dz, axis=0, out=g_b1)
-        np.sum(d, axis=0, out=g_b2)
+        np.sum(d, axis=0, out=line)
+        np.divide(np.float32(1 / n), line, out=line)
+        d *= line
+        d.ravel()[target * n + column] -= np.float32(1 / n)
+        np.dot(d.T, out.T, out=dz)
+        np.multiply(h, h, out=more)
+        np.subtract(1, more, out=more)
+        dz *= more
+        ones = ctx * n + column
+        hot.ravel()[ones] = 1
+        np.dot(hot, dz, out=g_side)
         hot.ravel()[ones] = 0
+        g_out[:] = np.dot(d, h).T
+        np.sum(dz, axis=0, out=g_b1)
+        np.sum(d, axis=1, out=g_b2)
         np.multiply(grad, grad, out=step)
         grad2 += step
         np.sqrt(grad2, out=step)
@@ -263,9 +299,7 @@ def score(docs: DataFrame, model) -> DataFrame:
             for w in words_of(batch.column("text")):
                 y, logp, known = _look(vocabulary, w.hash)
                 logp, ctx = logp.astype(np.float64), windows(y, w.first)
-                for i in range(0, len(y), 4096):
-                    part = forward(params, ctx[i:i + 4096])[1]
-                    logp[i:i + 4096] += part[np.arange(len(part)), y[i:i + 4096]]
+                logp += target_log(params, ctx, y)
                 sums, unknown = np.r_[0, np.cumsum(logp)], np.r_[0, np.cumsum(~known)]
                 n[w.rows], total[w.rows] = w.counts, sums[w.first[1:]] - sums[w.first[:-1]]
                 rare.append(w.hash[~known])

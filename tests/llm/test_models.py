@@ -256,3 +256,36 @@ def test_repair_of_tables_with_a_conversation_over_many_partitions(spark, make,
         way = chat.solve(roles)
         assert sum(r.cost for r in turns) == sum(m[0] for m in way) + chat.END[way[-1][1]][0]
     assert chat.repair(make([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def _plain_training(state, rows, rate, seed):
+    """Adagrad as written in a text book, in double precision, with a one-hot matrix of the contexts."""
+    p = pseudo_likelihood
+    state = state.astype(np.float64)
+    sums = np.full_like(state, 1e-6)
+    order = np.random.default_rng(seed).permutation(len(rows))
+    for i in range(0, len(rows), p.BATCH):
+        part = rows[order[i:i + p.BATCH]].astype(int)
+        side, b1, out, b2 = p.unpack(state)
+        x = np.eye(p.CLASSES + 1)[part[:, :-1]]
+        h = np.tanh(np.einsum("nkc,kch->nh", x, side) + b1)
+        e = np.exp(h @ out + b2)
+        d = (e / e.sum(axis=1, keepdims=True) - np.eye(p.CLASSES)[part[:, -1]]) / len(part)
+        dz = d @ out.T * (1 - h * h)
+        grad = np.concatenate([g.ravel() for g in (np.einsum("nkc,nh->kch", x, dz), dz.sum(axis=0), h.T @ d, d.sum(axis=0))])
+        sums += grad * grad
+        state = state - rate * grad / np.sqrt(sums)
+    return state
+
+
+def test_training_and_scoring_equal_plain_ones():
+    p = pseudo_likelihood
+    rng = np.random.default_rng(8)
+    for n in (1, p.BATCH, 2 * p.BATCH + 77):
+        rows = np.column_stack([rng.integers(0, p.CLASSES + 1, (n, 2 * p.SIDE)), rng.integers(0, p.CLASSES, n)]).astype(np.uint8)
+        state = p.train_part(p.start_state(), rows, 0.05, 3)
+        assert np.allclose(state, _plain_training(p.start_state(), rows, 0.05, 3), atol=2e-4)
+        params = p.unpack(state)
+        own = p.target_log(params, rows[:, :-1], rows[:, -1])
+        assert np.allclose(own, p.forward(params, rows[:, :-1])[1][np.arange(n), rows[:, -1]], atol=1e-5)
+    assert len(p.target_log(params, rows[:0, :-1], rows[:0, -1])) == 0
