@@ -1,54 +1,66 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Counts, continuation counts and context sums are grouped and joined in Spark, sharded by the hashes of the n-grams. The model comes from a
-bounded sample of trusted documents, so its tables are bounded and go to the tasks as sorted shards, where the n-grams of every document are
-joined with them. A document is rejected when its perplexity is above a quantile of trusted documents of its language that weren't sampled.
+Counts, continuation counts and context sums of all trusted documents of the training half are grouped and joined in Spark. The
+logarithm of a probability is a sum of one value for each word, pair and triple: the model is a table of such values by n-gram hash. It
+stays in the shared folder, is dealt by ranges of hashes and meets the n-grams of all documents there, so no task holds all of it.
+A document is rejected when its perplexity is above a quantile of the trusted documents of its language that weren't trained on.
 """
 
 from __future__ import annotations
 
+import uuid
+from typing import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import bounded_batches, lean, query, saved, table
+from newsloom.llm.base import bounded_batches, lean, query, saved, shared_folder, table
 from newsloom.llm.decontaminate import text_hash
 from newsloom.llm.words import _STEP, mix, signed, words_of
 
-#: Trusted documents that the model is trained on at most (those with the lowest hash of doc_id).
-MAX_TRUSTED = 2000
 #: Share of trusted documents of a language that lie below its threshold.
 QUANTILE = 0.99
 START = np.uint64(0x51A2C3D4E5F60718)
+#: Values of the model are whole multiples of 1 / UNIT, so sums don't depend on their order.
+UNIT = 1 << 24
+#: Words that a task packs at a time, bytes of text for each range of hashes, and the mark of a document's last word and pair.
+PACK_WORDS, RANGE_BYTES, LAST = 1 << 20, 32 << 20, np.uint16(1 << 15)
 
 
-def _grams(hashes: np.ndarray, first: np.ndarray):
-    """Per word: its hash, the one before, and hashes of the pair, the pair before and the triple; documents begin with START, START."""
-    n = len(hashes)
-    b = np.full(n, START, np.uint64)
+def _before(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes two and one before each word; documents begin with START, START."""
+    b = np.full(len(hashes), START, np.uint64)
     a = b.copy()
     b[1:] = hashes[:-1]
     a[2:] = hashes[:-2]
     head = first[:-1][np.diff(first) > 0]
     b[head] = START
     a[head] = START
-    second = first[:-1][np.diff(first) > 1] + 1
-    a[second] = START
-    pair = lambda x, y: mix(x * _STEP[0] + y * _STEP[1] + np.uint64(2))
-    return hashes, b, pair(b, hashes), pair(a, b), mix(a * _STEP[0] + b * _STEP[1] + hashes * _STEP[2] + np.uint64(3))
+    a[first[:-1][np.diff(first) > 1] + 1] = START
+    return a, b
+
+
+def _pair(b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(b * _STEP[0] + c * _STEP[1] + np.uint64(2))
+
+
+def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(a * _STEP[0] + b * _STEP[1] + c * _STEP[2] + np.uint64(3))
 
 
 def ngram_rows(docs: DataFrame) -> DataFrame:
-    """``c, b, bc, ab, abc``: a row for each word of ``docs(text)``."""
+    """``a, b, c``: a row for each word of ``docs(text)``, with the hashes of the two before it."""
 
     @lean
     def run(batches):
         for batch in batches:
             for w in words_of(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in _grams(w.hash, w.first)], names=["c", "b", "bc", "ab", "abc"])
+                a, b = _before(w.hash, w.first)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(x)) for x in (a, b, w.hash)], names=["a", "b", "c"])
 
-    return docs.select("text").mapInArrow(run, "c long, b long, bc long, ab long, abc long")
+    return docs.select("text").mapInArrow(run, "a long, b long, c long")
 
 
 def discounts(counts: DataFrame, n: str) -> tuple[float, float, float]:
@@ -66,92 +78,211 @@ def _discount(n: str, d: tuple[float, float, float]):
     return F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
 
 
-def _contexts(counts: DataFrame, key: str, n: str, d: tuple[float, float, float]) -> DataFrame:
-    """``key, total, gamma``: sum of the counts of a context and the weight of its lower order."""
-    return counts.groupBy(key).agg(F.sum(n).alias("total"), F.sum(_discount(n, d)).alias("left")).select(key, "total", (F.col("left") / F.col("total")).alias("gamma"))
+def _contexts(counts: DataFrame, keys: list[str], d: tuple[float, float, float]) -> DataFrame:
+    """``keys..., total, gamma``: sum of the counts of a context and the weight of its lower order."""
+    return counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.sum(_discount("n", d)).alias("left")).select(*keys, "total", (F.col("left") / F.col("total")).alias("gamma"))
+
+
+def _units(c):
+    return F.round(F.coalesce(c, F.lit(0.0)) * UNIT).cast("int")
+
 
+def _keyed(df: DataFrame, hashed) -> DataFrame:
+    """``k, v, g`` of ``df(words..., v, g)``: the words' hashes become the n-gram's."""
+    words = df.columns[:-2]
 
-def train(trusted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Model tables by key hash: probabilities ``p1, p2, p3`` of seen n-grams and weights ``g2, g3`` of seen contexts."""
-    c3 = saved(ngram_rows(trusted).groupBy("abc", "ab", "bc", "b", "c").agg(F.count(F.lit(1)).alias("n")))
-    c2 = saved(c3.groupBy("bc", "b", "c").agg(F.count(F.lit(1)).alias("n")))
+    @lean
+    def run(batches):
+        for batch in batches:
+            k = hashed(*(np.asarray(batch.column(w)).view(np.uint64) for w in words))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(k)), batch.column("v"), batch.column("g")], names=["k", "v", "g"])
+
+    return df.mapInArrow(run, "k long, v int, g int")
+
+
+def train(trusted: DataFrame) -> dict:
+    """The model of all rows of ``trusted(text)``: ``path`` of its table ``k, v, g`` in the shared folder, ``unknown`` and ``start``.
+
+    log p(c | a, b) is ``unknown`` plus v of the word c, the pair (b, c) and the triple (a, b, c) plus g of the contexts b and (a, b); n-grams
+    that aren't in the table add nothing. v is the logarithm of an n-gram's probability less those of its lower order and its
+    context's weight, g is the logarithm of that weight, both in 1 / UNIT. ``start``: g of the contexts before a document's first word.
+    """
+    spark = trusted.sparkSession
+    c3 = saved(ngram_rows(trusted).groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")))
+    c2 = saved(c3.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")))
     c1 = saved(c2.groupBy("c").agg(F.count(F.lit(1)).alias("n")))
     d3, d2, d1 = (discounts(c, "n") for c in (c3, c2, c1))
     total, kinds, left = c1.agg(F.sum("n"), F.count(F.lit(1)), F.sum(_discount("n", d1))).first()
     total, left = total or 1, left or 1.0
     unknown = float(left) / total / (kinds + 1)
-    x2, x3 = _contexts(c2, "b", "n", d2), _contexts(c3, "ab", "n", d3)
+    x2, x3 = _contexts(c2, ["b"], d2), saved(_contexts(c3, ["a", "b"], d3))
     p1 = c1.select("c", ((F.col("n") - _discount("n", d1)) / F.lit(total) + F.lit(unknown)).alias("p1"))
-    p2 = saved(c2.join(x2, "b").join(p1, "c").select("bc", ((F.col("n") - _discount("n", d2)) / F.col("total") + F.col("gamma") * F.col("p1")).alias("p2")))
-    p3 = c3.join(x3, "ab").join(p2, "bc").select("abc", ((F.col("n") - _discount("n", d3)) / F.col("total") + F.col("gamma") * F.col("p2")).alias("p3"))
+    # above the lower order: p / (gamma * lower) is 1 + more / lower
+    more = lambda d: (F.col("n") - _discount("n", d)) / F.col("total") / F.col("gamma")
+    pairs = c2.join(x2, "b").join(p1, "c")
+    p2 = saved(pairs.select("b", "c", (F.col("gamma") * (F.col("p1") + more(d2))).alias("p2"), _units(F.log1p(more(d2) / F.col("p1"))).alias("v")))
+    word = p1.join(x2.withColumnRenamed("b", "c"), "c", "left").select("c", _units(F.log(F.col("p1") / F.lit(unknown))).alias("v"), _units(F.log("gamma")).alias("g"))
+    pair = p2.join(x3.select(F.col("a").alias("b"), F.col("b").alias("c"), "gamma"), ["b", "c"], "left").select("b", "c", "v", _units(F.log("gamma")).alias("g"))
+    triple = c3.join(x3, ["a", "b"]).join(p2.drop("v"), ["b", "c"]).select("a", "b", "c", _units(F.log1p(more(d3) / F.col("p2"))).alias("v"), F.lit(0).alias("g"))
+    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    _keyed(word, lambda c: c).union(_keyed(pair, _pair)).union(_keyed(triple, _triple)).write.parquet(path)
+    first = int(START.view(np.int64))
+    heads = x2.where(F.col("b") == first).select("gamma").union(x3.where((F.col("a") == first) & (F.col("b") == first)).select("gamma"))
+    return {"path": path, "unknown": float(np.log(unknown)), "start": float(sum(np.log(r.gamma) for r in heads.collect()))}
+
+
+_PACKED = "part int, keys binary, times binary, docs binary, ids binary, v binary, g binary"
+
+
+def _packed_keys(keys: np.ndarray) -> tuple[int, bytes]:
+    """Sorted keys as their differences, in the bytes that the largest needs."""
+    step = np.diff(keys, prepend=np.uint64(0)) if len(keys) else keys
+    width = max(1, (int(step[1:].max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + keys[:1].tobytes() + step[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    width = data[0]
+    step = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    step[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(np.r_[np.frombuffer(data, "<u8", 1, 1), step.view("<u8")[:, 0]], dtype=np.uint64)
+
+
+def _requests(docs: DataFrame, bits: int) -> DataFrame:
+    """The n-grams of ``docs(id, text)``, packed for each range of hashes: sorted keys, how often each stands there, in which documents."""
+
+    def pack(words):
+        ids, keys, where, base = [], [], [], 0
+        for own, w in words:
+            n = np.repeat(np.arange(len(w.counts)), w.counts)
+            end = np.zeros(len(n), np.uint16)
+            end[w.first[1:][w.counts > 0] - 1] = LAST
+            a, b = _before(w.hash, w.first)
+            keys += [w.hash, _pair(b, w.hash), _triple(a, b, w.hash)]
+            at = (base + n).astype(np.uint16)
+            where += [at | end, at | end, at]
+            ids.append(own)
+            base += len(own)
+        ids, keys, where = np.concatenate(ids), np.concatenate(keys), np.concatenate(where)
+        order = np.argsort(keys, kind="stable")
+        keys, where = keys[order], where[order]
+        cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        for part in range(1 << bits):
+            k, at = keys[cuts[part]:cuts[part + 1]], where[cuts[part]:cuts[part + 1]]
+            if not len(k):
+                continue
+            new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            used = np.unique(at & ~LAST)
+            at = np.searchsorted(used, at & ~LAST).astype(np.uint16) | (at & LAST)
+            times = np.diff(np.r_[new, len(k)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (
+                _packed_keys(k[new]), times.tobytes(), at.tobytes(), ids[used].tobytes(), None, None))], names=_NAMES)
 
-    def shard(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        rows = df.toDF("k", "v").select("k", F.log("v").cast("float").alias("v")).toArrow()
-        k, v = np.asarray(rows["k"]).view(np.uint64), np.asarray(rows["v"])
-        order = np.argsort(k)
-        return k[order], v[order]
+    @lean
+    def run(batches):
+        held, size, rows = [], 0, 0
+        for batch in batches:
+            id_ = np.asarray(batch.column("id"))
+            for w in words_of(batch.column("text")):
+                more = w.rows.stop - w.rows.start
+                if held and (size + len(w.hash) > PACK_WORDS or rows + more >= int(LAST)):
+                    yield from pack(held)
+                    held, size, rows = [], 0, 0
+                held.append((id_[w.rows], w))
+                size, rows = size + len(w.hash), rows + more
+        if held:
+            yield from pack(held)
+
+    return docs.mapInArrow(run, _PACKED)
+
+
+_NAMES = [x.split()[0] for x in _PACKED.split(", ")]
 
-    return {"p1": shard(p1), "p2": shard(p2), "p3": shard(p3), "g2": shard(x2.select("b", "gamma")), "g3": shard(x3.select("ab", "gamma")),
-            "unknown": (np.zeros(1, np.uint64), np.array([np.log(unknown)], np.float32))}
 
+def _answers(model: DataFrame, docs: DataFrame, bits: int) -> DataFrame:
+    """``id, units``: parts of the sums of the model's values of ``docs(id, text)``. Model and n-grams meet by ranges of hashes."""
 
-def _look(shard: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(found, value) of each key."""
-    k, v = shard
-    if not len(k):
-        return np.zeros(len(key), bool), np.zeros(len(key), np.float32)
-    at = np.minimum(np.searchsorted(k, key), len(k) - 1)
-    hit = k[at] == key
-    return hit, np.where(hit, v[at], np.float32(0))
+    @lean
+    def deal(batches):
+        for batch in batches:
+            k = np.asarray(batch.column("k")).view(np.uint64)
+            order = np.argsort(k)
+            k, v, g = k[order], np.asarray(batch.column("v"))[order], np.asarray(batch.column("g"))[order]
+            cuts = np.searchsorted(k >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            for part in np.flatnonzero(np.diff(cuts)):
+                x = slice(cuts[part], cuts[part + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([y], pa.binary()) for y in (
+                    _packed_keys(k[x]), None, None, None, v[x].tobytes(), g[x].tobytes()))], names=_NAMES)
+
+    def look(batches):
+        asked, known = [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                (asked if r["v"] is None else known).append(r)
+        k = np.concatenate([_unpacked_keys(r["keys"]) for r in known] or [np.zeros(0, np.uint64)])
+        v, g = (np.concatenate([np.frombuffer(r[x], np.int32) for r in known] or [np.zeros(0, np.int32)]) for x in "vg")
+        del known
+        order = np.argsort(k)
+        k, v, g = k[order], v[order], g[order]
+        if not len(k):
+            return
+        for r in asked:
+            key, times, docs_, ids = _unpacked_keys(r["keys"]), *(np.frombuffer(r[x], t) for x, t in (("times", np.int32), ("docs", np.uint16), ("ids", np.int64)))
+            at = np.minimum(np.searchsorted(k, key), len(k) - 1)
+            hit = k[at] == key
+            own, context = (np.repeat(np.where(hit, x[at], 0), times) for x in (v, g))
+            units = np.zeros(len(ids), np.int64)
+            np.add.at(units, docs_ & ~LAST, own + np.where(docs_ & LAST, 0, context).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(units)], names=["id", "units"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return lean(look)(batches)
 
-def log_probabilities(model: dict, grams) -> np.ndarray:
-    """Interpolated log-probability of each word: seen n-grams have it stored, others take their context's weight times the lower order."""
-    c, b, bc, ab, abc = grams
-    hit, p = _look(model["p1"], c)
-    p = np.where(hit, p, model["unknown"][1][0])
-    hit2, p2 = _look(model["p2"], bc)
-    p = np.where(hit2, p2, p + _look(model["g2"], b)[1])
-    hit3 = np.zeros(len(c), bool)
-    p3 = np.zeros(len(c), np.float32)
-    at = np.flatnonzero(hit2)  # a seen triple ends with a seen pair
-    hit3[at], p3[at] = _look(model["p3"], abc[at])
-    return np.where(hit3, p3, p + _look(model["g3"], ab)[1])
+    rows = model.repartition(F.expr(f"shiftrightunsigned(k, {64 - bits})")).mapInArrow(deal, _PACKED).union(_requests(docs, bits))
+    return rows.groupBy("part").applyInArrow(run, "id long, units long")
 
 
 def perplexities(docs: DataFrame, model) -> DataFrame:
     """``doc_id, th, lang, n_words, perplexity`` of every row, over its whole text; null where there is no word. th is the text's hash."""
+    spark, m = docs.sparkSession, model.value
 
     @lean
-    def run(batches):
+    def count(batches):
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            n = np.zeros(batch.num_rows, np.int64)
             for w in words_of(batch.column("text")):
-                if len(w.hash):
-                    run_sum = np.r_[0, np.cumsum(log_probabilities(model.value, _grams(w.hash, w.first)), dtype=np.float64)]
-                    n[w.rows], total[w.rows] = w.counts, np.diff(run_sum[w.first])
-            ppl = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), batch.column("lang"), pa.array(n), ppl], names=["doc_id", "th", "lang", "n_words", "perplexity"])
-
-    rows = docs.select("doc_id", text_hash().alias("th"), "lang", "text")
-    return rows.mapInArrow(run, "doc_id long, th long, lang string, n_words long, perplexity double")
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_trusted: int = MAX_TRUSTED, hashed: bool = False) -> DataFrame:
+                n[w.rows] = w.counts
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "th", "lang", "id")), pa.array(n)], names=["doc_id", "th", "lang", "id", "n_words"])
+
+    # equal rows share an id, and each takes its part of their sum
+    rows = docs.select("doc_id", text_hash().alias("th"), "lang", "text").withColumn("id", F.xxhash64("doc_id", "th"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(1, int(max(2 * spark.sparkContext.defaultParallelism, size / RANGE_BYTES) - 1).bit_length())
+    sums = _answers(spark.read.schema("k long, v int, g int").parquet(m["path"]), rows.select("id", "text"), bits).groupBy("id").agg(F.sum("units").alias("units"))
+    counted = saved(rows.mapInArrow(count, "doc_id long, th long, lang string, id long, n_words long"))
+    same = counted.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    each = F.coalesce(F.col("units") / F.col("rows"), F.lit(0.0)) / UNIT + F.lit(m["start"])
+    perplexity = F.when(F.col("n_words") > 0, F.exp(-(each / F.col("n_words") + F.lit(m["unknown"]))))
+    return counted.join(same, "id").join(sums, "id", "left").select("doc_id", "th", "lang", "n_words", perplexity.alias("perplexity"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_trusted: int | None = None, hashed: bool = False) -> DataFrame:
     """``doc_id, lang, n_words, perplexity, threshold, kept`` of every row of ``docs(doc_id, text, lang)``; with ``hashed``, also its text's hash ``th``.
 
     Trusted: doc_ids whose labels all have quality 1. A row is kept when its perplexity is at most the threshold of its language; a language
     (null is one) without trusted rows takes the threshold over all languages, and without any trusted row everything with a word is
-    kept. Null and empty texts have no perplexity and aren't kept. Repeated rows have equal results; other columns are ignored.
+    kept. The model is trained on all of a half of the trusted documents, or with ``max_trusted`` on so many of it at most.
+    Null and empty texts have no perplexity and aren't kept. Repeated rows have equal results; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     trusted = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    # half of the trusted documents at most are trained on, so that some are left for the thresholds
-    sample = saved(trusted.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted))
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.join(F.broadcast(sample), "doc_id", "left_semi")))
+    # all of one half of the trusted documents are trained on, all of the other half give the thresholds
+    half = trusted.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0)
+    half = saved(half if max_trusted is None else half.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs.join(half, "doc_id", "left_semi")))
     scored = saved(perplexities(docs, model))
     model.unpersist()
-    held = scored.join(trusted, "doc_id", "left_semi").join(F.broadcast(sample), "doc_id", "left_anti").where("perplexity IS NOT NULL")
+    held = scored.join(trusted, "doc_id", "left_semi").join(half, "doc_id", "left_anti").where("perplexity IS NOT NULL")
     cut = F.percentile_approx("perplexity", quantile, 10_000)
     overall = saved(held.agg(cut.alias("t"))).first()[0]
     by_lang = held.groupBy("lang").agg(cut.alias("threshold")).withColumnRenamed("lang", "_lang")

@@ -289,3 +289,22 @@ def test_training_and_scoring_equal_plain_ones():
         own = p.target_log(params, rows[:, :-1], rows[:, -1])
         assert np.allclose(own, p.forward(params, rows[:, :-1])[1][np.arange(n), rows[:, -1]], atol=1e-5)
     assert len(p.target_log(params, rows[:0, :-1], rows[:0, -1])) == 0
+
+
+def test_classifier_trains_on_every_trusted_document_of_its_half(make, monkeypatch):
+    seen, train = [], quality.train
+
+    def counted(trusted):
+        seen.append(trusted.count())
+        return train(trusted)
+
+    monkeypatch.setattr(quality, "train", counted)
+    rows = [(i, f"a b w{i % 9}", "en") for i in range(5200)]
+    got = quality.classify(make(rows, DOCS), make([(i, 1, 0) for i in range(5200)], "doc_id long, quality int, toxic int"))
+    assert got.count() == 5200 and 2400 < seen[0] < 2800  # 2,000 at most before
+
+
+def test_packed_keys_come_back():
+    import numpy as np
+    for keys in ([0], [5, 6, 2**63, 2**64 - 1], list(range(7, 900, 3))):
+        assert quality._unpacked_keys(quality._packed_keys(np.array(keys, np.uint64))).tolist() == keys
