@@ -69,3 +69,12 @@ def test_empty_null_and_unequal_input(spark):
     assert _found(features.tfidf_cosine(spark.createDataFrame(rows, schema), 0.5)) == {(-3, 2 ** 40): 1.0}
     with pytest.raises(ValueError):
         features.tfidf_cosine(spark.createDataFrame([], schema), 0.0)
+
+
+def test_vectors_have_few_copies_while_blocks_can_grow(spark):
+    """120 documents that are all candidates of each other, 12 blocks of 10: a vector has a copy for each of 4 blocks, not of 12."""
+    ids = range(120)
+    packed = spark.createDataFrame([(i, [1], [1.0]) for i in ids], "id long, h array<long>, w array<double>")
+    cand = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "id1 long, id2 long")
+    sides, vectors = features._block_sides(packed, cand, 10)
+    assert sides.count() == 120 * 119 // 2 and vectors.count() <= 4 * 120
