@@ -150,3 +150,39 @@ def test_lsh_pairs_are_those_of_a_common_bucket_without_a_join_of_buckets(spark)
     want = {(r[0], r[1]): 1 - r.d * r.d / 2 for r in j.select("datasetA.id", "datasetB.id", "d").collect()}
     assert got.keys() == want.keys() and all(abs(got[p] - w) < 1e-9 for p, w in want.items())
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pair_metrics_have_few_copies_and_small_results(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    X = np.round(rng.normal(size=(70, 5)), 1)
+    vecs = _vecs(spark, list(enumerate(X)))
+    made = []
+    blocks = V.block_pairs
+    monkeypatch.setattr(V, "block_pairs", lambda *a, **k: made.append(blocks(*a, **k)) or made[-1])
+    run = lambda: {(r.document_1, r.document_2): [round(r[m], 6) for m in METRICS] for r in V.pair_metrics(vecs, block_rows=2).collect()}
+    got = run()
+    # blocks grow before their number does: 35 of 2 rows would be 35 copies of each
+    assert len(got) == 70 * 70 and made[0].count() <= 70 * V.FEW_BLOCKS
+    monkeypatch.setattr(V, "METRIC_ROWS", 3)
+    monkeypatch.setattr(V, "SIGN_COLUMNS", 4)
+    assert run() == got and all(got[j, i] == v for (i, j), v in got.items())
+
+
+def test_a_pair_metrics_task_yields_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(V, "METRIC_ROWS", 10)
+    kept = {}
+    monkeypatch.setattr(V, "per_block_pair", lambda rep, keys, fields, fn: kept.update(fn=fn) or spark.createDataFrame([], "_g int, " + ", ".join(f"{n} {t.simpleString()}" for n, t in fields)))
+    V.pair_metrics(_vecs(spark, [(0, [1, 2])]))
+    X = np.random.default_rng(2).normal(size=(35, 4))
+    sizes = [len(cols[0]) for cols in kept["fn"](np.arange(35), X, np.arange(35), X, True)]
+    assert sum(sizes) == 35 * 35 and max(sizes) <= 100
+
+
+def test_all_pairs_come_from_one_product(spark):
+    from newsloom.plans import registry
+
+    registry.load_all()
+    df = registry.QUERIES["j05_all_pairs"](spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    assert df.count() == n * n and df.select("id1", "id2").distinct().count() == n * n
