@@ -11,6 +11,7 @@ from typing import NamedTuple, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ from newsloom.session import table_of
 PLACES = 9
 #: Edges of a merge tree that one task orders by itself.
 LOCAL_EDGES = 50_000
+#: Clusters of a tree that one task walks by itself; a larger tree is walked by levels.
+LOCAL_CLUSTERS = 1 << 20
 _KEEP = 16
 
 
@@ -222,11 +225,58 @@ def merge_parts(forest: DataFrame, keys: Sequence[str], local_edges: int = LOCAL
         edges = _kept(heavy.unionByName(lit))
 
 
+def _chosen_locally(tree: DataFrame) -> DataFrame:
+    """``cluster, topic_cluster`` as by levels, in one task. A cluster is named by its last merge, so parents have smaller names."""
+    def walk(batches):
+        t = pa.Table.from_batches(list(batches), schema=pa.schema([("cluster", pa.int64()), ("parent", pa.int64()), ("stability", pa.float64())])).sort_by("cluster")
+        ids, outer = t.column("cluster").to_numpy(), t.column("parent")
+        at = np.where(outer.is_null().to_numpy(zero_copy_only=False), -1, np.searchsorted(ids, outer.fill_null(0).to_numpy())).tolist()
+        stability, below, label = t.column("stability").to_pylist(), [0.0] * len(ids), [None] * len(ids)
+        chosen = [False] * len(ids)
+        for i in range(len(ids) - 1, -1, -1):
+            if at[i] >= 0:
+                chosen[i] = stability[i] >= below[i]
+                below[at[i]] += max(stability[i], below[i])
+        for i, p in enumerate(at):
+            if p >= 0:
+                label[i] = int(ids[i]) if label[p] is None and chosen[i] else label[p]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label, pa.int64())], ["cluster", "topic_cluster"])
+
+    return _kept(tree.select("cluster", "parent", F.col("stability").cast("double")).coalesce(1).mapInArrow(walk, "cluster long, topic_cluster long"))
+
+
+def _chosen_by_levels(tree: DataFrame) -> DataFrame:
+    """``cluster, topic_cluster``: the highest chosen cluster at or above each, none for the roots."""
+    # up: a cluster is chosen where its stability is not below what its branches reach
+    value = None
+    open_ = tree
+    while not open_.isEmpty():
+        if value is None:
+            ready = open_.filter("kids = 0").withColumn("below", F.lit(0.0))
+        else:
+            sums = value.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("cluster")).agg(F.sum("value").alias("below"), F.count(F.lit(1)).alias("_k"))
+            ready = open_.join(sums, "cluster").filter(F.col("_k") == F.col("kids")).drop("_k")
+        ready = ready.select("cluster", "parent", F.greatest("stability", "below").alias("value"), (F.col("parent").isNotNull() & (F.col("stability") >= F.col("below"))).alias("chosen"))
+        value = _kept(ready if value is None else value.unionByName(ready))
+        open_ = _kept(open_.join(value.select("cluster"), "cluster", "left_anti"))
+    # down: the highest chosen cluster above each
+    tree = _kept(tree.join(value.select("cluster", "chosen"), "cluster")) if value is not None else tree.withColumn("chosen", F.lit(False))
+    level = tree.filter("parent IS NULL").select("cluster", F.lit(None).cast("long").alias("topic_cluster"))
+    labels = level
+    while True:
+        below = _linked(tree.select("cluster", "parent", "chosen"), level, {"parent": "cluster"}, {"topic_cluster": "from"})
+        level = _kept(below.select("cluster", F.coalesce("from", F.when(F.col("chosen"), F.col("cluster"))).alias("topic_cluster")))
+        if level.isEmpty():
+            break
+        labels = labels.unionByName(level)
+    return labels
+
+
 def condensed_tree(forest: DataFrame, min_size: int, keys: Sequence[str] = (), local_edges: int = LOCAL_EDGES) -> Hierarchy:
     """Condensed tree and stable clusters of a spanning forest ``keys..., id1, id2, w``, for clusters of at least ``min_size`` (2 or more) documents.
 
-    Parts of the merge tree are solved in tasks of bounded size; what crosses their borders is followed from part to part, and the cluster tree is
-    walked by levels, up for the choice and down for the labels, each a round of joins. No number of rounds is set.
+    Parts of the merge tree are solved in tasks of bounded size; what crosses their borders is followed from part to part. The cluster tree is
+    walked up for the choice and down for the labels, by one task or, above ``LOCAL_CLUSTERS``, by levels, each a round of joins. No number of rounds is set.
     """
     if min_size < 2:
         raise ValueError("min_size must be 2 at least")
@@ -274,29 +324,8 @@ def condensed_tree(forest: DataFrame, min_size: int, keys: Sequence[str] = (), l
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     tree = top.join(own, "cluster", "left").join(kids, "cluster", "left")
     tree = _kept(tree.select(*kk, "cluster", "parent", "size", "birth", (zero("_l") + zero("_kl") - (zero("_n") + zero("_kn")) * F.col("birth")).alias("stability"), zero("kids").alias("kids")))
-    # up: a cluster is chosen where its stability is not below what its branches reach
-    value = None
-    open_ = tree
-    while not open_.isEmpty():
-        if value is None:
-            ready = open_.filter("kids = 0").withColumn("below", F.lit(0.0))
-        else:
-            sums = value.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("cluster")).agg(F.sum("value").alias("below"), F.count(F.lit(1)).alias("_k"))
-            ready = open_.join(sums, "cluster").filter(F.col("_k") == F.col("kids")).drop("_k")
-        ready = ready.select("cluster", "parent", F.greatest("stability", "below").alias("value"), (F.col("parent").isNotNull() & (F.col("stability") >= F.col("below"))).alias("chosen"))
-        value = _kept(ready if value is None else value.unionByName(ready))
-        open_ = _kept(open_.join(value.select("cluster"), "cluster", "left_anti"))
-    # down: the highest chosen cluster above each
-    tree = _kept(tree.join(value.select("cluster", "chosen"), "cluster")) if value is not None else tree.withColumn("chosen", F.lit(False))
-    level = tree.filter("parent IS NULL").select("cluster", F.lit(None).cast("long").alias("topic_cluster"))
-    labels = level
-    while True:
-        below = _linked(tree.select("cluster", "parent", "chosen"), level, {"parent": "cluster"}, {"topic_cluster": "from"})
-        level = _kept(below.select("cluster", F.coalesce("from", F.when(F.col("chosen"), F.col("cluster"))).alias("topic_cluster")))
-        if level.isEmpty():
-            break
-        labels = labels.unionByName(level)
-    clusters = tree.join(labels, "cluster").select(*kk, "cluster", "parent", "size", "birth", "stability", (F.col("cluster") == F.col("topic_cluster")).alias("chosen"), "topic_cluster")
+    walked = _chosen_locally(tree) if tree.count() <= LOCAL_CLUSTERS else _chosen_by_levels(tree)
+    clusters = tree.join(walked, "cluster").select(*kk, "cluster", "parent", "size", "birth", "stability", (F.col("cluster") == F.col("topic_cluster")).alias("chosen"), "topic_cluster")
     return Hierarchy(points, clusters.withColumn("chosen", F.coalesce("chosen", F.lit(False))))
 
 

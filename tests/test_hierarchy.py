@@ -148,3 +148,33 @@ def test_topics_of_different_density_are_told_apart(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert H.hierarchy_topics(df, 6, 5, ["g"]).collect() == []
+
+
+def test_a_deep_tree_of_clusters_is_walked_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    # a chain of 15 splits, each with a leaf beside it; parents have the smaller names
+    rows, parent = [], None
+    for i in range(15):
+        name = -1000 + 10 * i
+        rows += [(name, parent, float(rng.uniform(0, 3)), 2), (name + 5, name, float(rng.uniform(0, 3)), 0)]
+        parent = name
+    rows += [(parent + 6, parent, 1.0, 0), (77, None, 1.0, 0)]
+    df = spark.createDataFrame(rows, "cluster long, parent long, stability double, kids int").repartition(4)
+    kept = []
+    keep = H._kept
+    monkeypatch.setattr(H, "_kept", lambda x: kept.append(1) or keep(x))
+    one = sorted(map(str, H._chosen_locally(df).collect()))
+    assert len(kept) == 1 and len(one) == 32
+    assert one == sorted(map(str, H._chosen_by_levels(df).collect())) and len(kept) > 30
+    assert any("topic_cluster=-" in r for r in one)
+    assert H._chosen_locally(df.limit(0)).count() == 0
+
+
+def test_clusters_are_the_same_by_levels(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = [(i, [float(x) for x in rng.normal(size=3) + 4 * np.eye(3)[i % 3]]) for i in range(90)]
+    df = spark.createDataFrame(points, "doc_id long, v array<double>")
+    run = lambda: sorted(map(str, H.hierarchy_topics(df, 4, 3).collect()))
+    one = run()
+    monkeypatch.setattr(H, "LOCAL_CLUSTERS", 0)
+    assert one == run() and len(one) == 90
